@@ -2,31 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from uptakelens import reference_values as fixed
+from uptakelens.functions.sql import literal
 
 
-def clamped(value: Column, null_as_zero: bool) -> Column:
+def clamped(value: str, null_as_zero: bool) -> str:
     """Never below zero. NULL becomes 0 or stays NULL, as asked."""
     if null_as_zero:
-        return F.greatest(value, F.lit(0))  # greatest() skips NULL
-    return F.when(value < 0, F.lit(0)).otherwise(value)
+        return f"greatest({value}, 0L)"  # greatest() skips NULL
+    return f"CASE WHEN {value} < 0 THEN 0L ELSE {value} END"
 
 
-def suppressed(value: Column, below: int = fixed.SMALL_NUMBER) -> Column:
+def suppressed(value: str, below: int = fixed.SMALL_NUMBER) -> str:
     """Values under the threshold become 0; NULL stays NULL."""
-    return F.when(value < below, F.lit(0)).otherwise(value)
+    return f"CASE WHEN {value} < {below} THEN 0L ELSE {value} END"
 
 
 def suppressed_text(
-    value: Column, below: int = fixed.SMALL_NUMBER, text: str = fixed.SMALL_NUMBER_TEXT
-) -> Column:
+    value: str, below: int = fixed.SMALL_NUMBER, text: str = fixed.SMALL_NUMBER_TEXT
+) -> str:
     """Display text of a count, with small ones hidden."""
-    return F.when(value < below, F.lit(text)).otherwise(value.cast("string"))
+    return f"CASE WHEN {value} < {below} THEN {literal(text)} ELSE CAST({value} AS STRING) END"
 
 
-def complete_sum(value: Column) -> Column:
-    """Sum that is NULL as soon as one value is."""
-    return F.when(F.count(value) == F.count(F.lit(1)), F.sum(value))
+def complete_sum(value: str, over: str = "") -> str:
+    """Sum that is NULL as soon as one value is; `over` makes it a window's."""
+    whole = f" OVER ({over})" if over else ""
+    return (
+        f"CASE WHEN count({value}){whole} = count(1){whole} THEN sum({value}){whole} END"
+    )

@@ -4,74 +4,70 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from uptakelens import reference_values as fixed
+from uptakelens.functions.sql import listed, literal
 
 
-def recode(value: Column, renames: Mapping[str, str]) -> Column:
+def recode(value: str, renames: Mapping[str, str]) -> str:
     """Replace the listed values; every other value, and NULL, stays as it is."""
-    result = value
-    for old, new in renames.items():
-        result = F.when(value == old, F.lit(new)).otherwise(result)
-    return result
+    whens = " ".join(f"WHEN {literal(old)} THEN {literal(new)}" for old, new in renames.items())
+    return f"CASE {value} {whens} ELSE {value} END"
 
 
-def grouped(value: Column, groups: Mapping[str, Iterable[str]], other: str | None = None) -> Column:
+def grouped(value: str, groups: Mapping[str, Iterable[str]], other: str | None = None) -> str:
     """Name of the group that lists the value; `other` (default NULL) if none does."""
-    result = F.lit(other).cast("string")
-    for name, members in groups.items():
-        result = F.when(value.isin(list(members)), F.lit(name)).otherwise(result)
-    return result
+    whens = " ".join(
+        f"WHEN {value} IN ({listed(members)}) THEN {literal(group)}"
+        for group, members in groups.items()
+    )
+    return f"CASE {whens} ELSE {literal(other)} END"
 
 
-def repaired_band(band: Column, repairs: Mapping[str, str] = fixed.BAND_REPAIRS) -> Column:
+def repaired_band(band: str, repairs: Mapping[str, str] = fixed.BAND_REPAIRS) -> str:
     """Undo what a spreadsheet did to an age band."""
     return recode(band, repairs)
 
 
 def event_label(
-    raw: Column,
+    raw: str,
     prefix: str = fixed.PREFIX_PATTERN,
     renames: Mapping[str, str] = fixed.GROUP_RENAMES,
     capitals: Mapping[str, str] = fixed.CAPITALS,
-) -> Column:
+) -> str:
     """Label of an event's group text: prefix removed, renamed, then capitalised."""
-    label = recode(F.regexp_replace(raw, prefix, ""), renames)
+    label = recode(f"regexp_replace({raw}, {literal(prefix)}, '')", renames)
     for lower, upper in capitals.items():
-        label = F.replace(label, F.lit(lower), F.lit(upper))
+        label = f"replace({label}, {literal(lower)}, {literal(upper)})"
     return label
 
 
-def register_label(raw: Column, renames: Mapping[str, str] = fixed.GROUP_RENAMES) -> Column:
+def register_label(raw: str, renames: Mapping[str, str] = fixed.GROUP_RENAMES) -> str:
     """Label of a register row's group text, which carries no prefix."""
     return recode(raw, renames)
 
 
-def event_broad_group(label: Column) -> Column:
+def event_broad_group(label: str) -> str:
     return grouped(label, fixed.EVENT_BROAD_GROUPS)
 
 
-def register_broad_group(label: Column) -> Column:
+def register_broad_group(label: str) -> str:
     return grouped(label, fixed.REGISTER_BROAD_GROUPS)
 
 
 def age_group(
-    band: Column,
+    band: str,
     groups: Mapping[str, Iterable[str]] = fixed.AGE_GROUPS,
     remaining: str = fixed.REMAINING_AGE_GROUP,
-) -> Column:
+) -> str:
     """Age group of a band; an unlisted band, also NULL, is in the remaining group."""
     return grouped(band, groups, other=remaining)
 
 
-def position(value: Column, order: Iterable[str]) -> Column:
+def position(value: str, order: Iterable[str]) -> str:
     """1-based place of the value in a fixed order, NULL when it is not listed."""
-    place = F.array_position(F.array(*[F.lit(item) for item in order]), value)
-    return F.when(place > 0, place).cast("int")
+    return f"CAST(NULLIF(array_position(array({listed(order)}), {value}), 0) AS INT)"
 
 
-def not_in(value: Column, excluded: Iterable[str]) -> Column:
+def not_in(value: str, excluded: Iterable[str]) -> str:
     """True for every value outside the list, and for NULL, which SQL would drop."""
-    return value.isNull() | ~value.isin(list(excluded))
+    return f"({value} IS NULL OR {value} NOT IN ({listed(excluded)}))"

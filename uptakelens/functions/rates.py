@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from uptakelens import reference_values as fixed
+from uptakelens.functions.sql import literal
 
 
 def normal_quantile(level: float = fixed.UPPER_LEVEL) -> float:
@@ -15,21 +13,29 @@ def normal_quantile(level: float = fixed.UPPER_LEVEL) -> float:
     return NormalDist().inv_cdf(level)
 
 
-def percent(events: Column, population: Column) -> Column:
-    """100 * events / population, NULL when there is no population."""
-    return 100 * F.try_divide(events, population)
+def proportion(events: str, population: str) -> str:
+    """events / population, NULL when there is no population."""
+    return f"try_divide({events}, {population})"
+
+
+def percent(events: str, population: str) -> str:
+    return f"100 * {proportion(events, population)}"
 
 
-def _byar(count: Column, centre: Column, spread: Column, population: Column) -> Column:
-    return F.try_divide(100 * count * F.pow(centre + spread, F.lit(3.0)), population)
+def _byar(count: str, sign: str, root_of: str, population: str, level: float) -> str:
+    third = literal(normal_quantile(level) / 3)
+    cube_root = (
+        f"1 - try_divide(1D, 9 * {count}) {sign} {third} * sqrt(try_divide(1D, {root_of}))"
+    )
+    return f"try_divide(100 * {count} * pow({cube_root}, 3), {population})"
 
 
 def byar_lower(
-    events: Column,
-    population: Column,
+    events: str,
+    population: str,
     level: float = fixed.UPPER_LEVEL,
     lower_term: str = "n_plus_1",
-) -> Column:
+) -> str:
     """Lower limit in percent; NULL for no events or no population.
 
     `lower_term="n_plus_1"` takes sqrt(1 / (events + 1)), as the published analysis
@@ -37,15 +43,11 @@ def byar_lower(
     """
     if lower_term not in ("n_plus_1", "n"):
         raise ValueError(f"lower_term must be 'n_plus_1' or 'n', not {lower_term!r}")
-    root_of = events + 1 if lower_term == "n_plus_1" else events
-    third = F.lit(normal_quantile(level) / 3)
-    centre = 1 - F.try_divide(F.lit(1.0), 9 * events)
-    return _byar(events, centre, -third * F.sqrt(F.try_divide(F.lit(1.0), root_of)), population)
+    root_of = f"({events} + 1)" if lower_term == "n_plus_1" else events
+    return _byar(events, "-", root_of, population, level)
 
 
-def byar_upper(events: Column, population: Column, level: float = fixed.UPPER_LEVEL) -> Column:
+def byar_upper(events: str, population: str, level: float = fixed.UPPER_LEVEL) -> str:
     """Upper limit in percent; NULL for no population."""
-    above = events + 1
-    third = F.lit(normal_quantile(level) / 3)
-    centre = 1 - F.try_divide(F.lit(1.0), 9 * above)
-    return _byar(above, centre, third * F.sqrt(F.try_divide(F.lit(1.0), above)), population)
+    above = f"({events} + 1)"
+    return _byar(above, "+", above, population, level)

@@ -2,44 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from uptakelens import reference_values as fixed
+from uptakelens.functions.sql import literal
 
 
-def number_text(value: Column) -> Column:
+def number_text(value: str) -> str:
     """A number without a trailing .0, and NA for a missing one."""
-    return F.coalesce(F.regexp_replace(value.cast("string"), r"\.0$", ""), F.lit("NA"))
+    pattern = literal(r"\.0$")
+    return f"coalesce(regexp_replace(CAST({value} AS STRING), {pattern}, ''), 'NA')"
 
 
-def thousands(value: Column) -> Column:
+def thousands(value: str) -> str:
     """A count with thousands separators."""
-    return F.format_number(value, 0)
+    return f"format_number({value}, 0)"
 
 
-def median_text(female: Column, male: Column) -> Column:
-    return F.concat(F.lit("F:"), number_text(female), F.lit(" | M:"), number_text(male))
+def median_text(female: str, male: str) -> str:
+    return f"concat('F:', {number_text(female)}, ' | M:', {number_text(male)})"
 
 
-def part_of_text(part: Column, whole: Column) -> Column:
-    return F.concat_ws(" ", number_text(part), F.lit("of"), number_text(whole))
+def part_of_text(part: str, whole: str) -> str:
+    return f"concat_ws(' ', {number_text(part)}, 'of', {number_text(whole)})"
 
 
-def slug(name: Column) -> Column:
+def slug(value: str) -> str:
     """File-name form of a label."""
-    return F.regexp_replace(name, " ", "-")
+    return f"replace({value}, ' ', '-')"
+
+
+def file_name(pattern: str, *values: str) -> str:
+    return f"format_string({literal(pattern)}, {', '.join(values)})"
 
 
 def caption(
-    label: Column,
-    is_everyone: Column,
+    label: str,
+    is_everyone: str,
     ages: str = fixed.CAPTION_AGES,
     period: str = fixed.CAPTION_PERIOD,
-) -> Column:
+) -> str:
     """Title of one label's area layer, or of the one for everybody."""
     before, after = fixed.GROUP_CAPTION.format(label="\0", ages=ages, period=period).split("\0")
     everyone = fixed.EVERYONE_CAPTION.format(ages=ages, period=period)
-    return F.when(is_everyone, F.lit(everyone)).otherwise(
-        F.concat(F.lit(before), label, F.lit(after))
+    return (
+        f"CASE WHEN {is_everyone} THEN {literal(everyone)} "
+        f"ELSE concat({literal(before)}, {label}, {literal(after)}) END"
     )

@@ -4,34 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from uptakelens import reference_values as fixed
 from uptakelens.functions import labels
+from uptakelens.functions.sql import listed, literal
 
 
-def known(keys: Sequence[str]) -> Column:
+def known(keys: Sequence[str]) -> str:
     """Cells the rates are about, as far as the keys tell: a known band, one of the two
     sexes, a stated group, an area with a quintile."""
     tests = {
-        "age_band": F.col("age_band") != fixed.UNKNOWN_BAND,
-        "sex": F.col("sex").isin(fixed.SEXES),
-        "label": ~F.col("label").isin(fixed.NOT_STATED, fixed.NOT_KNOWN),
-        "imd_quintile": F.col("imd_quintile").isNotNull(),
+        "age_band": f"age_band <> {literal(fixed.UNKNOWN_BAND)}",
+        "sex": f"sex IN ({listed(fixed.SEXES)})",
+        "label": f"label NOT IN ({listed([fixed.NOT_STATED, fixed.NOT_KNOWN])})",
+        "imd_quintile": "imd_quintile IS NOT NULL",
     }
-    result = F.lit(True)
-    for key in keys:
-        result = result & tests.get(key, F.lit(True))
-    return result
+    return " AND ".join(tests[key] for key in keys if key in tests)
 
 
 def align(
     population: DataFrame,
     events: DataFrame,
     keys: Sequence[str],
-    in_register: Column | None = None,
-    in_events: Column | None = None,
+    in_register: str | None = None,
+    in_events: str | None = None,
     how: str = "full",
 ) -> DataFrame:
     """Population and events per combination of keys, 0 where a side has none.
@@ -39,46 +37,47 @@ def align(
     The result is that of summing each side per key and outer joining the sums, `full`
     or `left` from the register. Both measures add up, so it is written as one grouped
     sum over the union of the two sides: one shuffle of partial sums, no sort, and NULL
-    keys of the two sides meet. `on_register` tells which cells the register has.
+    keys of the two sides meet. `on_register` tells which cells the register has. With a
+    label among the keys there is a `broad_group` too, as the register has it: NULL for
+    cells found among events only.
 
-    `in_register` and `in_events` say which rows take part. The event test is applied
-    inside the sum: as a filter Catalyst would push it, and the text cleaning in it, down
-    to the raw rows, and a query that also derives the vocabulary would scan them twice.
+    `in_register` and `in_events` say which rows take part. Both tests are applied inside
+    the sum: as filters Catalyst would push them, and the text cleaning in them, down to
+    the raw rows, and a query that also derives the vocabulary would scan the events twice.
     """
     if how not in ("full", "left"):
         raise ValueError(f"how must be 'full' or 'left', not {how!r}")
-    if in_register is not None:
-        population = population.filter(in_register)
-    counted = F.col("events") if in_events is None else F.when(in_events, F.col("events"))
-    nothing = F.lit(None).cast("long")
-    sides = population.select(
-        *keys, "population", "unknown_rows", nothing.alias("events"), F.lit(1).alias("on_register")
-    ).unionByName(
-        events.select(
+    from_register = f"IF({in_register or 'true'}, true, NULL)"
+    sides = population.selectExpr(
+        *keys,
+        "population",
+        "unknown_rows",
+        "CAST(NULL AS BIGINT) AS events",
+        f"{from_register} AS registered",
+    ).union(
+        events.selectExpr(
             *keys,
-            nothing.alias("population"),
-            nothing.alias("unknown_rows"),
-            counted.alias("events"),
-            F.lit(None).cast("int").alias("on_register"),
+            "CAST(NULL AS BIGINT) AS population",
+            "CAST(NULL AS BIGINT) AS unknown_rows",
+            f"IF({in_events or 'true'}, events, NULL) AS events",
+            "CAST(NULL AS BOOLEAN) AS registered",
         )
     )
     cells = sides.groupBy(*keys).agg(
-        F.sum("population").alias("population"),
-        F.sum("unknown_rows").alias("unknown_rows"),
-        F.sum("events").alias("events"),
-        F.max("on_register").alias("on_register"),
+        F.expr("sum(IF(registered, population, NULL)) AS population"),
+        F.expr("sum(IF(registered, unknown_rows, NULL)) AS unknown_rows"),
+        F.expr("sum(events) AS events"),
+        F.expr("max(registered) AS registered"),
     )
-    present = F.col("on_register").isNotNull()
+    present = "registered IS NOT NULL"
     if how == "full":
-        present = present | F.col("events").isNotNull()
-    return (
-        cells.filter(present)
-        .fillna(0, ["population", "unknown_rows", "events"])
-        .withColumn("on_register", F.col("on_register").isNotNull())
-    )
-
-
-def with_broad_group(aligned: DataFrame) -> DataFrame:
-    """Broad group as the register has it; NULL for cells found among events only."""
-    broad = F.when(F.col("on_register"), labels.register_broad_group(F.col("label")))
-    return aligned.withColumn("broad_group", broad)
+        present += " OR events IS NOT NULL"
+    filled = [
+        *keys,
+        *(f"coalesce({c}, 0L) AS {c}" for c in ("population", "unknown_rows", "events")),
+        "registered IS NOT NULL AS on_register",
+    ]
+    if "label" in keys:
+        broad = labels.register_broad_group("label")
+        filled.append(f"CASE WHEN registered THEN {broad} END AS broad_group")
+    return cells.filter(present).selectExpr(*filled)

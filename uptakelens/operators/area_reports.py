@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from uptakelens import reference_values as fixed
 from uptakelens.functions import counts, text
+from uptakelens.functions.sql import literal
 from uptakelens.operators.clean import with_attributes
 from uptakelens.operators.vocabulary import report_groups
 from uptakelens.sources.areas import Areas
@@ -28,12 +28,12 @@ def per_label_and_everyone(
     itself be NULL, so the label column alone would not do.
     """
     sums = gaps.groupingSets([["label", *keys], list(keys)], "label", *keys).agg(
-        (F.grouping("label") == 1).alias("is_everyone"),
-        counts.complete_sum(F.col("gap")).alias("gap"),
-        counts.complete_sum(F.col("total")).alias("total"),
+        F.expr("grouping(label) = 1 AS is_everyone"),
+        F.expr(f"{counts.complete_sum('gap')} AS gap"),
+        F.expr(f"{counts.complete_sum('total')} AS total"),
     )
-    label = F.when(F.col("is_everyone"), F.lit(everyone)).otherwise(F.col("label"))
-    return sums.withColumn("label", label)
+    label = f"IF(is_everyone, {literal(everyone)}, label)"
+    return sums.selectExpr(f"{label} AS label", *keys, "is_everyone", "gap", "total")
 
 
 def of_report_groups(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
@@ -49,15 +49,18 @@ def constituency_share(gaps: DataFrame, vocabulary: DataFrame) -> DataFrame:
     sums = of_report_groups(
         per_label_and_everyone(gaps, ["constituency"]), report_groups(vocabulary)
     )
-    whole = W.partitionBy("label", "is_everyone")
-    all_known = F.count("gap").over(whole) == F.count(F.lit(1)).over(whole)
-    label_gap = F.when(all_known, F.sum("gap").over(whole))
-    shares = sums.withColumn(
-        "share", F.round(F.try_divide(100 * F.col("gap"), label_gap), 1)
-    )
-    ranked = whole.orderBy(F.desc_nulls_last("share"), F.asc_nulls_last("constituency"))
-    return shares.withColumn("position", F.row_number().over(ranked)).select(
-        "ord", "label", "constituency", "gap", "total", "share", "position"
+    whole = "PARTITION BY ord"
+    label_gap = counts.complete_sum("gap", over=whole)
+    shares = sums.selectExpr("*", f"round(try_divide(100 * gap, {label_gap}), 1) AS share")
+    ranked = f"{whole} ORDER BY share DESC NULLS LAST, constituency ASC NULLS LAST"
+    return shares.selectExpr(
+        "ord",
+        "label",
+        "constituency",
+        "gap",
+        "total",
+        "share",
+        f"row_number() OVER ({ranked}) AS position",
     )
 
 
@@ -66,19 +69,22 @@ def gap_totals(gaps: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     A label of the vocabulary that the register lacks has 0 of 0.
     """
-    sums = per_label_and_everyone(gaps, []).withColumn("found", F.lit(True))
-    rows = of_report_groups(sums, report_groups(vocabulary), "left")
-    for measure in ("gap", "total"):
-        absent = F.col("found").isNull()
-        rows = rows.withColumn(measure, F.when(absent, F.lit(0)).otherwise(F.col(measure)))
-    return rows.select(
+    sums = per_label_and_everyone(gaps, []).selectExpr("*", "true AS found")
+    rows = of_report_groups(sums, report_groups(vocabulary), "left").selectExpr(
+        "ord",
+        "label",
+        "is_everyone",
+        "IF(found IS NULL, 0L, gap) AS gap",
+        "IF(found IS NULL, 0L, total) AS total",
+    )
+    return rows.selectExpr(
         "ord",
         "label",
         "gap",
         "total",
-        text.part_of_text(F.col("gap"), F.col("total")).alias("summary"),
-        text.caption(F.col("label"), F.col("is_everyone")).alias("caption"),
-        text.slug(F.col("label")).alias("file_name"),
+        f"{text.part_of_text('gap', 'total')} AS summary",
+        f"{text.caption('label', 'is_everyone')} AS caption",
+        f"{text.slug('label')} AS file_name",
     )
 
 
@@ -91,18 +97,20 @@ def area_layer(
     a value gets 0. The grid is the result's own size; it is made by repeating each area
     once per report group, the few groups arriving as one array value.
     """
-    values = per_label_and_everyone(gaps, ["area"]).withColumn(
-        "value", counts.suppressed(F.col("gap"), below)
+    published = f"{counts.suppressed('gap', below)} AS value"
+    values = per_label_and_everyone(gaps, ["area"]).selectExpr(
+        "area", "label", "is_everyone", published
+    )
+    groups = (
+        report_groups(vocabulary)
+        .agg(F.expr("sort_array(collect_list(struct(ord, label, is_everyone)))"))
+        .scalar()
     )
-    group = F.struct("ord", "label", "is_everyone")
-    groups = report_groups(vocabulary).agg(F.sort_array(F.collect_list(group))).scalar()
     grid = (
         areas.targets.distinct()
-        .select("area", F.explode(groups).alias("group"))
-        .select("area", "group.*")
+        .select("area", F.explode(groups).alias("report"))
+        .selectExpr("area", "report.*")
+    )
+    return grid.join(values, ["area", "label", "is_everyone"], "left").selectExpr(
+        "ord", "label", "area", "coalesce(value, 0L) AS value"
     )
-    return grid.join(
-        values.select("area", "label", "is_everyone", "value"),
-        ["area", "label", "is_everyone"],
-        "left",
-    ).select("ord", "label", "area", F.coalesce("value", F.lit(0)).alias("value"))

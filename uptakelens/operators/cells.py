@@ -13,37 +13,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from uptakelens.functions import labels
-from uptakelens.operators.clean import (
-    in_areas,
-    with_attributes,
-    with_event_labels,
-    with_register_labels,
-    with_repaired_bands,
-)
+from uptakelens.functions.sql import aliased
+from uptakelens.operators.clean import in_areas, with_attributes
 from uptakelens.sources.areas import Areas
 
+REGISTER_MEASURES = ("population", "unknown_rows")
 
-def event_rows(events: DataFrame) -> DataFrame:
-    """Event log with repaired bands and an `events` measure, 1 per row if it has none."""
+
+def _rows(rows: DataFrame, columns: Sequence[str], derived: dict[str, str]) -> DataFrame:
+    """The columns, those in `derived` computed and the others taken as they are."""
+    return rows.selectExpr(*aliased({c: derived.get(c, c) for c in columns}))
+
+
+def event_rows(events: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns of the event log, bands repaired, and `events`, 1 per row if it has none."""
+    derived = {"age_band": labels.repaired_band("age_band")}
     if "events" not in events.columns:
-        events = events.withColumn("events", F.lit(1).cast("long"))
-    return with_repaired_bands(events)
+        derived["events"] = "1L"
+    return _rows(events, [*columns, "events"], derived)
 
 
-def register_rows(register: DataFrame) -> DataFrame:
-    """Register with labels, repaired bands and two measures that simply add up.
+def register_rows(register: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns of the register, labelled and repaired, and two measures that add up.
 
     `population` takes a missing observation as 0 and `unknown_rows` counts those, so a
     sum that must be NULL when any part is missing can be formed at every later level.
     """
-    return (
-        with_register_labels(with_repaired_bands(register))
-        .withColumn("population", F.coalesce("observations", F.lit(0)).cast("long"))
-        .withColumn("unknown_rows", F.col("observations").isNull().cast("long"))
-    )
+    derived = {
+        "age_band": labels.repaired_band("age_band"),
+        "label": labels.register_label("group_national"),
+        "population": "CAST(coalesce(observations, 0) AS BIGINT)",
+        "unknown_rows": "CAST(observations IS NULL AS BIGINT)",
+    }
+    return _rows(register, [*columns, *REGISTER_MEASURES], derived)
+
+
+def summed(rows: DataFrame, by: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*by).agg(*[F.expr(f"sum({m}) AS {m}") for m in measures])
 
 
-def tagged(
+def _own_columns(areas: Areas, by: Sequence[str]) -> list[str]:
+    """The columns of `by` that the facts have themselves, and the area."""
+    return [*dict.fromkeys([*(c for c in by if c not in areas.attributes), "area"])]
+
+
+def _tagged(
     rows: DataFrame, areas: Areas, by: Sequence[str], measures: Sequence[str]
 ) -> DataFrame:
     """Rows of the target areas with the columns `by`, area attributes included.
@@ -51,46 +65,42 @@ def tagged(
     With a small lookup both joins are broadcasts and no row moves. With a large one the
     rows are first summed per area, so that no raw row is shuffled by its area.
     """
-    attributes = [c for c in by if c in areas.lookup.columns and c != "area"]
-    own = [c for c in by if c not in attributes]
     if not areas.broadcastable:
-        rows = summed(rows, [*dict.fromkeys([*own, "area"])], measures)
+        rows = summed(rows, _own_columns(areas, by), measures)
+    attributes = [c for c in by if c in areas.attributes]
     return with_attributes(in_areas(rows, areas), areas, attributes).select(*by, *measures)
 
 
-def summed(rows: DataFrame, by: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    return rows.groupBy(*by).agg(*[F.sum(m).alias(m) for m in measures])
-
-
 def event_cells(events: DataFrame, areas: Areas, by: Sequence[str]) -> DataFrame:
     """Number of events per combination of `by` in the target areas.
 
     `by` names raw columns (`group_raw`, not `label`): text is cleaned per cell, not per
     row. See `labelled`.
     """
-    return summed(tagged(event_rows(events), areas, by, ["events"]), by, ["events"])
+    rows = event_rows(events, _own_columns(areas, by))
+    return summed(_tagged(rows, areas, by, ["events"]), by, ["events"])
 
 
 def labelled(cells: DataFrame) -> DataFrame:
-    """Event cells with label and broad group in place of the raw group text."""
-    return with_event_labels(cells)
+    """Event cells with the label in place of the raw group text."""
+    kept = [c for c in cells.columns if c != "group_raw"]
+    return cells.selectExpr(*kept, f"{labels.event_label('group_raw')} AS label")
 
 
 def register_cells(register: DataFrame, areas: Areas, by: Sequence[str]) -> DataFrame:
     """Register rows of the target areas with the columns `by`, ready to be summed."""
-    return tagged(register_rows(register), areas, by, ["population", "unknown_rows"])
+    rows = register_rows(register, _own_columns(areas, by))
+    return _tagged(rows, areas, by, REGISTER_MEASURES)
 
 
 def population_by(
     register: DataFrame, areas: Areas, by: Sequence[str], strict_nulls: bool = False
 ) -> DataFrame:
     """Sum of observations; NULL when one is missing in strict mode, else over the rest."""
-    sums = summed(register_cells(register, areas, by), by, ["population", "unknown_rows"])
-    if strict_nulls:
-        complete = F.when(F.col("unknown_rows") == 0, F.col("population"))
-        sums = sums.withColumn("population", complete)
-    return sums.drop("unknown_rows")
+    sums = summed(register_cells(register, areas, by), by, REGISTER_MEASURES)
+    population = "IF(unknown_rows = 0, population, NULL)" if strict_nulls else "population"
+    return sums.selectExpr(*by, f"{population} AS population")
 
 
 def add_age_group(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("age_group", labels.age_group(F.col("age_band")))
+    return rows.selectExpr("*", f"{labels.age_group('age_band')} AS age_group")

@@ -5,32 +5,33 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from uptakelens.functions import labels
+from uptakelens.functions.sql import aliased
 from uptakelens.sources.areas import Areas
 
 
+def replaced(rows: DataFrame, replacements: dict[str, str]) -> DataFrame:
+    """Rows with the given columns set, in one projection."""
+    kept = [column for column in rows.columns if column not in replacements]
+    return rows.selectExpr(*kept, *aliased(replacements))
+
+
 def with_event_labels(events: DataFrame) -> DataFrame:
     """Replace the event log's group text by its label and broad group."""
-    return (
-        events.withColumn("label", labels.event_label(F.col("group_raw")))
-        .withColumn("broad_group", labels.event_broad_group(F.col("label")))
-        .drop("group_raw")
-    )
+    labelled = replaced(events, {"label": labels.event_label("group_raw")}).drop("group_raw")
+    return labelled.selectExpr("*", f"{labels.event_broad_group('label')} AS broad_group")
 
 
 def with_register_labels(register: DataFrame) -> DataFrame:
     """Replace the register's group text by its label and broad group."""
-    return (
-        register.withColumn("label", labels.register_label(F.col("group_national")))
-        .withColumn("broad_group", labels.register_broad_group(F.col("label")))
-        .drop("group_national")
-    )
+    label = {"label": labels.register_label("group_national")}
+    labelled = replaced(register, label).drop("group_national")
+    return labelled.selectExpr("*", f"{labels.register_broad_group('label')} AS broad_group")
 
 
 def with_repaired_bands(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("age_band", labels.repaired_band(F.col("age_band")))
+    return replaced(rows, {"age_band": labels.repaired_band("age_band")})
 
 
 def in_areas(rows: DataFrame, areas: Areas) -> DataFrame:
@@ -47,7 +48,7 @@ def with_attributes(rows: DataFrame, areas: Areas, attributes: Sequence[str]) ->
 
 def clean_events(events: DataFrame, areas: Areas) -> DataFrame:
     """Row-level cleaned event log, with area attributes other than the locality."""
-    attributes = [c for c in areas.lookup.columns if c not in ("area", "locality")]
+    attributes = [c for c in areas.attributes if c != "locality"]
     return with_event_labels(
         with_repaired_bands(with_attributes(in_areas(events, areas), areas, attributes))
     )
@@ -55,7 +56,6 @@ def clean_events(events: DataFrame, areas: Areas) -> DataFrame:
 
 def clean_register(register: DataFrame, areas: Areas) -> DataFrame:
     """Row-level cleaned register, with all area attributes."""
-    attributes = [c for c in areas.lookup.columns if c != "area"]
     return with_register_labels(
-        with_repaired_bands(with_attributes(in_areas(register, areas), areas, attributes))
+        with_repaired_bands(with_attributes(in_areas(register, areas), areas, areas.attributes))
     )

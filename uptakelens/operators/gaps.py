@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from uptakelens import reference_values as fixed
 from uptakelens.functions import counts, labels
+from uptakelens.functions.sql import literal
 from uptakelens.operators.align import align
-from uptakelens.operators.cells import add_age_group, labelled
+from uptakelens.operators.cells import add_age_group, labelled, summed
 from uptakelens.operators.vocabulary import in_vocabulary
 
 GAP_DIMS = ("age_group", "sex", "label", "imd_quintile")
@@ -29,13 +30,9 @@ def gap_cells(aligned: DataFrame, dims: Sequence[str] = GAP_DIMS) -> DataFrame:
 
     The gap is clamped at this grain; every coarser figure is a sum of clamped gaps.
     """
-    sums = (
-        add_age_group(aligned)
-        .groupBy(*dims)
-        .agg(F.sum("population").alias("population"), F.sum("events").alias("events"))
-    )
-    difference = F.col("population") - F.col("events")
-    return sums.withColumn("gap", counts.clamped(difference, null_as_zero=True))
+    sums = summed(add_age_group(aligned), dims, ["population", "events"])
+    gap = counts.clamped("population - events", null_as_zero=True)
+    return sums.selectExpr("*", f"{gap} AS gap")
 
 
 def gap_levels(
@@ -49,19 +46,18 @@ def gap_levels(
     have is NULL too; `level` tells the two apart.
     """
     dims = list(dict.fromkeys(c for columns in levels.values() for c in columns))
-    rows = in_vocabulary(cells, vocabulary).withColumn(
-        "imd_quintile", F.col("imd_quintile").cast("string")
-    )
-    sums = rows.groupingSets([list(columns) for columns in levels.values()], *dims).agg(
-        *[F.grouping(c).alias(f"no_{c}") for c in dims], F.sum("gap").alias("gap")
+    columns = ["CAST(imd_quintile AS STRING) AS imd_quintile" if c == "imd_quintile" else c for c in dims]
+    rows = in_vocabulary(cells, vocabulary).selectExpr(*columns, "gap")
+    sums = rows.groupingSets([list(level) for level in levels.values()], *dims).agg(
+        F.expr("grouping_id() AS absent"), F.expr("sum(gap) AS gap")
     )
-    level = F.lit(None).cast("string")
-    for name, columns in levels.items():
-        here = F.lit(True)
-        for c in dims:
-            here = here & (F.col(f"no_{c}") == (0 if c in columns else 1))
-        level = F.when(here, F.lit(name)).otherwise(level)
-    return sums.select(level.alias("level"), *dims, "gap")
+    # grouping_id has one bit per column, the first column's highest, set where it is absent.
+    absent = {
+        name: sum(1 << (len(dims) - 1 - i) for i, c in enumerate(dims) if c not in level)
+        for name, level in levels.items()
+    }
+    whens = " ".join(f"WHEN {bits} THEN {literal(name)}" for name, bits in absent.items())
+    return sums.selectExpr(f"CASE absent {whens} END AS level", *dims, "gap")
 
 
 def area_gap(
@@ -76,21 +72,16 @@ def area_gap(
     meets a missing band; events of a cell the register lacks are lost. In strict mode a
     missing observation makes its area's gap and total NULL.
     """
-    sums = (
-        align(
-            register,
-            labelled(events),
-            ["area", "label", "age_band"],
-            in_register=labels.not_in(F.col("age_band"), excluded_bands)
-            & (F.col("label") != fixed.NOT_KNOWN),
-            in_events=F.col("label") != fixed.NOT_STATED,
-            how="left",
-        )
-        .groupBy("area", "label")
-        .agg(*[F.sum(c).alias(c) for c in ("population", "unknown_rows", "events")])
+    aligned = align(
+        register,
+        labelled(events),
+        ["area", "label", "age_band"],
+        in_register=f"{labels.not_in('age_band', excluded_bands)} "
+        f"AND label <> {literal(fixed.NOT_KNOWN)}",
+        in_events=f"label <> {literal(fixed.NOT_STATED)}",
+        how="left",
     )
-    total = F.col("population")
-    if strict_nulls:
-        total = F.when(F.col("unknown_rows") == 0, total)
-    gap = counts.clamped(total - F.col("events"), null_as_zero=False)
-    return sums.select("area", "label", gap.alias("gap"), total.alias("total"))
+    sums = summed(aligned, ["area", "label"], ["population", "unknown_rows", "events"])
+    total = "IF(unknown_rows = 0, population, NULL)" if strict_nulls else "population"
+    gap = counts.clamped(f"({total} - events)", null_as_zero=False)
+    return sums.selectExpr("area", "label", f"{gap} AS gap", f"{total} AS total")

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from uptakelens import reference_values as fixed
-from uptakelens.functions import counts
-from uptakelens.operators.rate_tables import rate_table
+from uptakelens.functions import counts, text
+from uptakelens.functions.sql import aliased, listed, name
+from uptakelens.operators.rate_tables import with_rates
 from uptakelens.operators.vocabulary import require_labels
 
 
@@ -23,19 +24,15 @@ def rate_matrix(
     One row per age group, sex and quintile, so one pass makes every matrix. The percent
     is formed on the long table; a group missing from a row is NULL there.
     """
-    rows = rate_rows.filter(F.col("broad_group").isNotNull() & F.col("sex").isin(list(sexes)))
+    rows = rate_rows.filter(f"broad_group IS NOT NULL AND sex IN ({listed(sexes)})")
+    measures = [F.expr(f"first({m}) AS {m}") for m in ("population", "events", "percent")]
     wide = (
         rows.groupBy("age_group", "sex", "imd_quintile")
         .pivot("broad_group", list(groups))
-        .agg(
-            F.first("population").alias("population"),
-            F.first("events").alias("events"),
-            F.first("percent").alias("percent"),
-        )
-    )
-    return wide.withColumn(
-        "file_name", F.format_string(fixed.RATE_MATRIX_NAME, "age_group", "sex")
+        .agg(*measures)
     )
+    file_name = text.file_name(fixed.RATE_MATRIX_NAME, "age_group", "sex")
+    return wide.selectExpr("*", f"{file_name} AS file_name")
 
 
 def gap_matrix(
@@ -49,29 +46,27 @@ def gap_matrix(
     `level_rows` are one level of the gap table. Rows without a label take no part. With
     `require_all` a listed label that the data lacks is an error.
     """
-    rows = level_rows.filter(F.col("label").isNotNull())
+    rows = level_rows.filter("label IS NOT NULL")
     if require_all:
         require_labels(rows, "label", labels)
+    keys, who = ["age_group", "imd_quintile"], "'both'"
     if by_sex:
-        rows = rows.filter(F.col("sex").isin(fixed.SEXES))
-    keys = ["age_group", "sex", "imd_quintile"] if by_sex else ["age_group", "imd_quintile"]
-    wide = rows.groupBy(*keys).pivot("label", list(labels)).agg(F.sum("gap"))
-    cells = [
-        F.coalesce(F.col(f"`{label}`"), F.lit(0)).cast("long").alias(label) for label in labels
-    ]
-    who = F.col("sex") if by_sex else F.lit("both")
-    return wide.select(
-        *keys, *cells, F.format_string(fixed.GAP_MATRIX_NAME, "age_group", who).alias("file_name")
-    )
+        rows = rows.filter(f"sex IN ({listed(fixed.SEXES)})")
+        keys, who = ["age_group", "sex", "imd_quintile"], "sex"
+    wide = rows.groupBy(*keys).pivot("label", list(labels)).agg(F.expr("sum(gap)"))
+    filled = {label: f"CAST(coalesce({name(label)}, 0) AS BIGINT)" for label in labels}
+    file_name = text.file_name(fixed.GAP_MATRIX_NAME, "age_group", who)
+    return wide.selectExpr(*keys, *aliased(filled), f"{file_name} AS file_name")
 
 
 def suppressed_matrix(
     matrix: DataFrame, labels: Sequence[str] = tuple(fixed.MATRIX_LABELS)
 ) -> DataFrame:
     """The matrix as displayed, small numbers hidden."""
-    return matrix.withColumns(
-        {label: counts.suppressed_text(F.col(f"`{label}`")) for label in labels}
-    )
+    shown = {
+        c: counts.suppressed_text(name(c)) if c in labels else name(c) for c in matrix.columns
+    }
+    return matrix.selectExpr(*aliased(shown))
 
 
 def matrix_margins(rate_rows: DataFrame) -> DataFrame:
@@ -79,26 +74,19 @@ def matrix_margins(rate_rows: DataFrame) -> DataFrame:
 
     Every total is a ratio of sums. `margin` names the kind of row.
     """
-    rows = rate_rows.filter(F.col("broad_group").isNotNull())
     keys = ["age_group", "sex"]
-    sets = [
-        [*keys, "imd_quintile", "broad_group"],
-        [*keys, "imd_quintile"],
-        [*keys, "broad_group"],
-        keys,
-    ]
-    sums = rows.groupingSets(sets, *keys, "imd_quintile", "broad_group").agg(
-        F.grouping("imd_quintile").alias("no_imd"),
-        F.grouping("broad_group").alias("no_group"),
-        F.sum("events").alias("events"),
-        F.sum("population").alias("population"),
-    )
-    margin = (
-        F.when((F.col("no_imd") == 0) & (F.col("no_group") == 0), "cell")
-        .when(F.col("no_imd") == 0, "row")
-        .when(F.col("no_group") == 0, "column")
-        .otherwise("all")
-    )
-    return rate_table(
-        sums.withColumn("margin", margin), ["margin", *keys, "imd_quintile", "broad_group"]
+    imd, group = "imd_quintile", "broad_group"
+    sums = (
+        rate_rows.filter(f"{group} IS NOT NULL")
+        .groupingSets([[*keys, imd, group], [*keys, imd], [*keys, group], keys], *keys, imd, group)
+        .agg(
+            F.expr(
+                f"CASE WHEN grouping({imd}) + grouping({group}) = 0 THEN 'cell' "
+                f"WHEN grouping({imd}) = 0 THEN 'row' "
+                f"WHEN grouping({group}) = 0 THEN 'column' ELSE 'all' END AS margin"
+            ),
+            F.expr("sum(events) AS events"),
+            F.expr("sum(population) AS population"),
+        )
     )
+    return with_rates(sums.select("margin", *keys, imd, group, "events", "population"))

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from uptakelens import reference_values as fixed
 from uptakelens.functions import text
-from uptakelens.operators.cells import labelled
+from uptakelens.functions.sql import listed
+from uptakelens.operators.cells import labelled, summed
 
 
 def _by_sex(cells: DataFrame, sexes: Sequence[str]) -> DataFrame:
-    return labelled(cells.filter(F.col("sex").isin(list(sexes))))
+    return labelled(cells.filter(f"sex IN ({listed(sexes)})"))
 
 
 def median_by_sex(
@@ -25,23 +26,22 @@ def median_by_sex(
     a count each, however many events it has. In strict mode a missing age makes the
     median NULL.
     """
-    ages = _by_sex(cells, sexes)
-    median = F.percentile("age", F.lit(0.5), F.col("events"))
+    median = "percentile(age, 0.5, events)"
     if strict_nulls:
-        median = F.when(F.count("age") == F.count(F.lit(1)), median)
-    wide = ages.groupBy("label").pivot("sex", list(sexes)).agg(median)
-    columns = {sex: f"median_{sex.lower()}" for sex in sexes}
-    wide = wide.withColumnsRenamed(columns)
-    return wide.withColumn("median_text", text.median_text(*[F.col(c) for c in columns.values()]))
+        median = f"CASE WHEN count(age) = count(1) THEN {median} END"
+    wide = _by_sex(cells, sexes).groupBy("label").pivot("sex", list(sexes)).agg(F.expr(median))
+    female, male = (f"median_{sex.lower()}" for sex in sexes)
+    wide = wide.toDF("label", female, male)
+    return wide.selectExpr("*", f"{text.median_text(female, male)} AS median_text")
 
 
 def count_by_sex(cells: DataFrame, sexes: Sequence[str] = tuple(fixed.SEXES)) -> DataFrame:
     """Events by label and sex, with the number as displayed."""
-    sums = _by_sex(cells, sexes).groupBy("label", "sex").agg(F.sum("events").alias("events"))
-    return sums.withColumn("events_text", text.thousands(F.col("events")))
+    sums = summed(_by_sex(cells, sexes), ["label", "sex"], ["events"])
+    return sums.selectExpr("*", f"{text.thousands('events')} AS events_text")
 
 
 def age_frequency(cells: DataFrame, sexes: Sequence[str] = tuple(fixed.SEXES)) -> DataFrame:
     """Events by label, sex and known age: what any density of the ages is drawn from."""
-    known_ages = _by_sex(cells.filter(F.col("age").isNotNull()), sexes)
-    return known_ages.groupBy("label", "sex", "age").agg(F.sum("events").alias("events"))
+    known_ages = _by_sex(cells.filter("age IS NOT NULL"), sexes)
+    return summed(known_ages, ["label", "sex", "age"], ["events"])

@@ -5,35 +5,31 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from uptakelens import reference_values as fixed
 from uptakelens.functions import labels, rates
-from uptakelens.operators.vocabulary import in_vocabulary
+from uptakelens.functions.sql import aliased, literal
+from uptakelens.operators.cells import summed
 
 
 def with_rates(
     counts: DataFrame, level: float = fixed.UPPER_LEVEL, lower_term: str = "n_plus_1"
 ) -> DataFrame:
     """Add proportion, percent, z and the Byar limits to `events` and `population`."""
-    events, population = F.col("events"), F.col("population")
-    return counts.withColumns(
-        {
-            "proportion": F.try_divide(events, population),
-            "percent": rates.percent(events, population),
-            "z": F.lit(rates.normal_quantile(level)),
-            "lower": rates.byar_lower(events, population, level, lower_term),
-            "upper": rates.byar_upper(events, population, level),
-        }
-    )
+    sides = ("events", "population")
+    ratios = {
+        "proportion": rates.proportion(*sides),
+        "percent": rates.percent(*sides),
+        "z": literal(rates.normal_quantile(level)),
+        "lower": rates.byar_lower(*sides, level, lower_term),
+        "upper": rates.byar_upper(*sides, level),
+    }
+    return counts.selectExpr("*", *aliased(ratios))
 
 
 def rate_table(aligned: DataFrame, dims: Sequence[str], **options) -> DataFrame:
     """Rates per combination of dims; sums first, ratios of the sums after."""
-    sums = aligned.groupBy(*dims).agg(
-        F.sum("events").alias("events"), F.sum("population").alias("population")
-    )
-    return with_rates(sums, **options)
+    return with_rates(summed(aligned, dims, ["events", "population"]), **options)
 
 
 def benchmark(rate_rows: DataFrame, by: str = "age_group", **options) -> DataFrame:
@@ -43,11 +39,6 @@ def benchmark(rate_rows: DataFrame, by: str = "age_group", **options) -> DataFra
 
 def with_benchmark(rate_rows: DataFrame, average: DataFrame, by: str = "age_group") -> DataFrame:
     """Rates next to the benchmark of their age group, with the age group's place."""
-    average = average.select(by, F.col("percent").alias("benchmark_percent"))
-    place = labels.position(F.col(by), fixed.AGE_GROUP_ORDER)
-    return rate_rows.join(average, by, "left").withColumn("age_group_ord", place)
-
-
-def with_vocabulary(rate_rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Rates with the place of their label; a label outside the vocabulary becomes NULL."""
-    return in_vocabulary(rate_rows, vocabulary)
+    average = average.selectExpr(by, "percent AS benchmark_percent")
+    place = labels.position(by, fixed.AGE_GROUP_ORDER)
+    return rate_rows.join(average, by, "left").selectExpr("*", f"{place} AS {by}_ord")

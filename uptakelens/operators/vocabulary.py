@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from uptakelens import reference_values as fixed
+from uptakelens.functions import labels
+from uptakelens.functions.sql import listed, literal, name
 
 
 def vocabulary(labelled_cells: DataFrame) -> DataFrame:
@@ -19,33 +20,30 @@ def vocabulary(labelled_cells: DataFrame) -> DataFrame:
     through its sum: a filter on the label itself would be pushed to the raw rows and
     clean the text of each.
     """
-    labelled_events = F.sum(F.when(F.col("label").isNotNull(), F.col("events")))
     found = (
-        labelled_cells.groupBy("label", "broad_group")
-        .agg(labelled_events.alias("events"))
-        .filter(F.col("events") > 0)
+        labelled_cells.groupBy("label")
+        .agg(F.expr("sum(CASE WHEN label IS NOT NULL THEN events END) AS events"))
+        .filter("events > 0")
+    )
+    broad = labels.event_broad_group("label")
+    last_first = "broad_group DESC NULLS FIRST, label DESC"
+    return found.selectExpr("label", f"{broad} AS broad_group").selectExpr(
+        "label", "broad_group", f"row_number() OVER (ORDER BY {last_first}) AS ord"
     )
-    last_first = W.orderBy(F.desc_nulls_first("broad_group"), F.desc("label"))
-    return found.select("label", "broad_group", F.row_number().over(last_first).alias("ord"))
 
 
 def in_vocabulary(rows: DataFrame, labels_in_order: DataFrame) -> DataFrame:
     """Keep labels of the vocabulary and their place; any other label becomes NULL."""
-    known = labels_in_order.select("label", "ord", F.col("label").alias("kept"))
-    return (
-        rows.join(known, "label", "left").withColumn("label", F.col("kept")).drop("kept")
-    )
+    kept = [column for column in rows.columns if column != "label"]
+    known = labels_in_order.selectExpr("label", "ord", "label AS known_label")
+    return rows.join(known, "label", "left").selectExpr(*kept, "ord", "known_label AS label")
 
 
 def report_groups(labels_in_order: DataFrame, everyone: str = fixed.EVERYONE) -> DataFrame:
     """The vocabulary followed by one more group for everybody."""
-    last = labels_in_order.agg((F.count(F.lit(1)) + 1).cast("int").alias("ord"))
-    return (
-        labels_in_order.select("label", "ord")
-        .withColumn("is_everyone", F.lit(False))
-        .unionByName(
-            last.select(F.lit(everyone).alias("label"), "ord", F.lit(True).alias("is_everyone"))
-        )
+    last = labels_in_order.agg(F.expr("CAST(count(1) + 1 AS INT) AS ord"))
+    return labels_in_order.selectExpr("label", "ord", "false AS is_everyone").union(
+        last.selectExpr(f"{literal(everyone)} AS label", "ord", "true AS is_everyone")
     )
 
 
@@ -56,8 +54,9 @@ def distinct_values(rows: DataFrame, column: str) -> DataFrame:
 def require_labels(rows: DataFrame, column: str, expected: Iterable[str]) -> None:
     """Raise when a fixed column list names a label the data does not have."""
     expected = list(expected)
-    found = rows.filter(F.col(column).isin(expected)).select(column).distinct()
-    present = {row[0] for row in found.collect()}  # at most len(expected) rows
+    listed_rows = rows.filter(f"{name(column)} IN ({listed(expected)})")
+    # at most len(expected) rows
+    present = {row[0] for row in distinct_values(listed_rows, column).collect()}
     missing = [label for label in expected if label not in present]
     if missing:
         raise ValueError(f"no rows for the labels {missing}")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from uptakelens.functions.sql import name
 from uptakelens.operators import cells, clean
 from uptakelens.operators.align import align
 from uptakelens.plans.study import (
@@ -22,7 +22,7 @@ from uptakelens.sources import readers, sample_views, schemas, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-RATIOS = ("proportion", "percent", "z", "lower", "upper", "benchmark_percent")
+RATIOS = ("proportion", "percent", "z", "lower", "upper")
 
 
 def study(spark: SparkSession, folder: str) -> Study:
@@ -35,10 +35,14 @@ def study(spark: SparkSession, folder: str) -> Study:
 
 def rounded(rows: DataFrame) -> DataFrame:
     """Ratios to nine decimals, since two engines differ in the last digit of a double."""
-    ratios = [c for c in rows.columns if c in RATIOS or c.startswith("percent_")]
-    digits = {c: F.round(F.col(c), 9) for c in ratios}
-    digits.update({c: F.round(F.col(c), 9) for c in rows.columns if c.endswith("_percent")})
-    return rows.withColumns(digits) if digits else rows
+    return rows.selectExpr(
+        *(
+            f"round({name(c)}, 9) AS {name(c)}"
+            if c in RATIOS or c.endswith("_percent")
+            else name(c)
+            for c in rows.columns
+        )
+    )
 
 
 def of_study(build: Callable[[Study], DataFrame]) -> Query:
@@ -87,7 +91,7 @@ def aligned_left(inputs: Study) -> DataFrame:
         AREA_KEYS,
         how="left",
     )
-    return rows.drop("unknown_rows", "on_register")
+    return rows.drop("unknown_rows", "on_register", "broad_group")
 
 
 def population(strict_nulls: bool) -> Query:

@@ -16,6 +16,10 @@ def _list(values) -> str:
     return ", ".join(f"'{value}'" for value in values)
 
 
+def _columns(view: dict[str, str]) -> str:
+    return ", ".join(views.columns(view))
+
+
 def _case(column: str, groups: dict[str, list[str]], other: str = "NULL") -> str:
     whens = " ".join(f"WHEN {column} IN ({_list(m)}) THEN '{g}'" for g, m in groups.items())
     return f"CASE {whens} ELSE {other} END"
@@ -36,11 +40,15 @@ WINDOW = (
 )
 
 BASE = f"""
-WITH person AS ({views.PERSON.format(customer="customer")}),
-register_rows AS ({views.REGISTER.format(person="person")}),
-event_log AS ({views.EVENT_LOG.format(orders="orders", person="person")}),
-area_lookup AS ({views.AREA_LOOKUP.format(nation="nation", region="region")}),
-target_area AS ({views.TARGET_AREA.format(nation="nation")}),
+WITH people AS (SELECT {_columns(views.PERSON)} FROM customer),
+person AS (SELECT *, {views.AGE_BAND} AS age_band FROM people),
+register_rows AS (SELECT {_columns(views.REGISTER)} FROM person WHERE {views.ON_REGISTER}),
+event_log AS (
+  SELECT {_columns(views.EVENT_LOG)} FROM orders JOIN person ON o_custkey = person_id),
+area_lookup AS (
+  SELECT {_columns(views.AREA_LOOKUP)} FROM nation JOIN region ON n_regionkey = r_regionkey),
+target_area AS (
+  SELECT {views.AREA_LOOKUP["area"]} AS area FROM nation WHERE {views.IS_TARGET}),
 ev0 AS (
   SELECT event_id, person_id, area, sex, age, {BAND} AS age_band, {EVENT_LABEL} AS label
   FROM event_log WHERE {WINDOW} AND area IN (SELECT area FROM target_area)),

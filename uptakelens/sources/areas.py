@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from uptakelens.functions.sql import name
+
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -21,6 +23,7 @@ class Areas:
     targets: DataFrame
     lookup: DataFrame
     broadcastable: bool
+    attributes: tuple[str, ...]
 
     def sized(self, side: DataFrame) -> DataFrame:
         """The side with a broadcast hint if it was proven small, else as it is."""
@@ -39,32 +42,26 @@ def checked_areas(
     """
     targets = targets.select("area")
 
-    def weighed(side: DataFrame, name: str) -> DataFrame:
-        width = sum(
-            (F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in side.columns),
-            start=F.lit(0),
-        )
-        return side.select(F.lit(name).alias("side"), "area", width.alias("width"))
+    def weighed(side: DataFrame, title: str) -> DataFrame:
+        widths = (f"coalesce(octet_length(CAST({name(c)} AS STRING)), 0)" for c in side.columns)
+        return side.selectExpr(f"'{title}' AS side", "area", f"{' + '.join(widths)} AS width")
 
     per_area = (
         weighed(targets, "targets")
-        .unionByName(weighed(lookup, "lookup"))
+        .union(weighed(lookup, "lookup"))
         .groupBy("side", "area")
-        .agg(F.count(F.lit(1)).alias("copies"), F.sum("width").alias("width"))
+        .agg(F.expr("count(1) AS copies"), F.expr("sum(width) AS width"))
+    )
+    per_side = per_area.groupBy("side").agg(
+        F.expr("sum(copies) AS rows"),
+        F.expr("max(CASE WHEN area IS NOT NULL THEN copies END) AS copies"),
+        F.expr("sum(width) AS bytes"),
     )
-    sizes = {
-        row["side"]: row
-        for row in per_area.groupBy("side")
-        .agg(
-            F.sum("copies").alias("rows"),
-            F.max(F.when(F.col("area").isNotNull(), F.col("copies"))).alias("copies"),
-            F.sum("width").alias("bytes"),
-        )
-        .collect()  # one row per side
-    }
+    sizes = {row["side"]: row for row in per_side.collect()}  # one row per side
     if "lookup" in sizes and (sizes["lookup"]["copies"] or 0) > 1:
         raise ValueError("the area lookup lists an area more than once")
     small = all(
         size["rows"] <= max_rows and size["bytes"] <= max_bytes for size in sizes.values()
     )
-    return Areas(targets, lookup, small)
+    attributes = tuple(c for c in lookup.columns if c != "area")
+    return Areas(targets, lookup, small, attributes)

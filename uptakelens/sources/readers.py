@@ -6,10 +6,10 @@ import datetime as dt
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from uptakelens import reference_values as fixed
+from uptakelens.functions.sql import literal
 from uptakelens.sources import schemas
 
 
@@ -87,16 +87,13 @@ def extract_events(
     columns: Sequence[str] = tuple(schemas.EXTRACT_COLUMNS),
     period_label: str = fixed.PERIOD_LABEL,
 ) -> DataFrame:
-    """Rows with start <= date < end, the listed columns, and the period as a constant.
-
-    The bounds are literals of the column's own type, so the filter reaches the scan.
-    """
+    """Rows with start <= date < end, the listed columns, and the period as a constant."""
     rows = in_window(events, date_column, start, end)
-    return rows.select(*columns, F.lit(period_label).alias("time_period"))
+    return rows.selectExpr(*columns, f"{literal(period_label)} AS time_period")
 
 
 def in_window(events: DataFrame, date_column: str, start: str, end: str) -> DataFrame:
-    """Rows with start <= date < end."""
-    kind = events.schema[date_column].dataType
-    low, high = (F.lit(dt.date.fromisoformat(day)).cast(kind) for day in (start, end))
-    return events.filter((F.col(date_column) >= low) & (F.col(date_column) < high))
+    """Rows with start <= date < end. Comparison with a date turns the literal, not the
+    column, into a timestamp, so the filter reaches the scan."""
+    low, high = (dt.date.fromisoformat(day).isoformat() for day in (start, end))
+    return events.filter(f"{date_column} >= DATE'{low}' AND {date_column} < DATE'{high}'")

@@ -1,7 +1,7 @@
 """Views over the supplied tables that have the shape of the library's inputs.
 
-Customers are the people, orders the events, nations the areas. The texts are valid in
-Spark and in DuckDB, where the same views feed the SQL that results are checked against.
+Customers are the people, orders the events, nations the areas. The expressions are valid
+in Spark and in DuckDB, where the same views feed the SQL that results are checked against.
 """
 
 from __future__ import annotations
@@ -25,59 +25,62 @@ TABLES = {
     "region": "r_regionkey int, r_name string",
 }
 
-PERSON = """
-SELECT person_id, area, group_raw, group_national, sex, age,
-  CASE WHEN person_id % 97 = 0 THEN NULL
-       WHEN age IS NULL THEN 'NA-NA'
-       WHEN age BETWEEN 5 AND 9 THEN '05-Sep'
-       WHEN age BETWEEN 10 AND 14 THEN 'Oct-14'
-       ELSE CAST(age - age % 5 AS STRING) || '-' || CAST(age - age % 5 + 4 AS STRING)
-  END AS age_band
-FROM (
-  SELECT c_custkey AS person_id, CAST(c_nationkey AS STRING) AS area,
-    CASE c_mktsegment
+PERSON = {
+    "person_id": "c_custkey",
+    "area": "CAST(c_nationkey AS STRING)",
+    "group_raw": """CASE c_mktsegment
       WHEN 'AUTOMOBILE' THEN 'A: British'
       WHEN 'BUILDING'   THEN 'H: Indian'
       WHEN 'FURNITURE'  THEN 'N: african'
       WHEN 'HOUSEHOLD'  THEN CASE WHEN c_custkey % 9 = 0 THEN 'Z: Not stated'
                                   ELSE 'D: White and black caribbean' END
       ELSE CASE WHEN c_custkey % 53 = 0 THEN NULL
-                ELSE 'L: Any other asian background' END END AS group_raw,
-    CASE c_mktsegment
+                ELSE 'L: Any other asian background' END END""",
+    "group_national": """CASE c_mktsegment
       WHEN 'AUTOMOBILE' THEN 'British'
       WHEN 'BUILDING'   THEN 'Indian'
       WHEN 'FURNITURE'  THEN 'African'
       WHEN 'HOUSEHOLD'  THEN CASE WHEN c_custkey % 9 = 0 THEN 'Not Known'
                                   ELSE 'White and Black Caribbean' END
       ELSE CASE WHEN c_custkey % 53 = 0 THEN NULL
-                ELSE 'Any other Asian background' END END AS group_national,
-    CASE WHEN c_custkey % 7 = 0 THEN 'Unknown'
-         WHEN c_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS sex,
-    CASE WHEN c_custkey % 41 = 0 THEN NULL
-         ELSE CAST((c_custkey * 37) % 113 AS INT) END AS age
-  FROM {customer}) people
-"""
+                ELSE 'Any other Asian background' END END""",
+    "sex": """CASE WHEN c_custkey % 7 = 0 THEN 'Unknown'
+      WHEN c_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END""",
+    "age": "CASE WHEN c_custkey % 41 = 0 THEN NULL ELSE CAST((c_custkey * 37) % 113 AS INT) END",
+}
 
-REGISTER = """
-SELECT area, group_national, sex, age_band,
-  CASE WHEN person_id % 101 = 0 THEN NULL ELSE 1 + person_id % 3 END AS observations
-FROM {person} WHERE person_id % 13 <> 0
-"""
+AGE_BAND = """CASE WHEN person_id % 97 = 0 THEN NULL
+      WHEN age IS NULL THEN 'NA-NA'
+      WHEN age BETWEEN 5 AND 9 THEN '05-Sep'
+      WHEN age BETWEEN 10 AND 14 THEN 'Oct-14'
+      ELSE CAST(age - age % 5 AS STRING) || '-' || CAST(age - age % 5 + 4 AS STRING) END"""
+
+REGISTER = {
+    "area": "area",
+    "group_national": "group_national",
+    "sex": "sex",
+    "age_band": "age_band",
+    "observations": "CASE WHEN person_id % 101 = 0 THEN NULL ELSE 1 + person_id % 3 END",
+}
+ON_REGISTER = "person_id % 13 <> 0"
 
-EVENT_LOG = """
-SELECT o.o_orderkey AS event_id, o.o_orderdate AS event_date, p.person_id, p.area,
-  p.group_raw, p.sex, p.age, p.age_band
-FROM {orders} o JOIN {person} p ON o.o_custkey = p.person_id
-"""
+EVENT_LOG = {
+    "event_id": "o_orderkey",
+    "event_date": "o_orderdate",
+    **{c: c for c in ("person_id", "area", "group_raw", "sex", "age", "age_band")},
+}
+
+AREA_LOOKUP = {
+    "area": "CAST(n_nationkey AS STRING)",
+    "imd_quintile": "CASE WHEN n_nationkey % 11 = 10 THEN NULL ELSE n_nationkey % 5 + 1 END",
+    "constituency": "r_name",
+    "locality": "n_name",
+}
+IS_TARGET = "n_nationkey < 20"
 
-AREA_LOOKUP = """
-SELECT CAST(n_nationkey AS STRING) AS area,
-  CASE WHEN n_nationkey % 11 = 10 THEN NULL ELSE n_nationkey % 5 + 1 END AS imd_quintile,
-  r_name AS constituency, n_name AS locality
-FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
-"""
 
-TARGET_AREA = "SELECT CAST(n_nationkey AS STRING) AS area FROM {nation} WHERE n_nationkey < 20"
+def columns(view: dict[str, str]) -> list[str]:
+    return [f"{expression} AS {name}" for name, expression in view.items()]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -85,18 +88,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def person(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.sql(PERSON, customer=table(spark, folder, "customer"))
+    people = table(spark, folder, "customer").selectExpr(*columns(PERSON))
+    return people.selectExpr("*", f"{AGE_BAND} AS age_band")
 
 
 def register(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.sql(REGISTER, person=person(spark, folder))
+    return person(spark, folder).filter(ON_REGISTER).selectExpr(*columns(REGISTER))
 
 
 def event_log(spark: SparkSession, folder: str) -> DataFrame:
     """One row per event."""
-    return spark.sql(
-        EVENT_LOG, orders=table(spark, folder, "orders"), person=person(spark, folder)
-    )
+    orders = table(spark, folder, "orders").withColumnRenamed("o_custkey", "person_id")
+    return orders.join(person(spark, folder), "person_id").selectExpr(*columns(EVENT_LOG))
 
 
 def event_tally(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,19 +109,18 @@ def event_tally(spark: SparkSession, folder: str) -> DataFrame:
     all events is one row by then.
     """
     window = in_window(table(spark, folder, "orders"), "o_orderdate", WINDOW_START, WINDOW_END)
-    per_person = window.groupBy(F.col("o_custkey").alias("person_id")).agg(
-        F.count(F.lit(1)).alias("events")
-    )
-    return per_person.join(person(spark, folder), "person_id")
+    events = window.withColumnRenamed("o_custkey", "person_id").groupBy("person_id")
+    return events.agg(F.expr("count(1) AS events")).join(person(spark, folder), "person_id")
 
 
 @lru_cache(maxsize=16)
 def _areas(application: str, folder: str) -> Areas:
     spark = SparkSession.active()
     nation, region = (table(spark, folder, name) for name in ("nation", "region"))
+    located = nation.join(region.withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
     return checked_areas(
-        spark.sql(TARGET_AREA, nation=nation),
-        spark.sql(AREA_LOOKUP, nation=nation, region=region),
+        nation.filter(IS_TARGET).selectExpr(f"{AREA_LOOKUP['area']} AS area"),
+        located.selectExpr(*columns(AREA_LOOKUP)),
     )
 
 

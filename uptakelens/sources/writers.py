@@ -7,7 +7,6 @@ import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from uptakelens.functions.text import slug
 
@@ -50,7 +49,7 @@ def write_sheets(results: DataFrame, path: str, by: str, file_format: str = "csv
     The rebalance hint gathers a sheet's rows into few files and still splits a sheet
     that is too large for one task.
     """
-    sheets = results.withColumn("sheet", slug(F.col(by))).hint("rebalance", "sheet")
+    sheets = results.selectExpr("*", f"{slug(by)} AS sheet").hint("rebalance", "sheet")
     return write_results(sheets, path, file_format, partition_by=["sheet"])
 
 
