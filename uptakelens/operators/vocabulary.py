@@ -33,10 +33,16 @@ def vocabulary(labelled_cells: DataFrame) -> DataFrame:
 
 
 def in_vocabulary(rows: DataFrame, labels_in_order: DataFrame) -> DataFrame:
-    """Keep labels of the vocabulary and their place; any other label becomes NULL."""
+    """Keep labels of the vocabulary and their place; any other label becomes NULL.
+
+    The vocabulary has no NULL, so null-safe equality gives the same rows. Plain equality
+    would add a not-null filter on the cleaned text that moves down to the raw rows.
+    """
     kept = [column for column in rows.columns if column != "label"]
-    known = labels_in_order.selectExpr("label", "ord", "label AS known_label")
-    return rows.join(known, "label", "left").selectExpr(*kept, "ord", "known_label AS label")
+    known = labels_in_order.selectExpr("ord", "label AS known_label")
+    return rows.join(known, F.expr("label <=> known_label"), "left").selectExpr(
+        *kept, "ord", "known_label AS label"
+    )
 
 
 def report_groups(labels_in_order: DataFrame, everyone: str = fixed.EVERYONE) -> DataFrame:

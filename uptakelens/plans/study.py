@@ -99,18 +99,28 @@ class Study:
     def aligned(self, keys: Sequence[str], cell_keys: Sequence[str] | None = None) -> DataFrame:
         """Known cells with population and events on the keys, 0 where a side has none.
 
-        `cell_keys` may name finer cells to start from, so that two alignments of one
-        query share a scan.
+        `cell_keys` may name the finer cells to sum from, so that two alignments of one
+        query share the scans of both inputs. The join grain is that of `keys` either way.
         """
         events = self.event_cells(cell_keys or keys)
+        register = self.register_cells(cell_keys or keys)
+        if cell_keys:
+            register = cells.summed(register, cell_keys, cells.REGISTER_MEASURES)
+        else:
+            register = register.filter(alignment.known(["sex"]))
         if "label" in keys:
             events = cells.labelled(events)
         known = alignment.known(keys)
-        register = self.register_cells(keys).filter(alignment.known(["sex"]))
         return alignment.align(register, events, keys, in_register=known, in_events=known)
 
-    def rates(self, keys: Sequence[str], dims: Sequence[str], **options) -> DataFrame:
-        rows = cells.add_age_group(self.aligned(keys))
+    def rates(
+        self,
+        keys: Sequence[str],
+        dims: Sequence[str],
+        cell_keys: Sequence[str] | None = None,
+        **options,
+    ) -> DataFrame:
+        rows = cells.add_age_group(self.aligned(keys, cell_keys))
         if "imd_quintile" in dims:
             rows = clean.replaced(rows, {"imd_quintile": "CAST(imd_quintile AS STRING)"})
         return rate_tables.rate_table(rows, dims, **options)
@@ -140,7 +150,9 @@ class Study:
 
     def rates_by_imd_with_benchmark(self) -> DataFrame:
         """Rates by quintile next to the same average, which always is that of the groups."""
-        return rate_tables.with_benchmark(self.rates_by_imd(), self.benchmark())
+        shared = {"cell_keys": GROUP_IMD_KEYS}
+        average = rate_tables.benchmark(self.rates_by_group(**shared))
+        return rate_tables.with_benchmark(self.rates_by_imd(**shared), average)
 
     # -- gaps ----------------------------------------------------------------------
 
