@@ -14,7 +14,7 @@ SF_001 = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     spark = session(
         "local[4]",
         "uptakelens-tests",
@@ -22,6 +22,7 @@ def spark():
             "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "4g",
             "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
