@@ -109,7 +109,7 @@ def rates_from_written_cells(spark: SparkSession, folder: str) -> DataFrame:
 def rates_csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Rates written as the CSV file other tools read, and read back."""
     table = study(spark, folder).hand_over_files()["rates"]
-    path = f"{writers.shared_folder(spark)}/rates.csv"
+    path = writers.new_folder(spark, "rates.csv")
     fields = [
         T.StructField(f.name, T.IntegerType() if f.name == "IMD_quintile" else f.dataType)
         for f in table.schema
@@ -123,7 +123,7 @@ def rates_csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 def constituency_sheets(spark: SparkSession, folder: str) -> DataFrame:
     """Share tables written one folder per label, and read back with the folder's name."""
     table = study(spark, folder).constituency_share()
-    path = f"{writers.shared_folder(spark)}/sheets"
+    path = writers.new_folder(spark, "sheets")
     with_sheet = T.StructType([*table.schema.fields, T.StructField("sheet", T.StringType())])
     writers.write_sheets(table, path, "label", "parquet")
     return spark.read.schema(with_sheet).parquet(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), f"uptakelens-{spark.sparkContext.applicationId}")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else reads or writes."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def write_results(
     results: DataFrame,
     path: str,
@@ -59,7 +65,7 @@ def load_once(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     Later queries start from the written table: the inputs are scanned once, and a lost
     executor costs no recomputation.
     """
-    path = f"{shared_folder(spark)}/{name}"
+    path = new_folder(spark, name)
     schema = rows.schema
     write_results(rows, path)
     return spark.read.schema(schema).parquet(path)
