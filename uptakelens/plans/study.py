@@ -162,7 +162,7 @@ class Study:
     def gap_levels(self) -> DataFrame:
         return gaps.gap_levels(self.gap_cells(), self.vocabulary(GROUP_IMD_KEYS))
 
-    def area_gap(self, strict_nulls: bool = False) -> DataFrame:
+    def area_gap(self, strict_nulls: bool = True) -> DataFrame:
         return area_reports.with_constituency(self._area_gap(strict_nulls), self.areas)
 
     def _area_gap(self, strict_nulls: bool) -> DataFrame:
@@ -170,17 +170,17 @@ class Study:
             self.register_cells(AREA_KEYS), self.event_cells(AREA_KEYS), strict_nulls
         )
 
-    def area_layer(self, strict_nulls: bool = False) -> DataFrame:
+    def area_layer(self, strict_nulls: bool = True) -> DataFrame:
         return area_reports.area_layer(
             self._area_gap(strict_nulls), self.vocabulary(AREA_KEYS), self.areas
         )
 
-    def constituency_share(self, strict_nulls: bool = False) -> DataFrame:
+    def constituency_share(self, strict_nulls: bool = True) -> DataFrame:
         return area_reports.constituency_share(
             self.area_gap(strict_nulls), self.vocabulary(AREA_KEYS)
         )
 
-    def gap_totals(self, strict_nulls: bool = False) -> DataFrame:
+    def gap_totals(self, strict_nulls: bool = True) -> DataFrame:
         return area_reports.gap_totals(
             self._area_gap(strict_nulls), self.vocabulary(AREA_KEYS)
         )

@@ -29,9 +29,15 @@ EXTRACT_COLUMNS = [
     "LSOA",
 ]
 
+# The columns of the extract that the analysis uses.
 EVENTS = T.StructType(
-    [T.StructField(name, T.StringType()) for name in EXTRACT_COLUMNS if name != "age"]
-    + [T.StructField("age", T.DoubleType()), T.StructField("TimePeriod", T.StringType())]
+    [
+        T.StructField("ethnicity_description", T.StringType()),
+        T.StructField("age", T.DoubleType()),
+        T.StructField("AgeBand", T.StringType()),
+        T.StructField("gender", T.StringType()),
+        T.StructField("LSOA", T.StringType()),
+    ]
 )
 
 REGISTER = T.StructType(
