@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 from collections import defaultdict
+from statistics import median
 
 from uptakelens import reference_values as fixed
 from uptakelens.plans.study import Study
@@ -59,10 +61,10 @@ REGISTER = [
 ]
 
 
-def study(spark, **limits) -> Study:
+def study(spark, events=EVENTS, register=REGISTER, **limits) -> Study:
     return Study(
-        spark.createDataFrame(EVENTS, EVENT_SCHEMA),
-        spark.createDataFrame(REGISTER, REGISTER_SCHEMA),
+        spark.createDataFrame(events, EVENT_SCHEMA),
+        spark.createDataFrame(register, REGISTER_SCHEMA),
         checked_areas(
             spark.createDataFrame(TARGETS, "area string"),
             spark.createDataFrame(LOOKUP, LOOKUP_SCHEMA),
@@ -89,7 +91,7 @@ def _in_targets(area):
     return (area,) in TARGETS
 
 
-def _quintile(area):
+def quintile(area):
     return {row[0]: row[1] for row in LOOKUP}.get(area)
 
 
@@ -101,13 +103,13 @@ def _age_group(band):
     return _group(band, fixed.AGE_GROUPS) or fixed.REMAINING_AGE_GROUP
 
 
-def rates_by_group() -> dict:
+def rates_by_group(event_rows=EVENTS, register_rows=REGISTER) -> dict:
     """(label, broad, sex, age group) -> (events, population)."""
     population, events = defaultdict(int), defaultdict(int)
-    for area, group, band, sex, observations in REGISTER:
+    for area, group, band, sex, observations in register_rows:
         if _in_targets(area):
             population[_band(band), _label(group), sex] += observations or 0
-    for area, group, band, sex, _ in EVENTS:
+    for area, group, band, sex, _ in event_rows:
         if _in_targets(area):
             events[_band(band), _label(group), sex] += 1
     sums = defaultdict(lambda: [0, 0])
@@ -124,15 +126,15 @@ def rates_by_group() -> dict:
     return {key: tuple(cell) for key, cell in sums.items()}
 
 
-def area_gaps(strict: bool) -> dict:
+def area_gaps(strict: bool, event_rows=EVENTS, register_rows=REGISTER) -> dict:
     """(area, label) -> (gap, total), None where a missing observation makes it so."""
     cells, events = {}, defaultdict(int)
-    for area, group, band, _, observations in REGISTER:
+    for area, group, band, _, observations in register_rows:
         label, band = _label(group), _band(band)
         if not _in_targets(area) or label in (None, "Not Known") or band in fixed.BANDS_FROM_65:
             continue
         cells.setdefault((area, label, band), []).append(observations)
-    for area, group, band, _, _ in EVENTS:
+    for area, group, band, _, _ in event_rows:
         if _label(group) not in (None, "Not stated"):
             events[area, _label(group), _band(band)] += 1
     sums = {}
@@ -146,3 +148,73 @@ def area_gaps(strict: bool) -> dict:
         key: (None, None) if total is None else (max(total - reached, 0), total)
         for key, (total, reached) in sums.items()
     }
+
+
+def gap_cells(event_rows, register_rows) -> dict:
+    """(age group, sex, label, quintile) -> gap, clamped at that grain."""
+    population, events = defaultdict(int), defaultdict(int)
+    for area, group, band, sex, observations in register_rows:
+        if _in_targets(area):
+            population[_band(band), _label(group), sex, quintile(area)] += observations or 0
+    for area, group, band, sex, _ in event_rows:
+        if _in_targets(area):
+            events[_band(band), _label(group), sex, quintile(area)] += 1
+    sums = defaultdict(int)
+    for key in population.keys() | events.keys():
+        band, label, sex, imd = key
+        if band in (None, "NA-NA") or label in (None, "Not stated", "Not Known"):
+            continue
+        if sex in fixed.SEXES and imd is not None:
+            sums[_age_group(band), sex, label, imd] += population.get(key, 0) - events.get(key, 0)
+    return {key: max(gap, 0) for key, gap in sums.items()}
+
+
+def medians(event_rows) -> dict:
+    """(label, sex) -> median age, None when an age is missing."""
+    ages = defaultdict(list)
+    for area, group, _, sex, age in event_rows:
+        if _in_targets(area) and sex in fixed.SEXES:
+            ages[_label(group), sex].append(age)
+    return {
+        key: None if None in values else float(median(values)) for key, values in ages.items()
+    }
+
+
+def vocabulary(event_rows) -> list:
+    """Labels from the last in (broad group, label) order, a missing broad group last."""
+    found = {_label(group) for area, group, *_ in event_rows if _in_targets(area)} - {None}
+    place = {label: _group(label, fixed.EVENT_BROAD_GROUPS) for label in found}
+    ascending = sorted(found, key=lambda label: (place[label] is None, place[label] or "", label))
+    return ascending[::-1]
+
+
+def random_inputs(seed: int) -> tuple[list, list]:
+    """Events and register rows with every kind of oddity, a third of them in one cell."""
+    draw = random.Random(seed)
+    areas = ["a1", "a2", "a3", "a4", "a9", None]
+    bands = ["05-Sep", "Oct-14", "10-14", "5-19", "20-24", "65-69", "80-84", "105-109", "NA-NA", None]
+    sexes = ["Female", "Male", "Male", "Unknown", None]
+    raw = ["A: British", "British", "N: african", "R: Chinese", "Z: Not stated", "Q: Roma", "x", None]
+    national = ["British", "African", "Chinese", "Not Known", "Not stated", "x", None]
+    events = [
+        (
+            draw.choice(areas),
+            draw.choice(raw),
+            draw.choice(bands),
+            draw.choice(sexes),
+            draw.choice([None, *range(0, 110)]),
+        )
+        for _ in range(400)
+    ]
+    events += [("a1", "N: african", "20-24", "Male", 20 + i % 5) for i in range(200)]
+    register = [
+        (
+            draw.choice(areas),
+            draw.choice(national),
+            draw.choice(bands),
+            draw.choice(sexes),
+            draw.choice([None, 0, 1, 2, 3, 40]) if draw.random() < 0.5 else draw.randint(0, 9),
+        )
+        for _ in range(300)
+    ]
+    return events, register

@@ -47,7 +47,8 @@ event_log AS (
   SELECT {_columns(views.EVENT_LOG)} FROM orders JOIN person ON o_custkey = person_id),
 area_lookup AS (
   SELECT {_columns(views.AREA_LOOKUP)} FROM nation JOIN region ON n_regionkey = r_regionkey),
-target_area AS (SELECT area FROM area_lookup WHERE {views.IS_TARGET}),
+target_area AS (
+  SELECT {views.AREA_LOOKUP["area"]} AS area FROM nation WHERE {views.IS_TARGET}),
 ev0 AS (
   SELECT event_id, person_id, area, sex, age, {BAND} AS age_band, {EVENT_LABEL} AS label
   FROM event_log WHERE {WINDOW} AND area IN (SELECT area FROM target_area)),

@@ -78,7 +78,8 @@ AREA_LOOKUP = {
     "constituency": "r_name",
     "locality": "n_name",
 }
-IS_TARGET = "constituency <> 'MIDDLE EAST'"
+# All regions but the last one, so some events and people are outside the target areas.
+IS_TARGET = "n_regionkey <> 4"
 
 
 def columns(view: dict[str, str]) -> list[str]:
@@ -120,8 +121,8 @@ def _areas(application: str, folder: str) -> Areas:
     spark = SparkSession.active()
     nation, region = (table(spark, folder, name) for name in ("nation", "region"))
     located = nation.join(region.withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
-    lookup = located.selectExpr(*columns(AREA_LOOKUP))
-    return checked_areas(lookup.filter(IS_TARGET), lookup)
+    targets = nation.filter(IS_TARGET).selectExpr(f"{AREA_LOOKUP['area']} AS area")
+    return checked_areas(targets, located.selectExpr(*columns(AREA_LOOKUP)))
 
 
 def areas(spark: SparkSession, folder: str) -> Areas:
