@@ -36,6 +36,11 @@ def test_window_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<o_custkey:bigint,o_orderdate:timestamp_ntz>" in text
 
 
+def test_window_passes_the_join(spark):
+    text = QUERIES["extract_events"](spark, SF_0001)._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in text
+
+
 @pytest.mark.parametrize(
     "name",
     [

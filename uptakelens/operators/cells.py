@@ -93,6 +93,18 @@ def register_cells(register: DataFrame, areas: Areas, by: Sequence[str]) -> Data
     return _tagged(rows, areas, by, REGISTER_MEASURES)
 
 
+def register_summary(register: DataFrame, areas: Areas) -> DataFrame:
+    """The register with one row per combination of its own columns in the target areas.
+
+    Rows with a missing observation stay apart from the others, so that sums which a
+    missing one makes NULL come out the same from the summary.
+    """
+    by = ["area", "group_national", "age_band", "sex", "unknown"]
+    rows = _rows(register, [*by, "observations"], {"unknown": "observations IS NULL"})
+    tagged = _tagged(rows, areas, by, ["observations"])
+    return summed(tagged, by, ["observations"]).drop("unknown")
+
+
 def population_by(
     register: DataFrame, areas: Areas, by: Sequence[str], strict_nulls: bool = False
 ) -> DataFrame:

@@ -46,8 +46,8 @@ def gap_levels(
     have is NULL too; `level` tells the two apart.
     """
     dims = list(dict.fromkeys(c for columns in levels.values() for c in columns))
-    columns = ["CAST(imd_quintile AS STRING) AS imd_quintile" if c == "imd_quintile" else c for c in dims]
-    rows = in_vocabulary(cells, vocabulary).selectExpr(*columns, "gap")
+    category = {"imd_quintile": "CAST(imd_quintile AS STRING) AS imd_quintile"}
+    rows = in_vocabulary(cells, vocabulary).selectExpr(*(category.get(c, c) for c in dims), "gap")
     sums = rows.groupingSets([list(level) for level in levels.values()], *dims).agg(
         F.expr("grouping_id() AS absent"), F.expr("sum(gap) AS gap")
     )

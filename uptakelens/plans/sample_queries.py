@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -25,7 +26,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 RATIOS = ("proportion", "percent", "z", "lower", "upper")
 
 
+@lru_cache(maxsize=16)
 def study(spark: SparkSession, folder: str) -> Study:
+    """The views of a folder, defined once per session. They are lazy: no data is kept."""
     return Study(
         sample_views.event_tally(spark, folder),
         sample_views.register(spark, folder),

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from uptakelens import reference_values as fixed
 from uptakelens.functions import labels
@@ -54,25 +53,9 @@ class Study:
         return cells.register_cells(self.register, self.areas, by)
 
     def collapsed(self, spark: SparkSession, name: str = "study") -> Study:
-        """The same study on written cells: each input is scanned once for all reports.
-
-        Rows with a missing observation stay apart from the others, so that sums which a
-        missing one makes NULL come out the same.
-        """
-        finest = ["area", "group_raw", "age_band", "sex", "age"]
-        events = self.event_cells(finest)
-        register = (
-            clean.in_areas(self.register, self.areas)
-            .groupBy(
-                "area",
-                "group_national",
-                "age_band",
-                "sex",
-                F.expr("observations IS NULL AS unknown"),
-            )
-            .agg(F.expr("sum(observations) AS observations"))
-            .drop("unknown")
-        )
+        """The same study on written cells: each input is scanned once for all reports."""
+        events = self.event_cells(["area", "group_raw", "age_band", "sex", "age"])
+        register = cells.register_summary(self.register, self.areas)
         return replace(
             self,
             events=writers.load_once(spark, events, f"{name}-events"),

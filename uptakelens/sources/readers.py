@@ -73,7 +73,9 @@ def jdbc_options(
     }
 
 
-def read_view(spark: SparkSession, properties: Mapping[str, str] | None = None, **options) -> DataFrame:
+def read_view(
+    spark: SparkSession, properties: Mapping[str, str] | None = None, **options
+) -> DataFrame:
     """A database view; `options` are those of `jdbc_options`, `properties` the driver's."""
     reader = spark.read.format("jdbc").options(**jdbc_options(**options))
     return reader.options(**(properties or {})).load()
