@@ -127,7 +127,7 @@ class UrlModel:
         return 1 / (1 + np.exp(-total))
 
 
-def fit(host: list[str], path: list[str], block: list[bool], penalty: float = 1e-3) -> UrlModel:
+def fit(host: list[str], path: list[str], block: list[bool], penalty: float = 1e-5) -> UrlModel:
     """Logistic regression by accelerated gradient steps. Without both classes, the constant
     answer: 1 if all labels are block, else 0."""
     y = np.asarray(block, float)
