@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from uptakelens.llm import language_id, secret_scan, url_filter
+from uptakelens.llm import language_id, secret_scan, toxicity, url_filter
 from uptakelens.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,9 @@ def all_queries() -> dict[str, Query]:
     return {
         "op1_language_id": over("documents", language_id.identify),
         "op2_url_filter": over("pages", url_filter.judge),
+        "op7_toxicity": lambda spark, sf_dir: toxicity.report(
+            table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+        ),
         "op10_secret_scan": over("documents", secret_scan.report),
     }
 
