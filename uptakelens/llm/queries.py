@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from uptakelens.llm import language_id, secret_scan, toxicity, url_filter
+from uptakelens.llm import language_id, secret_scan, toxicity, url_filter, winnowing
 from uptakelens.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ def all_queries() -> dict[str, Query]:
         "op7_toxicity": lambda spark, sf_dir: toxicity.report(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
         ),
+        "op8_winnowing": over("documents", winnowing.report),
         "op10_secret_scan": over("documents", secret_scan.report),
     }
 
