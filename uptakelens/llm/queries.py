@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from uptakelens.llm import decontamination, language_id, line_dedup, secret_scan, toxicity, url_filter, winnowing
+from uptakelens.llm import chat_format, decontamination, language_id, line_dedup, secret_scan, toxicity, url_filter, winnowing
 from uptakelens.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ def all_queries() -> dict[str, Query]:
     return {
         "op1_language_id": over("documents", language_id.identify),
         "op2_url_filter": over("pages", url_filter.judge),
+        "op3_chat_perspectives": over("conversations", chat_format.rotated),
         "op4_line_dedup": over("documents", line_dedup.report),
         "op6_decontamination": lambda spark, sf_dir: decontamination.leaks(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -36,4 +37,4 @@ def all_queries() -> dict[str, Query]:
 
 def all_sql() -> dict[str, str]:
     """DuckDB SQL for the operators that SQL can express on whole tables."""
-    return {"op4_line_dedup": line_dedup.SQL, "op6_decontamination": decontamination.SQL}
+    return {"op3_chat_perspectives": chat_format.SQL, "op4_line_dedup": line_dedup.SQL, "op6_decontamination": decontamination.SQL}
