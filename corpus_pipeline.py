@@ -1,4 +1,8 @@
-"""The stages that turn raw documents into encoded training text."""
+"""The stages that turn raw documents into encoded training text.
+
+Each stage takes what its predecessor kept and returns documents with the same columns; the last
+returns the ids of every document's pieces.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +10,16 @@ from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from uptakelens.llm import language_id
-from uptakelens.llm.tables import shared_folder, table
+from uptakelens.llm import (
+    decontamination,
+    language_id,
+    line_dedup,
+    minhash_dedup,
+    sentencepiece_codec,
+)
+from uptakelens.llm.tables import settled, shared_folder, small_side, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -19,7 +30,45 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language_id.with_language(docs, model).filter("lang_pred <> 'und'").select(docs.columns)
 
 
-STAGES: list[tuple[str, Stage]] = [("language_id", known_language)]
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many sites share; n_chars follows. Documents of which
+    nothing but white space is left by that go."""
+    rows = line_dedup.without_boilerplate(docs)
+    left = rows.filter(r"n_removed = 0 OR text rlike '\\S'")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.withColumn("n_chars", F.coalesce(n_chars, "n_chars")).select(docs.columns)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies. Rows that share a doc_id
+    are one document, of which one row stays; rows without doc_id stay."""
+    found = minhash_dedup.report(docs)
+    gone = settled(found.filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
+    rows = docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
+    repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    if repeated.isEmpty():
+        return rows
+    with_id = rows.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return with_id.unionByName(rows.filter("doc_id IS NULL"))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, and the ids of the text's pieces."""
+    return sentencepiece_codec.encode(docs, sentencepiece_codec.read_model())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", known_language),
+    ("line_dedup", without_boilerplate),
+    ("near_dedup", without_copies),
+    ("decontamination", without_benchmark),
+    ("encoding", encoded),
+]
 
 #: Language identification and encoding can't be expressed in SQL.
 ORACLE_SQL: str | None = None

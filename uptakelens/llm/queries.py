@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from uptakelens.llm import chat_format, decontamination, language_id, line_dedup, secret_scan, toxicity, url_filter, winnowing
+from uptakelens.llm import (
+    chat_format,
+    decontamination,
+    language_id,
+    line_dedup,
+    minhash_dedup,
+    secret_scan,
+    sentencepiece_codec,
+    toxicity,
+    url_filter,
+    winnowing,
+)
 from uptakelens.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +35,7 @@ def all_queries() -> dict[str, Query]:
         "op2_url_filter": over("pages", url_filter.judge),
         "op3_chat_perspectives": over("conversations", chat_format.rotated),
         "op4_line_dedup": over("documents", line_dedup.report),
+        "op5_minhash_dedup": over("documents", minhash_dedup.report),
         "op6_decontamination": lambda spark, sf_dir: decontamination.leaks(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
         ),
@@ -31,6 +43,7 @@ def all_queries() -> dict[str, Query]:
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
         ),
         "op8_winnowing": over("documents", winnowing.report),
+        "op9_sentencepiece": over("documents", sentencepiece_codec.report),
         "op10_secret_scan": over("documents", secret_scan.report),
     }
 
