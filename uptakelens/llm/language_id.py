@@ -110,17 +110,19 @@ def automata(model: LanguageModel) -> Automata:
     width, tables, roots, first = len(used) + 1, [], [], 0
     for sample in model.samples:
         moves = suffix_automaton(sample)
-        table = np.full((len(moves), width), -1, np.int64)
+        table = np.full((len(moves) + 1, width), -1, np.int64)
         for state, move in enumerate(moves):
             for symbol, target in move.items():
                 table[state, letter[symbol]] = 2 * (target + first)
-        anew = np.where(table[0] >= 0, table[0], 2 * first) + 1
-        table = np.where(table >= 0, table, anew)
-        # From the beginning, nothing ends before a known letter; an unknown one is a phrase.
-        table[0] = np.where(table[0] & 1, 2 * first + 1, table[0])
+        # An unknown letter is a phrase of its own and leads to one more state, from which every
+        # letter begins a phrase, as it does where there is no transition.
+        alone = 2 * (len(moves) + first)
+        anew = np.where(table[0] >= 0, table[0], alone)
+        table[0] = anew
+        table = np.where(table >= 0, table, anew + 1)
         tables.append(table)
         roots.append(first)
-        first += len(moves)
+        first += len(moves) + 1
     cost = np.array([np.log2(max(2, len(s))) for s in model.samples])
     return Automata(letter, np.concatenate(tables).ravel().astype(np.int32), width, np.array(roots), cost)
 
