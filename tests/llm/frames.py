@@ -30,7 +30,7 @@ SCHEMA = "doc_id bigint, text string, lang string, source string"
 CLASHES = (
     "score lang_pred held_out host path rule verdict key line lines place block extra n node bucket "
     "hub root set a b h s w m i need sketch first above ids document chunk text_of kind begin row "
-    "found parts features raw label toxic prediction probability n_lines n_removed kept component_id"
+    "gone found parts features raw label toxic prediction probability n_lines n_removed kept component_id"
 ).split()
 
 

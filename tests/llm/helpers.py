@@ -1,2 +1,3 @@
 SF_0001 = "/root/testdata/sf0.001"
 SF_001 = "/root/testdata/sf0.01"
+SF_01 = "/root/testdata/sf0.1"

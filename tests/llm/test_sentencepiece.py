@@ -1,0 +1,99 @@
+from __future__ import annotations
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from frames import empty, odd, rows_of, table
+from helpers import SF_0001
+
+from uptakelens.llm import pieces
+from uptakelens.llm import sentencepiece_codec as codec
+
+MODEL = codec.read_model()
+
+
+@pytest.fixture(scope="module")
+def words():
+    return pieces.Vocabulary(MODEL)
+
+
+def single_pass(words, text):
+    """Ids by the plain recurrence over the whole text."""
+    s = pieces.normal(text)
+    best, back = words.forward(s, [0.0], len(s))
+    return words.traced(s, back, len(s))[0]
+
+
+def every_segmentation(words, s):
+    """Best score over all segmentations of a short text, by trying them all."""
+    if not s:
+        return 0.0
+    best = pieces.NONE
+    for n in range(1, min(words.longest, len(s)) + 1):
+        found = words.pieces.get(s[:n])
+        score = found[0] if found else words.unknown if n == 1 else pieces.NONE
+        if score > pieces.NONE:
+            best = max(best, score + every_segmentation(words, s[n:]))
+    return best
+
+
+draw = random.Random(6)
+NASTY = [
+    "a" * 900, "ab" * 700, " " * 900, "the" * 400 + " " * 50 + "x" * 77, "日本" * 300 + "ing" * 200, "\n" * 600,
+    "".join(draw.choice("abethin gr▁é\n😀") for _ in range(3000)), "0123456789abcdef" * 60, "x", " x", "▁▁ ▁",
+    *("z" * n for n in range(14, 20)), *(" the" * n for n in range(3, 7)),
+]
+
+
+def test_best_score(words):
+    for text in ["the thing", "a  b", "zzz", "日x", "and there", "▁a"]:
+        s = pieces.normal(text)
+        assert words.forward(s, [0.0], len(s))[0][-1] == every_segmentation(words, s)
+
+
+def test_in_step_equals_single_pass(words):
+    ids, at, scores = words.encode_all([pieces.normal(t) for t in NASTY])
+    for i, text in enumerate(NASTY):
+        s = pieces.normal(text)
+        assert ids[at[i] : at[i + 1]].tolist() == single_pass(words, text)
+        assert scores[i] == words.forward(s, [0.0], len(s))[0][-1]
+        assert words.decode(ids[at[i] : at[i + 1]].tolist()) == text
+
+
+@pytest.mark.parametrize("size", [16, 17, 64, 501])
+def test_scan_equals_single_pass(spark, words, size):
+    docs = table(spark, "doc_id bigint, text string", *enumerate(NASTY))
+    found = dict(map(tuple, codec.encoded_by_scan(docs, MODEL, size, block=3).collect()))
+    for i, text in enumerate(NASTY):
+        assert list(found[i]) == single_pass(words, text)
+
+
+def test_max_plus_is_associative():
+    draws = np.random.default_rng(2).integers(-50, 0, (3, 16, 16)).astype(float)
+    draws[draws < -40] = -np.inf
+    a, b, c = draws
+    assert np.array_equal(pieces.max_plus(pieces.max_plus(a, b), c), pieces.max_plus(a, pieces.max_plus(b, c)))
+
+
+def test_round_trip_of_given_documents(spark, words):
+    docs = spark.read.parquet(f"{SF_0001}/documents.parquet")
+    texts = dict(docs.select("doc_id", "text").collect())
+    rows = codec.report(docs, MODEL).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+    assert rows_of(codec.report(docs, MODEL, giant=2000, size=1000)) == sorted(map(tuple, rows), key=repr)
+    for r in rows[:40]:
+        ids = single_pass(words, texts[r.doc_id])
+        assert r.n_ids == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_odd_documents(spark):
+    rows = rows_of(codec.report(odd(spark), MODEL))
+    assert len(rows) == 16 and rows == rows_of(codec.report(odd(spark, extra=False), MODEL))
+    texts = {(r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in odd(spark, extra=False).collect()}
+    assert {(r[0], r[3]) for r in rows} == texts
+    assert codec.report(empty(spark), MODEL).collect() == []

@@ -68,12 +68,20 @@ def without_boilerplate(
 ) -> DataFrame:
     """The documents with the boilerplate lines taken out of text, and n_lines and n_removed
     (columns of these names are replaced)."""
-    gone = removals(docs, min_sites, min_chars).withColumnsRenamed({"doc_id": "g_id", "key": "g_key"})
-    same = (F.col("doc_id").eqNullSafe(F.col("g_id"))) & (F.xxhash64("text") == F.col("g_key"))
-    rows = docs.join(gone, same, "left").withColumn("lines", F.expr(r"split(text, '\n')"))
-    left = "array_except(sequence(0, size(lines) - 1), gone)"
-    text = rf"if(gone IS NULL, text, array_join(transform({left}, i -> lines[i]), '\n'))"
-    counts = {"n_lines": "bigint(coalesce(size(lines), 0))", "n_removed": "bigint(coalesce(size(gone), 0))"}
+    # Names that begin like this are taken not to occur among the documents' columns.
+    gone = removals(docs, min_sites, min_chars).selectExpr(
+        "doc_id AS __dedup_id", "key AS __dedup_key", "gone AS __dedup_gone"
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("__dedup_id"))
+    rows = docs.join(gone, same & (F.xxhash64("text") == F.col("__dedup_key")), "left")
+    rows = rows.withColumn("__dedup_lines", F.expr(r"split(text, '\n')"))
+    left = "array_except(sequence(0, size(__dedup_lines) - 1), __dedup_gone)"
+    rebuilt = rf"array_join(transform({left}, i -> __dedup_lines[i]), '\n')"
+    text = f"if(__dedup_gone IS NULL, text, {rebuilt})"
+    counts = {
+        "n_lines": "bigint(coalesce(size(__dedup_lines), 0))",
+        "n_removed": "bigint(coalesce(size(__dedup_gone), 0))",
+    }
     own = [c for c in docs.columns if c not in counts]
     return rows.select(
         *(F.expr(text).alias(c) if c == "text" else F.col(c) for c in own),
