@@ -7,9 +7,10 @@ from conftest import SF_001
 from oracle import ordered, sql_rows
 
 import __spark_entry__ as entry_points
+from uptakelens.plans import sample_queries, sample_sql
 
-QUERIES = entry_points.queries()
-SQL = entry_points.oracle_sql()
+QUERIES = sample_queries.all_queries()
+SQL = sample_sql.all_sql()
 
 
 def test_every_query_has_sql():
@@ -26,5 +27,10 @@ def test_query_equals_sql(spark, name):
     assert rows
 
 
+def test_entry_registers_every_query():
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(SQL) <= set(entry_points.oracle_sql())
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
