@@ -8,6 +8,7 @@ from statistics import median
 
 from uptakelens import reference_values as fixed
 from uptakelens.plans.study import Study
+from uptakelens.settings import DEFAULT
 from uptakelens.sources.areas import checked_areas
 
 EVENT_SCHEMA = "area string, group_raw string, age_band string, sex string, age int"
@@ -61,7 +62,7 @@ REGISTER = [
 ]
 
 
-def study(spark, events=EVENTS, register=REGISTER, **limits) -> Study:
+def study(spark, events=EVENTS, register=REGISTER, settings=DEFAULT, **limits) -> Study:
     return Study(
         spark.createDataFrame(events, EVENT_SCHEMA),
         spark.createDataFrame(register, REGISTER_SCHEMA),
@@ -70,6 +71,7 @@ def study(spark, events=EVENTS, register=REGISTER, **limits) -> Study:
             spark.createDataFrame(LOOKUP, LOOKUP_SCHEMA),
             **limits,
         ),
+        settings,
     )
 
 

@@ -87,6 +87,37 @@ def test_register_label(spark, raw, label, broad):
     assert values(spark, labels.register_broad_group("raw"), [(label,)], "raw string") == [broad]
 
 
+BOTH = {
+    "Pakistani": "Asian", "Indian": "Asian", "Bangladeshi": "Asian", "African": "Black",
+    "Caribbean": "Black", "White and Black Caribbean": "Mixed",
+    "White and Black African": "Mixed", "White and Asian": "Mixed", "White British": "White",
+    "Irish": "White", "Any other ethnic group": "Other", "Not stated": "Unknown",
+}
+EVENTS_ONLY = {
+    "Other Asian": "Asian", "Chinese": "Asian", "Other Black": "Black", "Mixed other": "Mixed",
+    "Other White": "White", "Gypsy or Irish Traveller": "White", "Roma": "White", "Arab": "Other",
+    "Any other Asian background": None, "Any other Black background": None,
+    "Any other mixed background": None, "Any other white background": None, "Not Known": None,
+}
+REGISTER_ONLY = {
+    "Any other Asian background": "Asian", "Any other Black background": "Black",
+    "Any other mixed background": "Mixed", "Any other white background": "White",
+    "Chinese": "Other", "Other Asian": None, "Other Black": None, "Mixed other": None,
+    "Other White": None, "Gypsy or Irish Traveller": None, "Roma": None, "Arab": None,
+    "Not Known": None,
+}
+
+
+@pytest.mark.parametrize(
+    "broad, own",
+    [(labels.event_broad_group, EVENTS_ONLY), (labels.register_broad_group, REGISTER_ONLY)],
+)
+def test_every_label_of_both_vocabularies(spark, broad, own):
+    expected = BOTH | own
+    found = values(spark, broad("label"), [(label,) for label in expected], "label string")
+    assert dict(zip(expected, found, strict=True)) == expected
+
+
 def test_bands_and_age_groups(spark):
     bands = [("05-Sep",), ("Oct-14",), ("65-69",), (None,), ("NA-NA",)]
     repaired = values(spark, labels.repaired_band("band"), bands, "band string")
@@ -160,3 +191,4 @@ def test_literals(spark):
     assert list(row) == tricky
     assert listed(["a", "b"]) == "'a', 'b'"
     assert name("a b") == "`a b`"
+    assert spark.range(1).selectExpr(f"1 AS {name('a`b')}").columns == ["a`b"]

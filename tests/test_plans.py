@@ -6,11 +6,20 @@ import pytest
 import small
 from conftest import SF_0001
 
-import __spark_entry__ as entry_points
+from uptakelens.operators import clean
 
-QUERIES = entry_points.queries()
+from uptakelens.plans import sample_queries
+from uptakelens.sources.areas import checked_areas
+
+QUERIES = sample_queries.all_queries()
 # These write and read back inside, so their own plan is a plain scan.
-ROUND_TRIPS = {"rates_csv_round_trip", "constituency_sheets", "rates_from_written_cells"}
+ROUND_TRIPS = {
+    *(n for n in QUERIES if n.endswith(("_round_trip", "_from_csv"))),
+    "constituency_sheets",
+    "rates_from_written_cells",
+}
+# Every report group with every area is what they are about; the groups are few.
+LAYERS = {n for n in QUERIES if n.startswith("area_layer")}
 
 
 def plan(frame) -> str:
@@ -22,7 +31,14 @@ def final_plan(frame) -> str:
     return plan(frame).split("== Initial Plan ==")[0]
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - ROUND_TRIPS))
+@pytest.mark.parametrize("name", sorted(LAYERS))
+def test_a_layer_repeats_its_areas_for_the_few_groups_only(spark, name):
+    text = plan(QUERIES[name](spark, SF_0001))
+    assert text.count("NestedLoopJoin") == 1 and "CartesianProduct" not in text
+    assert "subquery" not in text.lower()
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - ROUND_TRIPS - LAYERS))
 def test_no_python_and_no_cross_join(spark, name):
     text = plan(QUERIES[name](spark, SF_0001))
     for unwanted in ("Python", "CartesianProduct", "NestedLoopJoin"):
@@ -50,6 +66,7 @@ def test_window_passes_the_join(spark):
         "gap_matrix_by_sex",
         "constituency_share",
         "gap_totals",
+        "area_layer",
     ],
 )
 def test_each_input_is_scanned_once(spark, name):
@@ -76,8 +93,8 @@ def test_large_lookup_is_joined_after_the_sum(spark):
         lines = plan(cells).splitlines()
         joins = [i for i, line in enumerate(lines) if "SortMergeJoin" in line]
         partial = [i for i, line in enumerate(lines) if "partial_sum(" in line]
-        assert len(joins) == 2 and len(partial) == 2
-        assert partial[0] < joins[0] and partial[1] > joins[1]
+        assert len(joins) == 1 and len(partial) == 2
+        assert partial[0] < joins[0] < partial[1]
         assert sum(row["events"] for row in cells.collect()) == len(small.EVENTS) - 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -85,5 +102,47 @@ def test_large_lookup_is_joined_after_the_sum(spark):
 
 def test_small_lookup_is_broadcast(spark):
     text = plan(small.study(spark).event_cells(["age_band", "group_raw", "imd_quintile"]))
-    assert text.count("BroadcastHashJoin") == 2
-    assert text.count("Exchange hashpartitioning") == 1
+    facts = [line for line in text.splitlines() if "Exchange hashpartitioning(age_band" in line]
+    assert text.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in text
+    assert len(facts) == 1
+
+
+def test_a_hot_area_is_split_when_the_lookup_is_large(spark):
+    """One join to the written areas, whose hot partition adaptive execution splits."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+    }
+    lookup = spark.range(2000).selectExpr(
+        "CAST(id AS STRING) AS area", "1 AS imd_quintile", "'c' AS constituency", "'l' AS locality"
+    )
+    areas = checked_areas(lookup.select("area"), lookup, max_rows=1)
+    events = spark.range(0, 100_000, 1, 8).selectExpr(
+        "CAST(IF(id % 2 = 0, 7, id % 2000) AS STRING) AS area",
+        "'A: British' AS group_raw",
+        "'20-24' AS age_band",
+        "uuid() AS text",
+    )
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        cleaned = clean.clean_events(events, areas)
+        assert "skew=true" in final_plan(cleaned)
+        assert cleaned.count() == 100_000
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
+@pytest.mark.parametrize(
+    "name, exchanges",
+    [("rates_by_imd", 2), ("rates_group_imd", 2), ("benchmark_age", 2), ("gap_cells", 2)],
+)
+def test_one_sum_aligns_and_rolls_up(spark, name, exchanges):
+    """Besides the collapse of the events: one more shuffle, of partial sums."""
+    text = plan(QUERIES[name](spark, SF_0001))
+    lines = [x.split("ENSURE")[0] for x in text.splitlines() if "Exchange hashpartitioning" in x]
+    assert sum("age_" in x for x in lines) == exchanges

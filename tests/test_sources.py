@@ -6,6 +6,7 @@ import pytest
 import small
 from pyspark.sql import types as T
 
+from uptakelens.settings import Settings
 from uptakelens.sources import readers, schemas, writers
 
 
@@ -100,19 +101,35 @@ def test_jdbc_options():
 
 def test_results_and_sheets(spark, tmp_path):
     frame = spark.createDataFrame(
-        [("White and Asian", "N", 1.5), ("All", None, None)], "label string, place string, v double"
+        [("White and Asian", "N", 1.5), ("White-and-Asian", "S", 2.5), ("All", None, None)],
+        "label string, place string, v double",
     )
     path = writers.write_results(frame, str(tmp_path / "r"), "csv", names={"v": "value"})
     lines = sorted(
         line for part in (tmp_path / "r").glob("part-*") for line in part.read_text().splitlines()
     )
-    assert set(lines) == {"All,NA,NA", "White and Asian,N,1.5", "label,place,value"}
-    sheets = writers.write_sheets(frame, str(tmp_path / "sheets"), "label")
-    assert path and sorted(p.name for p in (tmp_path / "sheets").glob("sheet=*")) == [
-        "sheet=All",
-        "sheet=White-and-Asian",
+    assert set(lines) == {
+        "All,NA,NA", "White and Asian,N,1.5", "White-and-Asian,S,2.5", "label,place,value",
+    }
+    sheets = writers.write_sheets(frame, str(tmp_path / "sheets"), ["label"])
+    assert path and len(list((tmp_path / "sheets").glob("label=*"))) == 3
+    found = spark.read.option("header", True).csv(sheets).select("label", "sheet").collect()
+    assert sorted(map(tuple, found)) == [
+        ("All", "All"),
+        ("White and Asian", "White-and-Asian"),
+        ("White-and-Asian", "White-and-Asian"),
     ]
-    assert spark.read.option("header", True).csv(sheets).count() == 2
+
+
+def test_csv_files_of_a_folder_must_have_one_header(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in" / "1.csv", "LSOA,Locality,IMD_quintile,Constituency\na1,loc1,1,c\n")
+    write(tmp_path / "in" / "2.csv", "Locality,LSOA,IMD_quintile,Constituency\nloc2,a2,2,c\n")
+    rows = readers.read_lookup(spark, str(tmp_path / "in"))
+    with pytest.raises(Exception, match="(?i)header"):
+        rows.collect()
+    with pytest.raises(Exception, match="(?i)header"):
+        rows.select("area").collect()
 
 
 def test_shared_folder_follows_the_session(spark):
@@ -123,8 +140,17 @@ def test_shared_folder_follows_the_session(spark):
 
 def test_whole_report(spark, tmp_path):
     folder = str(tmp_path / "report")
-    written = small.study(spark).write(spark, folder, strict_nulls=False)
+    settings = Settings(require_matrix_labels=False)
+    study = small.study(spark, settings=settings)
+    scratch = tmp_path / "scratch"
+    written = study.write(spark, folder, strict_nulls=False, scratch=str(scratch))
     assert len(written) == 23
+    assert not list(scratch.glob("*"))  # what it wrote on the way is gone
+    shown = spark.read.parquet(f"{folder}/gap_matrix_by_sex")
+    assert dict(shown.dtypes)["Indian"] == "string"  # small numbers are hidden
+    assert shown.filter("Indian = '<5'").count() > 0
+    more = study.tables(unsuppressed=True)
+    assert {"gap_counts_by_sex", "gap_margins_both"} < set(more)
     rates = spark.read.option("header", True).csv(f"{folder}/rates.csv")
     assert rates.columns == [
         "Ethnicity", "IMD_quintile", "Sex", "Age_Group", "n", "N_GP", "p_GP", "perc_GP", "Z",

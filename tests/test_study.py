@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pytest
 import small
 
@@ -176,9 +178,13 @@ def test_written_cells_give_the_same_tables(spark, study):
 
 
 def test_matrix_needs_all_labels_when_asked(study):
-    with pytest.raises(ValueError, match="Bangladeshi"):
-        study.gap_matrix(require_all=True)
-    narrow = study.gap_matrix(order=["Indian", "White British"], require_all=True)
+    with pytest.raises(Exception, match="no rows for the label"):
+        study.gap_matrix().collect()
+    with pytest.raises(Exception, match="no rows for the label .* in the matrix of 65-79, Male"):
+        with_settings(study, matrix_labels=("Indian", "White British")).gap_matrix().collect()
+    narrow = with_settings(
+        study, matrix_labels=("Indian", "White British"), require_matrix_labels=False
+    ).gap_matrix()
     assert narrow.columns == [
         "age_group", "sex", "imd_quintile", "Indian", "White British", "file_name",
     ]
@@ -188,6 +194,59 @@ def test_matrix_needs_all_labels_when_asked(study):
     assert by_row["65-79", "Male", "1"]["file_name"] == "Unvaxed-65-79-Male"
 
 
+def with_settings(study, **changes):
+    return replace(study, settings=replace(study.settings, **changes))
+
+
+def test_shown_matrices_and_their_margins(study):
+    narrow = with_settings(
+        study, matrix_labels=("Indian", "White British"), require_matrix_labels=False
+    )
+    for by_sex in (True, False):
+        clear = narrow.gap_matrix(by_sex).collect()
+        shown = {tuple(r[:2 + by_sex]): r for r in narrow.gap_matrix_text(by_sex).collect()}
+        for row in clear:
+            for label in ("Indian", "White British"):
+                value = row[label]
+                assert shown[tuple(row[:2 + by_sex])][label] == ("<5" if value < 5 else str(value))
+        sums = narrow.gap_margins(by_sex).groupBy("margin").sum("gap").collect()
+        assert len({r[1] for r in sums}) == 1 and len(sums) == 4
+        assert sums[0][1] == sum(r["Indian"] + r["White British"] for r in clear)
+
+
+def test_other_mappings_reach_the_tables(study):
+    other = with_settings(
+        study,
+        register_broad_groups={"One": ["Indian"], "Two": ["White British"]},
+        matrix_broad_groups=("One",),
+        age_groups={"Young": ["20-24"]},
+        remaining_age_group="Old",
+        age_group_order=("Young", "Old"),
+        sexes=("Female", "Male"),
+    )
+    rates = other.rates_by_group().collect()
+    assert {r["broad_group"] for r in rates} <= {"One", "Two", None}
+    assert {r["age_group"] for r in rates} == {"Young", "Old"}
+    wide = other.rate_matrix()
+    assert "Two_population" in wide.columns  # no group of the mapping is left out
+    assert wide.agg({"Two_population": "sum"}).first()[0] > 0
+
+
+def test_unknown_areas_are_told_from_areas_without_a_gap(study):
+    strict = study.area_layer(strict_nulls=True)
+    unknown = {(r["label"], r["area"]) for r in strict.filter("NOT is_known").collect()}
+    gaps = study.area_gap(strict_nulls=True).filter("gap IS NULL").collect()
+    assert {(r["label"], r["area"]) for r in gaps} <= unknown and unknown
+    assert study.area_layer(strict_nulls=False).filter("NOT is_known").count() == 0
+
+
+def test_supplied_vocabulary(study):
+    given = with_settings(study, labels=("Indian", "Nowhere"))
+    totals = {r["ord"]: r for r in given.gap_totals(strict_nulls=False).collect()}
+    assert [totals[i]["label"] for i in (1, 2, 3)] == ["Indian", "Nowhere", "All"]
+    assert totals[2]["summary"] == "0 of 0"
+
+
 def test_margins(study):
     margins = study.matrix_margins()
     whole = margins.filter("margin = 'all'").selectExpr("sum(events)", "sum(population)").first()

@@ -46,12 +46,16 @@ def register_label(raw: str, renames: Mapping[str, str] = fixed.GROUP_RENAMES) -
     return recode(raw, renames)
 
 
-def event_broad_group(label: str) -> str:
-    return grouped(label, fixed.EVENT_BROAD_GROUPS)
+def event_broad_group(
+    label: str, groups: Mapping[str, Iterable[str]] = fixed.EVENT_BROAD_GROUPS
+) -> str:
+    return grouped(label, groups)
 
 
-def register_broad_group(label: str) -> str:
-    return grouped(label, fixed.REGISTER_BROAD_GROUPS)
+def register_broad_group(
+    label: str, groups: Mapping[str, Iterable[str]] = fixed.REGISTER_BROAD_GROUPS
+) -> str:
+    return grouped(label, groups)
 
 
 def age_group(

@@ -22,7 +22,7 @@ def listed(values: Iterable[str]) -> str:
 
 
 def name(column: str) -> str:
-    return f"`{column}`"
+    return "`" + column.replace("`", "``") + "`"
 
 
 def aliased(expressions: Mapping[str, str]) -> list[str]:

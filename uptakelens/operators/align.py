@@ -7,18 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from uptakelens import reference_values as fixed
 from uptakelens.functions import labels
 from uptakelens.functions.sql import listed, literal
+from uptakelens.settings import DEFAULT, Settings
 
 
-def known(keys: Sequence[str]) -> str:
+def known(keys: Sequence[str], settings: Settings = DEFAULT) -> str:
     """Cells the rates are about, as far as the keys tell: a known band, one of the two
     sexes, a stated group, an area with a quintile."""
     tests = {
-        "age_band": f"age_band <> {literal(fixed.UNKNOWN_BAND)}",
-        "sex": f"sex IN ({listed(fixed.SEXES)})",
-        "label": f"label NOT IN ({listed([fixed.NOT_STATED, fixed.NOT_KNOWN])})",
+        "age_band": f"age_band <> {literal(settings.unknown_band)}",
+        "sex": f"sex IN ({listed(settings.sexes)})",
+        "label": f"label NOT IN ({listed([settings.not_stated, settings.not_known])})",
         "imd_quintile": "imd_quintile IS NOT NULL",
     }
     return " AND ".join(tests[key] for key in keys if key in tests)
@@ -31,6 +31,8 @@ def align(
     in_register: str | None = None,
     in_events: str | None = None,
     how: str = "full",
+    settings: Settings = DEFAULT,
+    broad_group: bool = True,
 ) -> DataFrame:
     """Population and events per combination of keys, 0 where a side has none.
 
@@ -39,7 +41,8 @@ def align(
     sum over the union of the two sides: one shuffle of partial sums, no sort, and NULL
     keys of the two sides meet. `on_register` tells which cells the register has. With a
     label among the keys there is a `broad_group` too, as the register has it: NULL for
-    cells found among events only.
+    cells found among events only. It depends on the grain of the keys, so a coarser sum that
+    has it needs the fine keys first; without it (`broad_group=False`) any grain will do.
 
     `in_register` and `in_events` say which rows take part. Both tests are applied inside
     the sum: as filters Catalyst would push them, and the text cleaning in them, down to
@@ -77,7 +80,7 @@ def align(
         *(f"coalesce({c}, 0L) AS {c}" for c in ("population", "unknown_rows", "events")),
         "registered IS NOT NULL AS on_register",
     ]
-    if "label" in keys:
-        broad = labels.register_broad_group("label")
+    if "label" in keys and broad_group:
+        broad = labels.register_broad_group("label", settings.register_broad_groups)
         filled.append(f"CASE WHEN registered THEN {broad} END AS broad_group")
     return cells.filter(present).selectExpr(*filled)

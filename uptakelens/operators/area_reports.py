@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from uptakelens import reference_values as fixed
 from uptakelens.functions import counts, text
 from uptakelens.functions.sql import literal
 from uptakelens.operators.clean import with_attributes
 from uptakelens.operators.vocabulary import report_groups
+from uptakelens.settings import DEFAULT, Settings
 from uptakelens.sources.areas import Areas
 
 
@@ -20,7 +20,7 @@ def with_constituency(gaps: DataFrame, areas: Areas) -> DataFrame:
 
 
 def per_label_and_everyone(
-    gaps: DataFrame, keys: Sequence[str], everyone: str = fixed.EVERYONE
+    gaps: DataFrame, keys: Sequence[str], settings: Settings = DEFAULT
 ) -> DataFrame:
     """Gap and total per label and keys, and once more per keys over all labels.
 
@@ -32,7 +32,7 @@ def per_label_and_everyone(
         F.expr(f"{counts.complete_sum('gap')} AS gap"),
         F.expr(f"{counts.complete_sum('total')} AS total"),
     )
-    label = f"IF(is_everyone, {literal(everyone)}, label)"
+    label = f"IF(is_everyone, {literal(settings.everyone)}, label)"
     return sums.selectExpr(f"{label} AS label", *keys, "is_everyone", "gap", "total")
 
 
@@ -41,13 +41,16 @@ def of_report_groups(rows: DataFrame, groups: DataFrame, how: str = "inner") ->
     return groups.join(rows, ["label", "is_everyone"], how)
 
 
-def constituency_share(gaps: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def constituency_share(
+    gaps: DataFrame, vocabulary: DataFrame, settings: Settings = DEFAULT
+) -> DataFrame:
     """Gap, total and share of the label's gap by constituency, largest share first.
 
     Labels outside the vocabulary have no table of their own but count for everybody.
     """
     sums = of_report_groups(
-        per_label_and_everyone(gaps, ["constituency"]), report_groups(vocabulary)
+        per_label_and_everyone(gaps, ["constituency"], settings),
+        report_groups(vocabulary, settings.everyone),
     )
     whole = "PARTITION BY ord"
     label_gap = counts.complete_sum("gap", over=whole)
@@ -64,13 +67,17 @@ def constituency_share(gaps: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def gap_totals(gaps: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def gap_totals(
+    gaps: DataFrame, vocabulary: DataFrame, settings: Settings = DEFAULT
+) -> DataFrame:
     """Total gap and population per label and for everybody, with caption and file name.
 
     A label of the vocabulary that the register lacks has 0 of 0.
     """
-    sums = per_label_and_everyone(gaps, []).selectExpr("*", "true AS found")
-    rows = of_report_groups(sums, report_groups(vocabulary), "left").selectExpr(
+    sums = per_label_and_everyone(gaps, [], settings).selectExpr("*", "true AS found")
+    groups = report_groups(vocabulary, settings.everyone)
+    caption = text.caption("label", "is_everyone", settings.ages_text, settings.period_text)
+    rows = of_report_groups(sums, groups, "left").selectExpr(
         "ord",
         "label",
         "is_everyone",
@@ -83,34 +90,32 @@ def gap_totals(gaps: DataFrame, vocabulary: DataFrame) -> DataFrame:
         "gap",
         "total",
         f"{text.part_of_text('gap', 'total')} AS summary",
-        f"{text.caption('label', 'is_everyone')} AS caption",
+        f"{caption} AS caption",
         f"{text.slug('label')} AS file_name",
     )
 
 
 def area_layer(
-    gaps: DataFrame, vocabulary: DataFrame, areas: Areas, below: int = fixed.SMALL_NUMBER
+    gaps: DataFrame, vocabulary: DataFrame, areas: Areas, settings: Settings = DEFAULT
 ) -> DataFrame:
     """One published value per report group and target area.
 
     Suppression acts on the group's own value, for everybody on the sum. An area without
-    a value gets 0. The grid is the result's own size; it is made by repeating each area
-    once per report group, the few groups arriving as one array value.
+    a value gets 0; in strict mode so does an area whose gap is not known, which the column
+    `is_known` tells apart. The grid of all groups and areas is the result's own size. It is
+    the library's one join without a key: the side that is repeated, the report groups, has
+    at most MAX_LABELS rows, or the vocabulary raises an error.
     """
-    published = f"{counts.suppressed('gap', below)} AS value"
-    values = per_label_and_everyone(gaps, ["area"]).selectExpr(
-        "area", "label", "is_everyone", published
-    )
-    groups = (
-        report_groups(vocabulary)
-        .agg(F.expr("sort_array(collect_list(struct(ord, label, is_everyone)))"))
-        .scalar()
-    )
-    grid = (
-        areas.targets.distinct()
-        .select("area", F.explode(groups).alias("report"))
-        .selectExpr("area", "report.*")
+    published = f"{counts.suppressed('gap', settings.small_number)} AS value"
+    values = per_label_and_everyone(gaps, ["area"], settings).selectExpr(
+        "area", "label", "is_everyone", published, "gap IS NULL AS unknown"
     )
+    groups = F.broadcast(report_groups(vocabulary, settings.everyone))
+    grid = areas.targets.distinct().crossJoin(groups)
     return grid.join(values, ["area", "label", "is_everyone"], "left").selectExpr(
-        "ord", "label", "area", "coalesce(value, 0L) AS value"
+        "ord",
+        "label",
+        "area",
+        "coalesce(value, 0L) AS value",
+        "NOT coalesce(unknown, false) AS is_known",
     )

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from uptakelens.functions import labels
 from uptakelens.functions.sql import aliased
-from uptakelens.operators.clean import in_areas, with_attributes
+from uptakelens.operators.clean import event_label, in_areas
+from uptakelens.settings import DEFAULT, Settings
 from uptakelens.sources.areas import Areas
 
 REGISTER_MEASURES = ("population", "unknown_rows")
@@ -25,23 +26,27 @@ def _rows(rows: DataFrame, columns: Sequence[str], derived: dict[str, str]) -> D
     return rows.selectExpr(*aliased({c: derived.get(c, c) for c in columns}))
 
 
-def event_rows(events: DataFrame, columns: Sequence[str]) -> DataFrame:
+def event_rows(
+    events: DataFrame, columns: Sequence[str], settings: Settings = DEFAULT
+) -> DataFrame:
     """Columns of the event log, bands repaired, and `events`, 1 per row if it has none."""
-    derived = {"age_band": labels.repaired_band("age_band")}
+    derived = {"age_band": labels.repaired_band("age_band", settings.band_repairs)}
     if "events" not in events.columns:
         derived["events"] = "1L"
     return _rows(events, [*columns, "events"], derived)
 
 
-def register_rows(register: DataFrame, columns: Sequence[str]) -> DataFrame:
+def register_rows(
+    register: DataFrame, columns: Sequence[str], settings: Settings = DEFAULT
+) -> DataFrame:
     """Columns of the register, labelled and repaired, and two measures that add up.
 
     `population` takes a missing observation as 0 and `unknown_rows` counts those, so a
     sum that must be NULL when any part is missing can be formed at every later level.
     """
     derived = {
-        "age_band": labels.repaired_band("age_band"),
-        "label": labels.register_label("group_national"),
+        "age_band": labels.repaired_band("age_band", settings.band_repairs),
+        "label": labels.register_label("group_national", settings.group_renames),
         "population": "CAST(coalesce(observations, 0) AS BIGINT)",
         "unknown_rows": "CAST(observations IS NULL AS BIGINT)",
     }
@@ -62,34 +67,38 @@ def _tagged(
 ) -> DataFrame:
     """Rows of the target areas with the columns `by`, area attributes included.
 
-    With a small lookup both joins are broadcasts and no row moves. With a large one the
+    With a small lookup the join is a broadcast and no row moves. With a large one the
     rows are first summed per area, so that no raw row is shuffled by its area.
     """
     if not areas.broadcastable:
         rows = summed(rows, _own_columns(areas, by), measures)
     attributes = [c for c in by if c in areas.attributes]
-    return with_attributes(in_areas(rows, areas), areas, attributes).select(*by, *measures)
+    return in_areas(rows, areas, attributes).select(*by, *measures)
 
 
-def event_cells(events: DataFrame, areas: Areas, by: Sequence[str]) -> DataFrame:
+def event_cells(
+    events: DataFrame, areas: Areas, by: Sequence[str], settings: Settings = DEFAULT
+) -> DataFrame:
     """Number of events per combination of `by` in the target areas.
 
     `by` names raw columns (`group_raw`, not `label`): text is cleaned per cell, not per
     row. See `labelled`.
     """
-    rows = event_rows(events, _own_columns(areas, by))
+    rows = event_rows(events, _own_columns(areas, by), settings)
     return summed(_tagged(rows, areas, by, ["events"]), by, ["events"])
 
 
-def labelled(cells: DataFrame) -> DataFrame:
+def labelled(cells: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Event cells with the label in place of the raw group text."""
     kept = [c for c in cells.columns if c != "group_raw"]
-    return cells.selectExpr(*kept, f"{labels.event_label('group_raw')} AS label")
+    return cells.selectExpr(*kept, f"{event_label('group_raw', settings)} AS label")
 
 
-def register_cells(register: DataFrame, areas: Areas, by: Sequence[str]) -> DataFrame:
+def register_cells(
+    register: DataFrame, areas: Areas, by: Sequence[str], settings: Settings = DEFAULT
+) -> DataFrame:
     """Register rows of the target areas with the columns `by`, ready to be summed."""
-    rows = register_rows(register, _own_columns(areas, by))
+    rows = register_rows(register, _own_columns(areas, by), settings)
     return _tagged(rows, areas, by, REGISTER_MEASURES)
 
 
@@ -106,13 +115,18 @@ def register_summary(register: DataFrame, areas: Areas) -> DataFrame:
 
 
 def population_by(
-    register: DataFrame, areas: Areas, by: Sequence[str], strict_nulls: bool = False
+    register: DataFrame,
+    areas: Areas,
+    by: Sequence[str],
+    strict_nulls: bool = False,
+    settings: Settings = DEFAULT,
 ) -> DataFrame:
     """Sum of observations; NULL when one is missing in strict mode, else over the rest."""
-    sums = summed(register_cells(register, areas, by), by, REGISTER_MEASURES)
+    sums = summed(register_cells(register, areas, by, settings), by, REGISTER_MEASURES)
     population = "IF(unknown_rows = 0, population, NULL)" if strict_nulls else "population"
     return sums.selectExpr(*by, f"{population} AS population")
 
 
-def add_age_group(rows: DataFrame) -> DataFrame:
-    return rows.selectExpr("*", f"{labels.age_group('age_band')} AS age_group")
+def add_age_group(rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    group = labels.age_group("age_band", settings.age_groups, settings.remaining_age_group)
+    return rows.selectExpr("*", f"{group} AS age_group")

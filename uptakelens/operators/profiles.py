@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from uptakelens import reference_values as fixed
 from uptakelens.functions import text
 from uptakelens.functions.sql import listed
 from uptakelens.operators.cells import labelled, summed
+from uptakelens.settings import DEFAULT, Settings
 
 
-def _by_sex(cells: DataFrame, sexes: Sequence[str]) -> DataFrame:
-    return labelled(cells.filter(f"sex IN ({listed(sexes)})"))
+def _by_sex(cells: DataFrame, settings: Settings) -> DataFrame:
+    return labelled(cells.filter(f"sex IN ({listed(settings.sexes)})"), settings)
 
 
 def median_by_sex(
-    cells: DataFrame, strict_nulls: bool = True, sexes: Sequence[str] = tuple(fixed.SEXES)
+    cells: DataFrame, strict_nulls: bool = True, settings: Settings = DEFAULT
 ) -> DataFrame:
     """Exact median age per label, one column per sex, and the label text.
 
@@ -29,19 +27,20 @@ def median_by_sex(
     median = "percentile(age, 0.5, events)"
     if strict_nulls:
         median = f"CASE WHEN count(age) = count(1) THEN {median} END"
-    wide = _by_sex(cells, sexes).groupBy("label").pivot("sex", list(sexes)).agg(F.expr(median))
+    sexes = list(settings.sexes)
+    wide = _by_sex(cells, settings).groupBy("label").pivot("sex", sexes).agg(F.expr(median))
     female, male = (f"median_{sex.lower()}" for sex in sexes)
     wide = wide.toDF("label", female, male)
     return wide.selectExpr("*", f"{text.median_text(female, male)} AS median_text")
 
 
-def count_by_sex(cells: DataFrame, sexes: Sequence[str] = tuple(fixed.SEXES)) -> DataFrame:
+def count_by_sex(cells: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Events by label and sex, with the number as displayed."""
-    sums = summed(_by_sex(cells, sexes), ["label", "sex"], ["events"])
+    sums = summed(_by_sex(cells, settings), ["label", "sex"], ["events"])
     return sums.selectExpr("*", f"{text.thousands('events')} AS events_text")
 
 
-def age_frequency(cells: DataFrame, sexes: Sequence[str] = tuple(fixed.SEXES)) -> DataFrame:
+def age_frequency(cells: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Events by label, sex and known age: what any density of the ages is drawn from."""
-    known_ages = _by_sex(cells.filter("age IS NOT NULL"), sexes)
+    known_ages = _by_sex(cells.filter("age IS NOT NULL"), settings)
     return summed(known_ages, ["label", "sex", "age"], ["events"])

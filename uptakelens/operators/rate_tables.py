@@ -37,8 +37,19 @@ def benchmark(rate_rows: DataFrame, by: str = "age_group", **options) -> DataFra
     return rate_table(rate_rows, [by], **options)
 
 
-def with_benchmark(rate_rows: DataFrame, average: DataFrame, by: str = "age_group") -> DataFrame:
+def with_place(
+    rows: DataFrame, by: str = "age_group", order: Sequence[str] = tuple(fixed.AGE_GROUP_ORDER)
+) -> DataFrame:
+    """Rows with the place of their age group in the display order."""
+    return rows.selectExpr("*", f"{labels.position(by, order)} AS {by}_ord")
+
+
+def with_benchmark(
+    rate_rows: DataFrame,
+    average: DataFrame,
+    by: str = "age_group",
+    order: Sequence[str] = tuple(fixed.AGE_GROUP_ORDER),
+) -> DataFrame:
     """Rates next to the benchmark of their age group, with the age group's place."""
     average = average.selectExpr(by, "percent AS benchmark_percent")
-    place = labels.position(by, fixed.AGE_GROUP_ORDER)
-    return rate_rows.join(average, by, "left").selectExpr("*", f"{place} AS {by}_ord")
+    return with_place(rate_rows.join(average, by, "left"), by, order)

@@ -2,36 +2,58 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from uptakelens import reference_values as fixed
 from uptakelens.functions import labels
 from uptakelens.functions.sql import listed, literal, name
+from uptakelens.settings import DEFAULT, Settings
 
+#: More report groups than this are taken for text that was never cleaned.
+MAX_LABELS = 10_000
 
-def vocabulary(labelled_cells: DataFrame) -> DataFrame:
+
+def given_vocabulary(
+    spark: SparkSession, order: Sequence[str], settings: Settings = DEFAULT
+) -> DataFrame:
+    """The caller's labels in the caller's order."""
+    rows = spark.createDataFrame(
+        [(label, i) for i, label in enumerate(order, 1)], "label string, ord int"
+    )
+    broad = labels.event_broad_group("label", settings.event_broad_groups)
+    return rows.selectExpr("label", f"{broad} AS broad_group", "ord")
+
+
+def vocabulary(labelled_cells: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Labels found among the events, numbered from the last in (broad group, label) order.
 
     A label without a broad group sorts last and so comes first here. The window sees the
     distinct labels only, after aggregation, never the facts. A missing label is left out
     through its sum: a filter on the label itself would be pushed to the raw rows and
-    clean the text of each.
+    clean the text of each. More than MAX_LABELS labels are an error.
     """
     found = (
         labelled_cells.groupBy("label")
         .agg(F.expr("sum(CASE WHEN label IS NOT NULL THEN events END) AS events"))
         .filter("events > 0")
     )
-    broad = labels.event_broad_group("label")
+    broad = labels.event_broad_group("label", settings.event_broad_groups)
     last_first = "broad_group DESC NULLS FIRST, label DESC"
+    place = f"row_number() OVER (ORDER BY {last_first})"
     return found.selectExpr("label", f"{broad} AS broad_group").selectExpr(
-        "label", "broad_group", f"row_number() OVER (ORDER BY {last_first}) AS ord"
+        "label", "broad_group", f"{bounded(place)} AS ord"
     )
 
 
+def bounded(place: str) -> str:
+    """The place of a label, or an error beyond MAX_LABELS."""
+    error = literal(f"more than {MAX_LABELS} labels: has the text been cleaned?")
+    return f"IF({place} > {MAX_LABELS}, CAST(raise_error({error}) AS INT), {place})"
+
+
 def in_vocabulary(rows: DataFrame, labels_in_order: DataFrame) -> DataFrame:
     """Keep labels of the vocabulary and their place; any other label becomes NULL.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,36 @@ from uptakelens.plans.study import (
     Study,
     age_groups,
 )
+from uptakelens.settings import Settings
 from uptakelens.sources import readers, sample_views, schemas, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The sample's own period; at small sizes some matrix lacks some label.
+SETTINGS = Settings(period_text=sample_views.WINDOW_TEXT, require_matrix_labels=False)
+#: Another age grouping, other limits and other groups left out.
+OTHER_AGES = {
+    "5-19": ["5-9", "5-19", "10-14", "15-19"],
+    "20-39": ["20-24", "25-29", "30-34", "35-39"],
+}
+OTHER_SETTINGS = replace(
+    SETTINGS,
+    age_groups=OTHER_AGES,
+    remaining_age_group="Others",
+    age_group_order=("5-19", "20-39", "Others"),
+    level=0.95,
+    lower_term="n",
+)
+#: A supplied vocabulary, with a label that does not occur, and other wording and thresholds.
+GIVEN_SETTINGS = replace(
+    SETTINGS,
+    labels=("Indian", "Irish", "Nowhere", "Chinese"),
+    everyone="Everybody",
+    excluded_bands=("20-24",),
+    small_number=20,
+    ages_text="other than 20 to 24",
+)
+
 RATIOS = ("proportion", "percent", "z", "lower", "upper")
 
 
@@ -33,6 +60,7 @@ def study(spark: SparkSession, folder: str) -> Study:
         sample_views.event_tally(spark, folder),
         sample_views.register(spark, folder),
         sample_views.areas(spark, folder),
+        SETTINGS,
     )
 
 
@@ -48,8 +76,8 @@ def rounded(rows: DataFrame) -> DataFrame:
     )
 
 
-def of_study(build: Callable[[Study], DataFrame]) -> Query:
-    return lambda spark, folder: rounded(build(study(spark, folder)))
+def of_study(build: Callable[[Study], DataFrame], settings: Settings = SETTINGS) -> Query:
+    return lambda spark, folder: rounded(build(replace(study(spark, folder), settings=settings)))
 
 
 def extract_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,7 +128,9 @@ def aligned_left(inputs: Study) -> DataFrame:
 def population(strict_nulls: bool) -> Query:
     def build(inputs: Study) -> DataFrame:
         by = ["area", "label", "age_band", "constituency"]
-        return cells.population_by(inputs.register, inputs.areas, by, strict_nulls)
+        return cells.population_by(
+            inputs.register, inputs.areas, by, strict_nulls, inputs.settings
+        )
 
     return of_study(build)
 
@@ -109,18 +139,40 @@ def rates_from_written_cells(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(study(spark, folder).collapsed(spark).rates_by_group())
 
 
-def rates_csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    """Rates written as the CSV file other tools read, and read back."""
-    table = study(spark, folder).hand_over_files()["rates"]
-    path = writers.new_folder(spark, "rates.csv")
-    fields = [
-        T.StructField(f.name, T.IntegerType() if f.name == "IMD_quintile" else f.dataType)
-        for f in table.schema
-    ]
-    writers.write_results(table, path, "csv")
-    original = {new: old for old, new in schemas.RATE_FILE_NAMES.items()}
-    rows = readers.read_csv_na(spark, path, T.StructType(fields))
-    return rounded(rows.withColumnsRenamed(original))
+def hand_over(file: str, names: dict[str, str]) -> Query:
+    """A hand-over file written as the CSV that other tools read, and read back."""
+
+    def build(spark: SparkSession, folder: str) -> DataFrame:
+        table = study(spark, folder).hand_over_files()[file]
+        path = writers.new_folder(spark, f"{file}.csv")
+        fields = [
+            T.StructField(f.name, T.IntegerType() if f.name == "IMD_quintile" else f.dataType)
+            for f in table.schema
+        ]
+        writers.write_results(table, path, "csv")
+        original = {new: old for old, new in names.items()}
+        rows = readers.read_csv_na(spark, path, T.StructType(fields))
+        return rounded(rows.withColumnsRenamed(original))
+
+    return build
+
+
+def from_csv(
+    rows: Callable[[SparkSession, str], DataFrame],
+    declared: T.StructType,
+    names: dict[str, str],
+    read: Callable[[SparkSession, str], DataFrame],
+) -> Query:
+    """An input written as CSV under its delivered names, and read by the library's reader."""
+
+    def build(spark: SparkSession, folder: str) -> DataFrame:
+        delivered = {new: old for old, new in names.items()}
+        table = rows(spark, folder).withColumnsRenamed(delivered).select(*declared.names)
+        path = writers.new_folder(spark, "input.csv")
+        writers.write_results(table, path, "csv")
+        return read(spark, path)
+
+    return build
 
 
 def constituency_sheets(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,7 +180,7 @@ def constituency_sheets(spark: SparkSession, folder: str) -> DataFrame:
     table = study(spark, folder).constituency_share(strict_nulls=False)
     path = writers.new_folder(spark, "sheets")
     with_sheet = T.StructType([*table.schema.fields, T.StructField("sheet", T.StringType())])
-    writers.write_sheets(table, path, "label", "parquet")
+    writers.write_sheets(table, path, ["ord", "label"], "parquet")
     return spark.read.schema(with_sheet).parquet(path)
 
 
@@ -172,7 +224,36 @@ def all_queries() -> dict[str, Query]:
         "gap_matrix_by_sex": of_study(Study.gap_matrix),
         "gap_matrix_both": of_study(lambda s: s.gap_matrix(by_sex=False)),
         "gap_matrix_labels": of_study(Study.gap_matrix_text),
-        "rates_csv_round_trip": rates_csv_round_trip,
+        "gap_matrix_labels_by_sex": of_study(lambda s: s.gap_matrix_text(by_sex=True)),
+        "gap_margins_by_sex": of_study(Study.gap_margins),
+        "gap_margins_both": of_study(lambda s: s.gap_margins(by_sex=False)),
+        "rates_other_settings": of_study(
+            Study.rates_by_group_with_benchmark, OTHER_SETTINGS
+        ),
+        "gap_totals_given_vocabulary": of_study(
+            lambda s: s.gap_totals(strict_nulls=False), GIVEN_SETTINGS
+        ),
+        "area_layer_given_vocabulary": of_study(
+            lambda s: s.area_layer(strict_nulls=False), GIVEN_SETTINGS
+        ),
+        "events_from_csv": from_csv(
+            sample_views.event_log, schemas.EVENTS, schemas.EVENT_NAMES, readers.read_events
+        ),
+        "register_from_csv": from_csv(
+            sample_views.register, schemas.REGISTER, schemas.REGISTER_NAMES, readers.read_register
+        ),
+        "lookup_from_csv": from_csv(
+            lambda spark, folder: sample_views.areas(spark, folder).lookup,
+            schemas.AREA_LOOKUP,
+            schemas.LOOKUP_NAMES,
+            readers.read_lookup,
+        ),
+        "rates_csv_round_trip": hand_over("rates", schemas.RATE_FILE_NAMES),
+        "rates_broad_csv_round_trip": hand_over("rates_broad", schemas.RATE_FILE_NAMES),
+        "counts_csv_round_trip": hand_over("unvaccinated_counts", schemas.GAP_FILE_NAMES),
+        "counts_both_csv_round_trip": hand_over(
+            "unvaccinated_counts_both", schemas.GAP_FILE_NAMES
+        ),
         "constituency_sheets": constituency_sheets,
         "rates_from_written_cells": rates_from_written_cells,
     }

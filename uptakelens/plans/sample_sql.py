@@ -42,7 +42,7 @@ WINDOW = (
 BASE = f"""
 WITH people AS (SELECT {_columns(views.PERSON)} FROM customer),
 person AS (SELECT *, {views.AGE_BAND} AS age_band FROM people),
-register_rows AS (SELECT {_columns(views.REGISTER)} FROM person WHERE {views.ON_REGISTER}),
+register_rows AS (SELECT {_columns(views.REGISTER)} FROM person),
 event_log AS (
   SELECT {_columns(views.EVENT_LOG)} FROM orders JOIN person ON o_custkey = person_id),
 area_lookup AS (
@@ -240,7 +240,7 @@ SELECT ord, label, gap, total,
   COALESCE(CAST(gap AS VARCHAR), 'NA') || ' of ' || COALESCE(CAST(total AS VARCHAR), 'NA') AS summary,
   CASE WHEN ord = {LAST} THEN 'Estimated number of residents of all ethnicities'
        ELSE 'Estimated number of ' || label || ' residents' END
-  || ' aged less than 65 who didn''t receive a Covid-19 vaccine between Oct 2023 and Sept 2024'
+  || ' aged less than 65 who didn''t receive a Covid-19 vaccine between Jan 1996 and Dec 1996'
     AS caption,
   replace(label, ' ', '-') AS file_name
 FROM totals
@@ -251,10 +251,11 @@ grid AS (
   SELECT ord, label, area FROM vocab, target_area
   UNION ALL SELECT {LAST}, 'All', area FROM target_area),
 area_values AS (
-  SELECT label, area, {_complete("gap")} AS gap FROM area_gap GROUP BY label, area
-  UNION ALL SELECT 'All', area, {_complete("gap")} FROM area_gap GROUP BY area)
+  SELECT label, area, {_complete("gap")} AS gap, true AS present FROM area_gap GROUP BY label, area
+  UNION ALL SELECT 'All', area, {_complete("gap")}, true FROM area_gap GROUP BY area)
 SELECT ord, label, area,
-  CAST(COALESCE(CASE WHEN gap < 5 THEN 0 ELSE gap END, 0) AS BIGINT) AS value
+  CAST(COALESCE(CASE WHEN gap < 5 THEN 0 ELSE gap END, 0) AS BIGINT) AS value,
+  NOT COALESCE(present AND gap IS NULL, false) AS is_known
 FROM grid LEFT JOIN area_values USING (label, area)
 """
 
@@ -341,6 +342,89 @@ FROM ({rates}) r LEFT JOIN ({BENCHMARK}) b ON r.age_group = b.age_group
 """
 
 
+def _in_order(rows: str) -> str:
+    return f"SELECT r.*, vocab.ord FROM ({rows}) r LEFT JOIN vocab ON r.label = vocab.label"
+
+
+def _gap_margins(by_sex: bool) -> str:
+    level = "sex_label_imd" if by_sex else "label_imd"
+    keys = "age_group, sex" if by_sex else "age_group"
+    rows = f"(SELECT * FROM levels WHERE level = '{level}' AND label IN ({_list(fixed.MATRIX_LABELS)}))"
+    parts = {
+        "cell": ("imd_quintile", "label"),
+        "row": ("imd_quintile", "NULL"),
+        "column": ("NULL", "label"),
+        "all": ("NULL", "NULL"),
+    }
+    return " UNION ALL ".join(
+        f"SELECT '{margin}' AS margin, {keys}, {imd} AS imd_quintile, {label} AS label, "
+        f"CAST(SUM(gap) AS BIGINT) AS gap FROM {rows} r GROUP BY ALL"
+        for margin, (imd, label) in parts.items()
+    )
+
+
+def _other_settings() -> str:
+    """Rates by group with another age grouping, 90 % limits and the textbook's lower one."""
+    groups = (
+        "CASE WHEN age_band IN ('5-9', '5-19', '10-14', '15-19') THEN '5-19' "
+        "WHEN age_band IN ('20-24', '25-29', '30-34', '35-39') THEN '20-39' ELSE 'Others' END"
+    )
+    sql = (
+        AL_GROUP
+        + ", compared AS ("
+        + _with_benchmark(
+            _rates("al_group", GROUP_DIMS, "n"), "r.label, r.broad_group, r.sex, r.age_group"
+        )
+        + ") SELECT compared.* REPLACE (vocab.label AS label), vocab.ord "
+        "FROM compared LEFT JOIN vocab ON compared.label = vocab.label"
+    )
+    order = "WHEN '5-19' THEN 1 WHEN '20-39' THEN 2 WHEN 'Others' THEN 3 END"
+    sql = sql.replace(AGE_GROUP, groups).replace(Z, "1.6448536269514722")
+    return BASE + sql.replace(
+        "WHEN 'Less than 65' THEN 1 WHEN '65-79' THEN 2 WHEN '80+' THEN 3 END", order
+    )
+
+
+GIVEN = """
+WITH given(label, ord) AS (VALUES ('Indian', 1), ('Irish', 2), ('Nowhere', 3), ('Chinese', 4)),
+"""
+
+
+def _given_gaps() -> str:
+    """Everybody but the 20 to 24 year olds, under the supplied labels."""
+    excluded = f"age_band NOT IN ({_list(fixed.BANDS_FROM_65)})"
+    gaps = _area_gap(False)
+    assert excluded in gaps
+    return BASE.replace("\nWITH ", GIVEN, 1) + gaps.replace(excluded, "age_band <> '20-24'")
+
+
+GIVEN_TOTALS = """,
+totals AS (
+  SELECT ord, v.label, CAST(COALESCE(SUM(gap), 0) AS BIGINT) AS gap,
+    CAST(COALESCE(SUM(total), 0) AS BIGINT) AS total
+  FROM given v LEFT JOIN area_gap g ON v.label = g.label GROUP BY ord, v.label
+  UNION ALL SELECT 5, 'Everybody', CAST(SUM(gap) AS BIGINT), CAST(SUM(total) AS BIGINT) FROM area_gap)
+SELECT ord, label, gap, total, gap || ' of ' || total AS summary,
+  CASE WHEN ord = 5 THEN 'Estimated number of residents of all ethnicities'
+       ELSE 'Estimated number of ' || label || ' residents' END
+  || ' aged other than 20 to 24 who didn''t receive a Covid-19 vaccine between Jan 1996 and Dec 1996'
+    AS caption, replace(label, ' ', '-') AS file_name
+FROM totals
+"""
+
+GIVEN_LAYER = """,
+grid AS (
+  SELECT ord, label, area FROM given, target_area
+  UNION ALL SELECT 5, 'Everybody', area FROM target_area),
+area_values AS (
+  SELECT label, area, SUM(gap) AS gap FROM area_gap GROUP BY label, area
+  UNION ALL SELECT 'Everybody', area, SUM(gap) FROM area_gap GROUP BY area)
+SELECT ord, label, area, CAST(CASE WHEN gap >= 20 THEN gap ELSE 0 END AS BIGINT) AS value,
+  true AS is_known
+FROM grid LEFT JOIN area_values USING (label, area)
+"""
+
+
 def all_sql() -> dict[str, str]:
     in_window = f"FROM event_log WHERE {WINDOW}"
     rates_group_imd = BASE + AL_GROUP_IMD + _rates("al_group_imd", GROUP_IMD_DIMS)
@@ -359,13 +443,17 @@ def all_sql() -> dict[str, str]:
         "population_by_area_strict": BASE + _population(True),
         "vocabulary_order": BASE + "SELECT label, broad_group, ord FROM vocab",
         "events_count_by_group_sex": BASE
-        + "SELECT label, sex, COUNT(*) AS events, format('{:,}', COUNT(*)) AS events_text "
-        "FROM ev WHERE sex IN ('Female', 'Male') GROUP BY label, sex",
-        "median_age_by_group": BASE + _median(True),
-        "median_age_by_group_lenient": BASE + _median(False),
+        + _in_order(
+            "SELECT label, sex, COUNT(*) AS events, format('{:,}', COUNT(*)) AS events_text "
+            "FROM ev WHERE sex IN ('Female', 'Male') GROUP BY label, sex"
+        ),
+        "median_age_by_group": BASE + _in_order(_median(True)),
+        "median_age_by_group_lenient": BASE + _in_order(_median(False)),
         "age_frequency": BASE
-        + "SELECT label, sex, age, COUNT(*) AS events FROM ev "
-        "WHERE sex IN ('Female', 'Male') AND age IS NOT NULL GROUP BY label, sex, age",
+        + _in_order(
+            "SELECT label, sex, age, COUNT(*) AS events FROM ev "
+            "WHERE sex IN ('Female', 'Male') AND age IS NOT NULL GROUP BY label, sex, age"
+        ),
         "align_group": BASE
         + AL_GROUP
         + _align_columns("al_group", "age_band, label, sex, broad_group"),
@@ -402,7 +490,10 @@ ON p.area = e.area AND p.label IS NOT DISTINCT FROM e.label
         + AL_IMD
         + _with_benchmark(RATES_BY_IMD, "r.imd_quintile, r.sex, r.age_group"),
         "gap_cells": BASE + GAP_CELLS + "SELECT * FROM gaps",
-        "gap_levels": BASE + GAP_LEVELS + "SELECT * REPLACE (CAST(gap AS BIGINT) AS gap) FROM levels",
+        "gap_levels": BASE
+        + GAP_LEVELS
+        + "SELECT level, sex, levels.label, imd_quintile, age_group, CAST(gap AS BIGINT) AS gap, "
+        f"ord, {AGE_GROUP_ORD} FROM levels LEFT JOIN vocab ON levels.label = vocab.label",
         "area_gap": BASE + _area_gap(False) + f"SELECT {gap_columns} FROM area_gap",
         "area_gap_strict": BASE + _area_gap(True) + f"SELECT {gap_columns} FROM area_gap",
         "area_layer": BASE + _area_gap(False) + LAYER,
@@ -416,6 +507,31 @@ ON p.area = e.area AND p.label IS NOT DISTINCT FROM e.label
         "gap_matrix_by_sex": BASE + GAP_LEVELS + _gap_matrix(by_sex=True),
         "gap_matrix_both": BASE + GAP_LEVELS + _gap_matrix(by_sex=False),
         "gap_matrix_labels": BASE + GAP_LEVELS + _gap_matrix(by_sex=False, text=True),
+        "gap_matrix_labels_by_sex": BASE + GAP_LEVELS + _gap_matrix(by_sex=True, text=True),
+        "gap_margins_by_sex": BASE + GAP_LEVELS + _gap_margins(by_sex=True),
+        "gap_margins_both": BASE + GAP_LEVELS + _gap_margins(by_sex=False),
+        "rates_other_settings": _other_settings(),
+        "gap_totals_given_vocabulary": _given_gaps() + GIVEN_TOTALS,
+        "area_layer_given_vocabulary": _given_gaps() + GIVEN_LAYER,
+        "events_from_csv": BASE
+        + "SELECT group_raw, CAST(age AS DOUBLE) AS age, age_band, sex, area FROM event_log",
+        "register_from_csv": BASE
+        + "SELECT area, age_band, group_national, sex, CAST(observations AS BIGINT) AS observations "
+        "FROM register_rows",
+        "lookup_from_csv": BASE + "SELECT area, locality, imd_quintile, constituency FROM area_lookup",
+        "rates_broad_csv_round_trip": BASE
+        + AL_GROUP_IMD
+        + "SELECT * REPLACE (CAST(imd_quintile AS INT) AS imd_quintile) FROM ("
+        + _rates("al_group_imd", BROAD_IMD_DIMS)
+        + ") r",
+        "counts_csv_round_trip": BASE
+        + GAP_LEVELS
+        + "SELECT sex, label, CAST(imd_quintile AS INT) AS imd_quintile, age_group, "
+        "CAST(gap AS BIGINT) AS gap FROM levels WHERE level = 'sex_label_imd'",
+        "counts_both_csv_round_trip": BASE
+        + GAP_LEVELS
+        + "SELECT label, CAST(imd_quintile AS INT) AS imd_quintile, age_group, "
+        "CAST(gap AS BIGINT) AS gap FROM levels WHERE level = 'label_imd'",
         "rates_csv_round_trip": BASE
         + AL_GROUP_IMD
         + "SELECT * REPLACE (CAST(imd_quintile AS INT) AS imd_quintile) FROM ("

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from uptakelens import reference_values as fixed
-from uptakelens.functions import labels
+from uptakelens.functions import labels, rates
 from uptakelens.operators import align as alignment
 from uptakelens.operators import (
     area_reports,
@@ -20,6 +22,7 @@ from uptakelens.operators import (
     rate_tables,
     vocabulary,
 )
+from uptakelens.settings import DEFAULT, Settings
 from uptakelens.sources import schemas, writers
 from uptakelens.sources.areas import Areas
 
@@ -30,6 +33,15 @@ AREA_KEYS = ("area", "label", "age_band")
 PROFILE_KEYS = ("group_raw", "sex", "age")
 
 
+GROUP_DIMS = ("label", "broad_group", "sex", "age_group")
+IMD_DIMS = ("imd_quintile", "sex", "age_group")
+BROAD_IMD_DIMS = ("broad_group", "imd_quintile", "sex", "age_group")
+GROUP_IMD_DIMS = ("label", "imd_quintile", "sex", "age_group")
+
+#: Writes submitted at a time by `Study.write`.
+WRITERS = 4
+
+
 @dataclass(frozen=True)
 class Study:
     """Inputs under the library's column names (see `sources.schemas`).
@@ -41,162 +53,240 @@ class Study:
     events: DataFrame
     register: DataFrame
     areas: Areas
+    settings: Settings = DEFAULT
 
     # -- cells ---------------------------------------------------------------------
 
     def event_cells(self, by: Sequence[str]) -> DataFrame:
         """Events per combination; `label` in `by` stands for the raw group text."""
         raw = ["group_raw" if c == "label" else c for c in by]
-        return cells.event_cells(self.events, self.areas, raw)
+        return cells.event_cells(self.events, self.areas, raw, self.settings)
 
     def register_cells(self, by: Sequence[str]) -> DataFrame:
-        return cells.register_cells(self.register, self.areas, by)
+        return cells.register_cells(self.register, self.areas, by, self.settings)
 
-    def collapsed(self, spark: SparkSession, name: str = "study") -> Study:
+    def collapsed(
+        self, spark: SparkSession, name: str = "study", folder: str | None = None
+    ) -> Study:
         """The same study on written cells: each input is scanned once for all reports."""
         events = self.event_cells(["area", "group_raw", "age_band", "sex", "age"])
         register = cells.register_summary(self.register, self.areas)
         return replace(
             self,
-            events=writers.load_once(spark, events, f"{name}-events"),
-            register=writers.load_once(spark, register, f"{name}-register"),
+            events=writers.load_once(spark, events, f"{name}-events", folder),
+            register=writers.load_once(spark, register, f"{name}-register", folder),
         )
 
     # -- profiles ------------------------------------------------------------------
 
     def vocabulary(self, by: Sequence[str] = ("label",)) -> DataFrame:
         """Ordered labels; `by` as in the cells of the same query lets it share their scan."""
-        return vocabulary.vocabulary(cells.labelled(self.event_cells(by)))
+        if self.settings.labels is not None:
+            spark = self.events.sparkSession
+            return vocabulary.given_vocabulary(spark, self.settings.labels, self.settings)
+        found = cells.labelled(self.event_cells(by), self.settings)
+        return vocabulary.vocabulary(found, self.settings)
+
+    def _in_order(self, rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        """The rows with the place of their label; a label outside the vocabulary has none."""
+        places = self.vocabulary(by).selectExpr("label AS known_label", "ord")
+        return rows.join(places, F.expr("label <=> known_label"), "left").drop("known_label")
 
     def median_age(self, strict_nulls: bool = True) -> DataFrame:
-        return profiles.median_by_sex(self.event_cells(PROFILE_KEYS), strict_nulls)
+        rows = profiles.median_by_sex(
+            self.event_cells(PROFILE_KEYS), strict_nulls, self.settings
+        )
+        return self._in_order(rows, PROFILE_KEYS)
 
     def event_counts(self) -> DataFrame:
-        return profiles.count_by_sex(self.event_cells(["group_raw", "sex"]))
+        by = ["group_raw", "sex"]
+        return self._in_order(profiles.count_by_sex(self.event_cells(by), self.settings), by)
 
     def age_frequency(self) -> DataFrame:
-        return profiles.age_frequency(self.event_cells(PROFILE_KEYS))
+        rows = profiles.age_frequency(self.event_cells(PROFILE_KEYS), self.settings)
+        return self._in_order(rows, PROFILE_KEYS)
 
     # -- rates ---------------------------------------------------------------------
 
-    def aligned(self, keys: Sequence[str], cell_keys: Sequence[str] | None = None) -> DataFrame:
-        """Known cells with population and events on the keys, 0 where a side has none.
+    def _sides(self, cell_keys: Sequence[str], alone: bool) -> tuple[DataFrame, DataFrame]:
+        """Register and event cells with labels and age groups. `alone`: no vocabulary is
+        taken from the same cells, so events of other sexes can go before the sum."""
+        study = self
+        known_sex = alignment.known(["sex"], self.settings)
+        if alone:
+            study = replace(self, events=self.events.filter(known_sex))
+        events = study.event_cells(cell_keys)
+        if "label" in cell_keys:
+            events = cells.labelled(events, self.settings)
+        register = self.register_cells(cell_keys).filter(known_sex)
+        return tuple(cells.add_age_group(side, self.settings) for side in (register, events))
+
+    def aligned(
+        self, keys: Sequence[str], dims: Sequence[str] | None = None, alone: bool = False
+    ) -> DataFrame:
+        """Known cells with population and events, 0 where a side has none.
 
-        `cell_keys` may name the finer cells to sum from, so that two alignments of one
-        query share the scans of both inputs. The join grain is that of `keys` either way.
+        `keys` say which cells are known and are the grain of the result, unless coarser
+        `dims` are given: both measures add up, so one sum serves, as long as no broad group
+        is wanted, which belongs to the fine cells.
         """
-        events = self.event_cells(cell_keys or keys)
-        register = self.register_cells(cell_keys or keys)
-        if cell_keys:
-            register = cells.summed(register, cell_keys, cells.REGISTER_MEASURES)
-        else:
-            register = register.filter(alignment.known(["sex"]))
-        if "label" in keys:
-            events = cells.labelled(events)
-        known = alignment.known(keys)
-        return alignment.align(register, events, keys, in_register=known, in_events=known)
+        register, events = self._sides(keys, alone)
+        known = alignment.known(keys, self.settings)
+        return alignment.align(
+            register,
+            events,
+            dims or keys,
+            in_register=known,
+            in_events=known,
+            settings=self.settings,
+            broad_group=dims is None,
+        )
 
     def rates(
-        self,
-        keys: Sequence[str],
-        dims: Sequence[str],
-        cell_keys: Sequence[str] | None = None,
-        **options,
+        self, keys: Sequence[str], dims: Sequence[str], alone: bool = True, **options
     ) -> DataFrame:
-        rows = cells.add_age_group(self.aligned(keys, cell_keys))
+        """Rates per combination of dims over the cells known by their keys."""
+        options = {"level": self.settings.level, "lower_term": self.settings.lower_term} | options
+        if "broad_group" in dims:
+            rows = cells.add_age_group(self.aligned(keys, alone=alone), self.settings)
+            rows = cells.summed(rows, dims, ["events", "population"])
+        else:
+            rows = self.aligned(keys, dims, alone).select(*dims, "events", "population")
         if "imd_quintile" in dims:
             rows = clean.replaced(rows, {"imd_quintile": "CAST(imd_quintile AS STRING)"})
-        return rate_tables.rate_table(rows, dims, **options)
+        return rate_tables.with_rates(rows.select(*dims, "events", "population"), **options)
 
-    def rates_by_group(self, **options) -> DataFrame:
-        return self.rates(GROUP_KEYS, ["label", "broad_group", "sex", "age_group"], **options)
+    def rates_by_group(self, alone: bool = True, **options) -> DataFrame:
+        return self.rates(GROUP_KEYS, GROUP_DIMS, alone, **options)
 
     def rates_by_imd(self, **options) -> DataFrame:
-        return self.rates(IMD_KEYS, ["imd_quintile", "sex", "age_group"], **options)
+        return self.rates(IMD_KEYS, IMD_DIMS, **options)
 
     def rates_broad_imd(self, **options) -> DataFrame:
-        dims = ["broad_group", "imd_quintile", "sex", "age_group"]
-        return self.rates(GROUP_IMD_KEYS, dims, **options)
+        return self.rates(GROUP_IMD_KEYS, BROAD_IMD_DIMS, **options)
 
     def rates_group_imd(self, **options) -> DataFrame:
-        dims = ["label", "imd_quintile", "sex", "age_group"]
-        return self.rates(GROUP_IMD_KEYS, dims, **options)
+        return self.rates(GROUP_IMD_KEYS, GROUP_IMD_DIMS, **options)
 
     def benchmark(self) -> DataFrame:
-        return rate_tables.benchmark(self.rates_by_group())
+        return self.rates(GROUP_KEYS, ["age_group"])
 
     def rates_by_group_with_benchmark(self) -> DataFrame:
         """Rates by group, in vocabulary order, next to the average of their age group."""
-        rate_rows = self.rates_by_group()
-        compared = rate_tables.with_benchmark(rate_rows, rate_tables.benchmark(rate_rows))
+        rate_rows = self.rates_by_group(alone=False)
+        average = rate_tables.benchmark(rate_rows)
+        compared = rate_tables.with_benchmark(
+            rate_rows, average, order=self.settings.age_group_order
+        )
         return vocabulary.in_vocabulary(compared, self.vocabulary(GROUP_KEYS))
 
     def rates_by_imd_with_benchmark(self) -> DataFrame:
-        """Rates by quintile next to the same average, which always is that of the groups."""
-        shared = {"cell_keys": GROUP_IMD_KEYS}
-        average = rate_tables.benchmark(self.rates_by_group(**shared))
-        return rate_tables.with_benchmark(self.rates_by_imd(**shared), average)
+        """Rates by quintile next to the same average, which always is that of the groups.
+
+        One grouped sum makes both: by quintile, sex and age group it adds up the cells whose
+        quintile is known, and those whose label is. The latter's totals by age group are the
+        average, formed over these few rows.
+        """
+        settings = self.settings
+        register, events = self._sides(GROUP_IMD_KEYS, alone=True)
+        rows = register.selectExpr(*GROUP_IMD_KEYS, "age_group", "population", "0L AS events")
+        rows = rows.union(
+            events.selectExpr(*GROUP_IMD_KEYS, "age_group", "0L AS population", "events")
+        )
+        in_rate, in_average = (alignment.known(keys, settings) for keys in (IMD_KEYS, GROUP_KEYS))
+        sums = rows.groupBy(*IMD_DIMS).agg(
+            F.expr(f"sum(IF({in_rate}, events, NULL)) AS events"),
+            F.expr(f"sum(IF({in_rate}, population, NULL)) AS population"),
+            F.expr(f"sum(IF({in_average}, events, NULL)) AS average_events"),
+            F.expr(f"sum(IF({in_average}, population, NULL)) AS average_population"),
+        )
+        whole = (f"sum(average_{m}) OVER (PARTITION BY age_group)" for m in ("events", "population"))
+        average = f"{rates.percent(*whole)} AS benchmark_percent"
+        sums = sums.selectExpr(*IMD_DIMS, "events", "population", average)
+        sums = clean.replaced(
+            sums.filter("events IS NOT NULL"),
+            {"imd_quintile": "CAST(imd_quintile AS STRING)"},
+        )
+        sums = sums.select(*IMD_DIMS, "events", "population", "benchmark_percent")
+        rows = rate_tables.with_rates(sums, settings.level, settings.lower_term)
+        return rate_tables.with_place(rows, order=settings.age_group_order)
 
     # -- gaps ----------------------------------------------------------------------
 
-    def gap_cells(self) -> DataFrame:
-        return gaps.gap_cells(self.aligned(GROUP_IMD_KEYS))
+    def gap_cells(self, alone: bool = True) -> DataFrame:
+        return gaps.gap_cells(self.aligned(GROUP_IMD_KEYS, gaps.GAP_DIMS, alone))
 
-    def gap_levels(self) -> DataFrame:
-        return gaps.gap_levels(self.gap_cells(), self.vocabulary(GROUP_IMD_KEYS))
+    def gap_levels(self, levels: dict[str, Sequence[str]] = gaps.GAP_LEVELS) -> DataFrame:
+        alone = self.settings.labels is not None
+        return gaps.gap_levels(
+            self.gap_cells(alone), self.vocabulary(GROUP_IMD_KEYS), levels, self.settings
+        )
 
     def area_gap(self, strict_nulls: bool = True) -> DataFrame:
         return area_reports.with_constituency(self._area_gap(strict_nulls), self.areas)
 
     def _area_gap(self, strict_nulls: bool) -> DataFrame:
         return gaps.area_gap(
-            self.register_cells(AREA_KEYS), self.event_cells(AREA_KEYS), strict_nulls
+            self.register_cells(AREA_KEYS),
+            self.event_cells(AREA_KEYS),
+            strict_nulls,
+            self.settings,
         )
 
     def area_layer(self, strict_nulls: bool = True) -> DataFrame:
         return area_reports.area_layer(
-            self._area_gap(strict_nulls), self.vocabulary(AREA_KEYS), self.areas
+            self._area_gap(strict_nulls), self.vocabulary(AREA_KEYS), self.areas, self.settings
         )
 
     def constituency_share(self, strict_nulls: bool = True) -> DataFrame:
         return area_reports.constituency_share(
-            self.area_gap(strict_nulls), self.vocabulary(AREA_KEYS)
+            self.area_gap(strict_nulls), self.vocabulary(AREA_KEYS), self.settings
         )
 
     def gap_totals(self, strict_nulls: bool = True) -> DataFrame:
         return area_reports.gap_totals(
-            self._area_gap(strict_nulls), self.vocabulary(AREA_KEYS)
+            self._area_gap(strict_nulls), self.vocabulary(AREA_KEYS), self.settings
         )
 
     # -- matrices ------------------------------------------------------------------
 
     def rate_matrix(self) -> DataFrame:
-        return matrix.rate_matrix(self.rates_broad_imd())
+        return matrix.rate_matrix(self.rates_broad_imd(), self.settings)
 
-    def gap_matrix(
-        self,
-        by_sex: bool = True,
-        order: Sequence[str] = tuple(fixed.MATRIX_LABELS),
-        require_all: bool = False,
-    ) -> DataFrame:
+    def _matrix_level(self, by_sex: bool, levels: DataFrame | None) -> DataFrame:
         level = "sex_label_imd" if by_sex else "label_imd"
-        dims = gaps.GAP_LEVELS[level]
-        rows = gaps.gap_levels(
-            self.gap_cells(), self.vocabulary(GROUP_IMD_KEYS), {level: dims}
-        )
-        return matrix.gap_matrix(rows, order, by_sex, require_all)
+        rows = self.gap_levels({level: gaps.GAP_LEVELS[level]}) if levels is None else levels
+        return rows.filter(f"level = '{level}'")
+
+    def gap_matrix(self, by_sex: bool = True, levels: DataFrame | None = None) -> DataFrame:
+        """Counts in clear; `levels` may be a written gap table."""
+        return matrix.gap_matrix(self._matrix_level(by_sex, levels), by_sex, self.settings)
+
+    def gap_matrix_text(
+        self, by_sex: bool = False, levels: DataFrame | None = None
+    ) -> DataFrame:
+        """The gap matrix as displayed, small numbers hidden."""
+        return matrix.suppressed_matrix(self.gap_matrix(by_sex, levels), self.settings)
 
-    def gap_matrix_text(self, order: Sequence[str] = tuple(fixed.MATRIX_LABELS)) -> DataFrame:
-        return matrix.suppressed_matrix(self.gap_matrix(by_sex=False, order=order), order)
+    def gap_margins(self, by_sex: bool = True, levels: DataFrame | None = None) -> DataFrame:
+        return matrix.gap_margins(self._matrix_level(by_sex, levels), by_sex, self.settings)
 
     def matrix_margins(self) -> DataFrame:
-        return matrix.matrix_margins(self.rates_broad_imd())
+        return matrix.matrix_margins(self.rates_broad_imd(), self.settings)
 
     # -- everything ----------------------------------------------------------------
 
-    def tables(self, strict_nulls: bool = True) -> dict[str, DataFrame]:
-        """Every table of the analysis, by the name it is written under."""
-        return {
+    def tables(
+        self,
+        strict_nulls: bool = True,
+        levels: DataFrame | None = None,
+        unsuppressed: bool = False,
+    ) -> dict[str, DataFrame]:
+        """Every table of the analysis, by the name it is written under.
+
+        Gap matrices hide small numbers; `unsuppressed` adds them and their margins in clear.
+        """
+        tables = {
             "vocabulary": self.vocabulary(),
             "median_age": self.median_age(strict_nulls),
             "event_counts": self.event_counts(),
@@ -206,36 +296,59 @@ class Study:
             "rates_broad_imd": self.rates_broad_imd(),
             "rates_group_imd": self.rates_group_imd(),
             "benchmark": self.benchmark(),
-            "gap_levels": self.gap_levels(),
+            "gap_levels": self.gap_levels() if levels is None else levels,
             "rate_matrix": self.rate_matrix(),
             "matrix_margins": self.matrix_margins(),
-            "gap_matrix_by_sex": self.gap_matrix(by_sex=True),
-            "gap_matrix_both": self.gap_matrix(by_sex=False),
+            "gap_matrix_by_sex": self.gap_matrix_text(True, levels),
+            "gap_matrix_both": self.gap_matrix_text(False, levels),
             "area_gap": self.area_gap(strict_nulls),
             "area_layer": self.area_layer(strict_nulls),
             "constituency_share": self.constituency_share(strict_nulls),
             "gap_totals": self.gap_totals(strict_nulls),
         }
-
-    def write(self, spark: SparkSession, folder: str, strict_nulls: bool = True) -> list[str]:
+        if unsuppressed:
+            tables |= {
+                "gap_counts_by_sex": self.gap_matrix(True, levels),
+                "gap_counts_both": self.gap_matrix(False, levels),
+                "gap_margins_by_sex": self.gap_margins(True, levels),
+                "gap_margins_both": self.gap_margins(False, levels),
+            }
+        return tables
+
+    def write(
+        self,
+        spark: SparkSession,
+        folder: str,
+        strict_nulls: bool = True,
+        unsuppressed: bool = False,
+        scratch: str | None = None,
+    ) -> list[str]:
         """Write every table as Parquet, the hand-over files as CSV, the shares as sheets.
 
-        Both inputs are scanned once, into cells that all tables start from.
+        Both inputs are scanned once, into cells that all tables start from, and the gap
+        levels are computed once. These live in a folder of their own in `scratch` (default:
+        the session's shared folder), which goes when all is written.
         """
-        study = self.collapsed(spark)
-        tables = study.tables(strict_nulls)
-        written = [
-            writers.write_results(table, f"{folder}/{name}") for name, table in tables.items()
-        ]
-        for name, table in study.hand_over_files().items():
-            written.append(writers.write_results(table, f"{folder}/{name}.csv", "csv"))
-        sheets = f"{folder}/constituency_sheets"
-        written.append(writers.write_sheets(tables["constituency_share"], sheets, "label"))
-        return written
-
-    def hand_over_files(self) -> dict[str, DataFrame]:
+        own = writers.new_folder(spark, "report", scratch)
+        try:
+            study = self.collapsed(spark, folder=own)
+            levels = writers.load_once(spark, study.gap_levels(), "gap_levels", own)
+            tables = study.tables(strict_nulls, levels, unsuppressed)
+            files = study.hand_over_files(levels)
+            sheets = tables["constituency_share"]
+            jobs = [
+                *((writers.write_results, t, f"{folder}/{n}") for n, t in tables.items()),
+                *((writers.write_results, t, f"{folder}/{n}.csv", "csv") for n, t in files.items()),
+                (writers.write_sheets, sheets, f"{folder}/constituency_sheets", ["ord", "label"]),
+            ]
+            with ThreadPoolExecutor(WRITERS) as pool:
+                return list(pool.map(lambda job: job[0](*job[1:]), jobs))
+        finally:
+            writers.remove(spark, own)
+
+    def hand_over_files(self, levels: DataFrame | None = None) -> dict[str, DataFrame]:
         """The tables other tools read, under the column names they expect."""
-        levels = self.gap_levels()
+        levels = (self.gap_levels() if levels is None else levels).drop("ord", "age_group_ord")
         by_sex = levels.filter("level = 'sex_label_imd'")
         both = levels.filter("level = 'label_imd'")
         return {

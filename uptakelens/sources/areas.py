@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from uptakelens.functions.sql import name
+from uptakelens.sources.writers import settled
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -17,11 +18,14 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 class Areas:
     """Areas to report on (`targets`) and their attributes (`lookup`), keyed by `area`.
 
-    `broadcastable` is only true when both were counted and found under the bounds.
+    `located` has every target area once, with its attributes. `broadcastable` is only true
+    when both tables were counted and found under the bounds; beyond, `located` was written
+    once, so that facts meet it in a single join of their own, which can split a hot area.
     """
 
     targets: DataFrame
     lookup: DataFrame
+    located: DataFrame
     broadcastable: bool
     attributes: tuple[str, ...]
 
@@ -64,4 +68,7 @@ def checked_areas(
         size["rows"] <= max_rows and size["bytes"] <= max_bytes for size in sizes.values()
     )
     attributes = tuple(c for c in lookup.columns if c != "area")
-    return Areas(targets, lookup, small, attributes)
+    located = targets.distinct().join(F.broadcast(lookup) if small else lookup, "area", "left")
+    if not small:
+        located = settled(located)
+    return Areas(targets, lookup, located, small, attributes)

@@ -14,7 +14,10 @@ from uptakelens.sources import schemas
 
 
 def read_csv_na(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Columns of `schema` from a CSV file with a header, in any order; NA is missing.
+    """Columns of `schema` from CSV with a header, in any order; NA is missing.
+
+    The files of a folder must have one header: it is checked in each of them, and a file
+    with other columns, or in another order, fails the read.
 
     Further columns of the file, such as a row number, are not parsed. A value that does
     not fit its declared type fails the read: silently turning it into NULL would change
@@ -31,6 +34,7 @@ def read_csv_na(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     rows = (
         spark.read.schema(in_file_order)
         .option("header", True)
+        .option("enforceSchema", False)
         .option("nullValue", "NA")
         .option("emptyValue", "")
         .option("mode", "FAILFAST")

@@ -25,9 +25,17 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), f"uptakelens-{spark.sparkContext.applicationId}")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else reads or writes."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def settled(rows: DataFrame) -> DataFrame:
+    """The rows written to the session's checkpoint folder and read from there."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(rows.sparkSession))
+    return rows.checkpoint()
+
+
+def new_folder(spark: SparkSession, name: str, within: str | None = None) -> str:
+    """A path in a folder (default: the shared one) that nothing else reads or writes."""
+    return f"{(within or shared_folder(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def write_results(
@@ -49,23 +57,35 @@ def write_results(
     return path
 
 
-def write_sheets(results: DataFrame, path: str, by: str, file_format: str = "csv") -> str:
-    """One folder per value of `by`, named by its file-name form.
+def write_sheets(
+    results: DataFrame, path: str, by: Sequence[str], file_format: str = "csv"
+) -> str:
+    """One folder per combination of `by`, the last of which names the sheet; its file-name
+    form is the column `sheet`.
 
+    Labels that differ are in folders of their own even where their file-name forms agree.
     The rebalance hint gathers a sheet's rows into few files and still splits a sheet
     that is too large for one task.
     """
-    sheets = results.selectExpr("*", f"{slug(by)} AS sheet").hint("rebalance", "sheet")
-    return write_results(sheets, path, file_format, partition_by=["sheet"])
+    sheets = results.selectExpr("*", f"{slug(by[-1])} AS sheet").hint("rebalance", *by)
+    return write_results(sheets, path, file_format, partition_by=by)
 
 
-def load_once(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back.
+def load_once(
+    spark: SparkSession, rows: DataFrame, name: str, folder: str | None = None
+) -> DataFrame:
+    """Write the rows to a new place in the folder (default: the shared one) and read them back.
 
     Later queries start from the written table: the inputs are scanned once, and a lost
     executor costs no recomputation.
     """
-    path = new_folder(spark, name)
+    path = new_folder(spark, name, folder)
     schema = rows.schema
     write_results(rows, path)
     return spark.read.schema(schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, wherever it is stored."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
