@@ -12,9 +12,11 @@ a giant text begins or ends inside one, by the plain recurrence over its charact
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 
 from uptakelens.llm import ragged
@@ -25,8 +27,10 @@ OWN_MARK = "\ud800"
 UNKNOWN = 10.0
 #: Stretches of up to the last of these lengths are segmented in step, in groups of such a length.
 LENGTHS = (2, 4, 6, 8, 12, 16, 24, 48)
+#: So many distinct stretches, about, are remembered by a worker process, the first it meets.
+REMEMBERED = 200_000
 #: So many stretches at a time.
-LANES = 1 << 14
+LANES = 1 << 12
 NONE = float("-inf")
 _ALL = (1 << 64) - 1
 _STEP, _SPREAD = 0x9FB21C651E98DF25, 0x9E3779B97F4A7C15
@@ -48,6 +52,39 @@ def normal(text: str) -> str:
     return MARK + marked(text) if text else ""
 
 
+@dataclass(frozen=True)
+class Stretches:
+    """Segmented stretches by the hash of their characters: length, where their ids begin and how
+    many there are, and score."""
+
+    names: np.ndarray
+    sizes: np.ndarray
+    begins: np.ndarray
+    counts: np.ndarray
+    scores: np.ndarray
+    ids: np.ndarray
+
+    def joined(self, other: Stretches) -> Stretches:
+        """Both, by name; of the longest only the short ones are worth remembering."""
+        keep = np.flatnonzero(other.sizes <= LENGTHS[-1])
+        names = np.concatenate([self.names, other.names[keep]])
+        order = np.argsort(names, kind="stable")
+        pairs = (
+            (self.sizes, other.sizes[keep]),
+            (self.begins, other.begins[keep] + len(self.ids)),
+            (self.counts, other.counts[keep]),
+            (self.scores, other.scores[keep]),
+        )
+        columns = (np.concatenate(pair)[order] for pair in pairs)
+        return Stretches(names[order], *columns, np.concatenate([self.ids, other.ids]))
+
+
+#: A stretch that no text has, so that there is always one to compare with.
+_NOTHING = Stretches(
+    np.zeros(1, np.uint64), *(np.zeros(1, np.int64) for _ in range(3)), np.zeros(1), np.zeros(0, np.int32)
+)
+
+
 class Vocabulary:
     """Pieces with scores, and what they decode to."""
 
@@ -78,6 +115,10 @@ class Vocabulary:
         for piece in self.pieces:
             own = self.number[[ord(c) for c in piece]]
             self.pairs[own[:-1], own[1:]] = True
+        self.surface_size = np.array([len(x) for x in self.surface], np.int64)
+        self.surface_begin = np.cumsum(self.surface_size) - self.surface_size
+        self.surface_pool = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.known = _NOTHING
         self._fill_table()
 
     def _fill_table(self) -> None:
@@ -201,26 +242,48 @@ class Vocabulary:
         np.cumsum(value * ragged.powers(_STEP, len(codes)), out=sums[1:])
         inverse = ragged.powers(pow(_STEP, -1, 1 << 64), len(codes) + 1)
         names = (sums[begin + size] - sums[begin]) * inverse[begin] + size.astype(np.uint64)
-        _, first, same = np.unique(names, return_index=True, return_inverse=True)
+        names, first, same = np.unique(names, return_index=True, return_inverse=True)
         own_begin, own_size = begin[first], size[first]
-        n_ids = np.zeros(len(first), np.int64)
-        scores = np.zeros(len(first))
-        lanes, ids = [], []
-        group = np.searchsorted(LENGTHS, own_size)
+        known = self.known
+        place = np.minimum(np.searchsorted(known.names, names), len(known.names) - 1)
+        hit = (known.names[place] == names) & (known.sizes[place] == own_size)
+        fresh = np.flatnonzero(~hit)
+        new = self._segmented(whole, codes, names[fresh], own_begin[fresh], own_size[fresh])
+        begins, n_ids, scores = (x[place] for x in (known.begins, known.counts, known.scores))
+        begins[fresh], n_ids[fresh] = new.begins + len(known.ids), new.counts
+        scores[fresh] = new.scores
+        flat = np.concatenate([known.ids, new.ids])
+        if len(known.names) < REMEMBERED:
+            self.known = known.joined(new)
+        counts = n_ids[same]
+        stops = np.cumsum(counts)
+        out = flat[np.arange(stops[-1]) + np.repeat(begins[same] - stops + counts, counts)]
+        text = np.searchsorted(at, begin, "right") - 1
+        text_stops = np.concatenate([[0], np.cumsum(np.bincount(text, counts, len(texts)))]).astype(np.int64)
+        return out, text_stops, np.bincount(text, scores[same], len(texts))
+
+    def _segmented(
+        self, whole: bytes, codes: np.ndarray, names: np.ndarray, begin: np.ndarray, size: np.ndarray
+    ) -> Stretches:
+        """The best paths of distinct stretches of the codes."""
+        scores = np.zeros(len(names))
+        lanes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        group = np.searchsorted(LENGTHS, size)
         for g, width in enumerate(LENGTHS):
             members = np.flatnonzero(group == g)
             for k in range(0, len(members), LANES):
                 some = members[k : k + LANES]
-                inside = np.arange(width) < own_size[some, None]
-                place = np.where(inside, own_begin[some, None] + np.arange(width), 0)
+                inside = np.arange(width) < size[some, None]
+                place = np.where(inside, begin[some, None] + np.arange(width), 0)
                 rows = np.where(inside, codes[place], 0)
-                total, ends, piece = self.in_step(rows, own_size[some])
+                total, ends, piece = self.in_step(rows, size[some])
                 scores[some] = total
                 row, column = np.nonzero(ends)
                 lanes.append(some[row])
-                ids.append(np.where(piece[row, column] >= 0, piece[row, column], -1 - rows[row, column]))
+                found = piece[row, column]
+                ids.append(np.where(found >= 0, found, -1 - rows[row, column]))
         for u in np.flatnonzero(group == len(LENGTHS)):
-            stretch = whole[4 * own_begin[u] : 4 * (own_begin[u] + own_size[u])].decode("utf-32-le", "surrogatepass")
+            stretch = whole[4 * begin[u] : 4 * (begin[u] + size[u])].decode("utf-32-le", "surrogatepass")
             best, back = self.forward(stretch, [0.0], len(stretch))
             scores[u] = best[-1]
             own = np.array(self.traced(stretch, back, len(stretch))[0], np.int64)
@@ -229,14 +292,8 @@ class Vocabulary:
         lane, flat = np.concatenate(lanes), np.concatenate(ids)
         order = np.argsort(lane, kind="stable")
         lane, flat = self._with_bytes(lane[order], flat[order])
-        n_ids = np.bincount(lane, minlength=len(first))
-        begins = np.cumsum(n_ids) - n_ids
-        counts = n_ids[same]
-        stops = np.cumsum(counts)
-        out = flat[np.arange(stops[-1]) + np.repeat(begins[same] - stops + counts, counts)]
-        text = np.searchsorted(at, begin, "right") - 1
-        text_stops = np.concatenate([[0], np.cumsum(np.bincount(text, counts, len(texts)))]).astype(np.int64)
-        return out.astype(np.int32), text_stops, np.bincount(text, scores[same], len(texts))
+        counts = np.bincount(lane, minlength=len(names))
+        return Stretches(names, size, np.cumsum(counts) - counts, counts, scores, flat.astype(np.int32))
 
     def _with_bytes(self, lane: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unknown characters (-1 - code) written as the ids of their bytes."""
@@ -260,6 +317,23 @@ class Vocabulary:
         """The text of a list of ids."""
         return b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
+    def decode_all(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+        """The texts of runs of ids that begin at `at`."""
+        size, begin = self.surface_size[ids], self.surface_begin[ids].copy()
+        full = at[:-1][at[1:] > at[:-1]]
+        size[full] -= 1  # the mark in front of a text
+        begin[full] += 1
+        stops = np.cumsum(size)
+        data = self.surface_pool[np.repeat(begin - (stops - size), size) + np.arange(size.sum())]
+        ends = np.concatenate([[0], stops])[at].astype(np.int32)
+        texts = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(ends), pa.py_buffer(data))
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:  # ids that no text has
+            runs = (ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False))
+            return pa.array([self.decode(run) for run in runs], pa.string())
+        return texts
+
     def borders(self, s: str, before: str, size: int) -> tuple[int, int] | None:
         """First and last border that every path has in the first `size` characters of s, which
         follow the character `before` (empty at the beginning); None if there is none."""

@@ -29,9 +29,11 @@ from uuid import uuid4
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from uptakelens.llm import ragged
 from uptakelens.llm.pieces import MARK, Vocabulary, marked, max_plus, normal, vocabulary
 from uptakelens.llm.tables import settled
 
@@ -41,8 +43,8 @@ GIANT = 1 << 16
 CHUNK = 1 << 15
 #: Chunks whose matrices are multiplied in one task.
 BLOCK = 64
-#: Characters segmented at a time.
-BATCH = 1 << 21
+#: Bytes segmented, or ids decoded, at a time.
+BATCH = 1 << 19
 
 
 def read_model(path: str = MODEL) -> bytes:
@@ -66,16 +68,25 @@ def encode_column(model: bytes, column: pa.Array) -> pa.Array:
     """Ids of every text, null being empty."""
     words = vocabulary(model)
     parts = []
-    for some in _batches([normal(x or "") for x in column.to_pylist()]):
-        ids, at, _ = words.encode_all(some)
+    for some in ragged.slices(column, BATCH):
+        ids, at, _ = words.encode_all([normal(x or "") for x in some.to_pylist()])
         parts.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)))
     return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
 
 def decode_column(model: bytes, column: pa.Array) -> pa.Array:
-    """Text of every list of ids."""
+    """Text of every list of ids, null being empty."""
     words = vocabulary(model)
-    return pa.array([words.decode(x or []) for x in column.to_pylist()], pa.string())
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    total = np.cumsum(sizes)
+    parts, begin = [], 0
+    while begin < len(column):
+        done = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, done + BATCH, "right")))
+        ids = column.slice(begin, end - begin).flatten().to_numpy()
+        parts.append(words.decode_all(ids, np.concatenate([[0], total[begin:end] - done])))
+        begin = end
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def encoded_in_place(docs: DataFrame, model: bytes) -> DataFrame:
