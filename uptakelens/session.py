@@ -12,6 +12,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.exchange.reuse": "true",
+    "spark.sql.ansi.enabled": "true",  # a sum that overflows is an error
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
 }
