@@ -20,6 +20,7 @@ from uptakelens.llm import (
     sentencepiece_codec,
 )
 from uptakelens.llm.tables import settled, shared_folder, small_side, table
+from uptakelens.sources.writers import remove
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -75,13 +76,18 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet and read again by the next."""
+    """All stages over documents; each is written as Parquet and read again by the next. A
+    stage's folder goes when its successor is written, so that the last one's input stays."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid4().hex}"
+    before = None
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             path = f"{folder}/{number}_{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before is not None:
+                remove(spark, before)
+            before = path
     return docs
