@@ -52,7 +52,10 @@ def edited(words, draw, n):
     return " ".join(words)
 
 
-def test_chains_copies_and_near_misses(spark):
+@pytest.mark.parametrize("pairs, block", [(64, 1 << 15), (2, 700), (0, 1 << 15)])
+def test_chains_copies_and_near_misses(spark, monkeypatch, pairs, block):
+    monkeypatch.setattr(dedup, "PAIRS", pairs)
+    monkeypatch.setattr(dedup, "BLOCK", block)
     draw = random.Random(8)
     rows, number = [], 0
     for base in range(4):

@@ -30,9 +30,9 @@ from uptakelens.llm.tables import training_fold
 
 #: The sample: about so many texts per language (chosen by the hash of their id), so many
 #: characters from a place (chosen likewise) in each, and so many bytes of these at most.
-SAMPLE_TEXTS = 120
+SAMPLE_TEXTS = 80
 SAMPLE_CHARS = 400
-SAMPLE_BYTES = 40_000
+SAMPLE_BYTES = 24_000
 STRETCH = 512
 #: How quickly the score rises with the distance between entropies.
 SHARPNESS = 12.0
@@ -110,7 +110,7 @@ def automata(model: LanguageModel) -> Automata:
     width, tables, roots, first = len(used) + 1, [], [], 0
     for sample in model.samples:
         moves = suffix_automaton(sample)
-        table = np.full((len(moves) + 1, width), -1, np.int64)
+        table = np.full((len(moves) + 1, width), -1, np.int32)
         for state, move in enumerate(moves):
             for symbol, target in move.items():
                 table[state, letter[symbol]] = 2 * (target + first)
@@ -124,7 +124,7 @@ def automata(model: LanguageModel) -> Automata:
         roots.append(first)
         first += len(moves) + 1
     cost = np.array([np.log2(max(2, len(s))) for s in model.samples])
-    return Automata(letter, np.concatenate(tables).ravel().astype(np.int32), width, np.array(roots), cost)
+    return Automata(letter, np.concatenate(tables).ravel(), width, np.array(roots), cost)
 
 
 def phrases(model: LanguageModel, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -9,11 +9,15 @@ gives to the places of the set. What a shingle adds to all coordinates is thus a
 permutation, and a signature the column-wise minimum of such runs. BANDS bands of ROWS coordinates make
 buckets; two sets alike by 0.85 meet in none of them with a probability of 8 in 10 million.
 
-Equal sets are one class, so copies cost nothing further. In every bucket the classes are compared
+Equal sets are one class, so copies cost nothing further. A class goes by 64 bits of its set; among
+10 billion different sets, fewer than three pairs are expected to share them. In every bucket the classes are compared
 with its least one, and what is linked becomes one component; then, where a bucket still holds several
 components, the classes outside its largest one are compared with all classes of other components.
-So every pair of a bucket that could still join two components is verified on the full sets, while a
-group of many copies that do belong together costs a comparison for each copy, not for each pair.
+So every pair of a bucket that could still join two components is verified on the full sets, but for
+those that their sizes or their distances from the bucket's first class rule out, while a group of
+many copies that do belong together costs a comparison for each copy, not for each pair. Large
+buckets whose classes don't belong together are compared in blocks: there, too, every pair is
+verified, but none is a row, and blocks meet in as many tasks as there are pairs of blocks.
 Components are found by alternating stars. Sets are only made for documents that share a bucket.
 
 A null text, or one without words, is linked with nothing. Repeated rows are copies; rows that share
@@ -28,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,15 +45,21 @@ SHINGLE = 5
 SIMILARITY = 85
 BANDS, ROWS = 24, 5
 UNIVERSE = 22
-#: Shingles whose runs are gathered at a time.
-GATHER = 1 << 15
+#: Bytes of text worked on at a time, and shingles whose runs are gathered at a time.
+SLICE = 1 << 18
+GATHER = 1 << 13
+#: Classes of a bucket whose pairs may be rows of a table; in larger buckets they are compared in
+#: blocks of so many shingles, so many columns of a matrix at a time.
+PAIRS = 64
+BLOCK = 1 << 15
+COLUMNS = 1 << 12
 _STEP = 0xD6E8FEB86659FD93
 
 
 @lru_cache(maxsize=1)
 def _runs() -> np.ndarray:
     """Row p: the values of the second permutation from place p on, around the circle."""
-    values = np.random.default_rng(5).permutation(1 << UNIVERSE).astype(np.int32)
+    values = np.random.default_rng(5).permutation(np.arange(1 << UNIVERSE, dtype=np.int32))
     around = np.concatenate([values, values[: BANDS * ROWS]])
     return np.lib.stride_tricks.sliding_window_view(around, BANDS * ROWS)
 
@@ -103,46 +114,46 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return ragged.mixed(total + ragged.mixed(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64)
 
 
-def set_names(value: np.ndarray, text: np.ndarray, n: int) -> pa.Array:
-    """128 bits that tell sets apart: two sums of stirred hashes."""
-    sums = np.zeros((n, 2), np.uint64)
+def set_names(value: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """64 bits that tell sets apart: two sums of stirred hashes, stirred."""
+    sums = np.zeros((2, n), np.uint64)
     starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else []
     if len(starts):
-        sums[text[starts], 0] = np.add.reduceat(ragged.mixed(value + np.uint64(1)), starts)
-        sums[text[starts], 1] = np.add.reduceat(ragged.mixed(~value), starts)
-    return pa.Array.from_buffers(pa.binary(16), n, [None, pa.py_buffer(sums.tobytes())]).cast(pa.binary())
+        sums[0, text[starts]] = np.add.reduceat(ragged.mixed(value + np.uint64(1)), starts)
+        sums[1, text[starts]] = np.add.reduceat(ragged.mixed(~value), starts)
+    return ragged.mixed(sums[0] + ragged.mixed(sums[1])).view(np.int64)
 
 
 def _shapes(column: pa.Array) -> pa.Array:
     parts = [[], [], []]
-    for some in ragged.slices(column):
+    for some in ragged.slices(column, SLICE):
         value, text = shingles(some)
         n = len(some)
         parts[0].append(pa.array(np.bincount(text, minlength=n)))
-        parts[1].append(set_names(value, text, n))
+        parts[1].append(pa.array(set_names(value, text, n)))
         buckets = bands(signatures(value, text, n))
         ends = pa.array(np.arange(n + 1, dtype=np.int32) * BANDS)
         parts[2].append(pa.ListArray.from_arrays(ends, pa.array(buckets.ravel())))
-    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
     whole = [pa.concat_arrays(p) if p else pa.array([], t) for p, t in zip(parts, kinds, strict=True)]
     return pa.StructArray.from_arrays(whole, ["n", "node", "buckets"])
 
 
 def _sets(column: pa.Array) -> pa.Array:
     names, sets = [], []
-    for some in ragged.slices(column):
+    for some in ragged.slices(column, SLICE):
         value, text = shingles(some)
-        names.append(set_names(value, text, len(some)))
+        names.append(pa.array(set_names(value, text, len(some))))
         ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(some)))])
         sets.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(value.view(np.int64))))
     if not names:
-        return pa.StructArray.from_arrays([pa.array([], pa.binary()), pa.array([], pa.list_(pa.int64()))], ["node", "set"])
+        names, sets = [pa.array([], pa.int64())], [pa.array([], pa.list_(pa.int64()))]
     return pa.StructArray.from_arrays([pa.concat_arrays(names), pa.concat_arrays(sets)], ["node", "set"])
 
 
 def shapes(docs: DataFrame) -> DataFrame:
     """Settled: doc_id, n (size of the set), node (its name) and buckets of every document."""
-    shape = F.arrow_udf(_shapes, "struct<n:bigint,node:binary,buckets:array<bigint>>")
+    shape = F.arrow_udf(_shapes, "struct<n:bigint,node:bigint,buckets:array<bigint>>")
     return settled(docs.select("doc_id", shape("text").alias("s")).select("doc_id", "s.*"))
 
 
@@ -163,18 +174,122 @@ def full_sets(docs: DataFrame, shaped: DataFrame, nodes: DataFrame) -> DataFrame
     rows = docs.select("doc_id", "text").join(
         small_side(wanted), F.col("doc_id").eqNullSafe(F.col("first"))
     )
-    made = F.arrow_udf(_sets, "struct<node:binary,set:array<bigint>>")
+    made = F.arrow_udf(_sets, "struct<node:bigint,set:array<bigint>>")
     rows = rows.select("wanted", made("text").alias("s")).filter("wanted = s.node")
     return settled(rows.select("s.*").dropDuplicates(["node"]))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike by `percent`."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Settled: the pairs (a, b), whether their full sets are alike by `percent` (linked), and their
+    Jaccard distance."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     both = both.withColumn("shared", F.expr("bigint(size(array_intersect(set_a, set_b)))"))
-    alike = f"100 * shared >= {percent} * (size(set_a) + size(set_b) - shared)"
-    return both.filter(alike).select("a", "b")
+    both = both.withColumn("whole", F.expr("size(set_a) + size(set_b) - shared"))
+    linked = f"100 * shared >= {percent} * whole AS linked"
+    return settled(both.selectExpr("a", "b", linked, "1 - shared / double(whole) AS distance"))
+
+
+def still_open(
+    near: DataFrame, stars: DataFrame, root: DataFrame, shaped: DataFrame
+) -> DataFrame:
+    """Settled: of the buckets that hold several components, every class with its component (root),
+    the component most of the bucket's classes belong to (main), their number, its distance from
+    the bucket's hub where that is known, and its buckets."""
+    grouped = near.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = settled(grouped.select("bucket", "hub", "node", "n", "root"))
+    largest = grouped.groupBy("bucket", "root").count().groupBy("bucket")
+    largest = largest.agg(
+        F.max(F.struct("count", "root")).alias("top"),
+        F.count(F.lit(1)).alias("c"),
+        F.sum("count").alias("members"),
+    )
+    several = largest.filter("c > 1").select("bucket", F.col("top.root").alias("main"), "members")
+    distances = stars.select(F.col("a").alias("hub"), F.col("b").alias("node"), "distance")
+    open_ = grouped.join(several, "bucket").join(distances, ["hub", "node"], "left")
+    open_ = settled(open_.withColumn("distance", F.expr("if(node = hub, 0D, distance)")))
+    nodes = settled(open_.select("node").distinct())
+    wide = shaped.join(small_side(nodes), "node", "left_semi").groupBy("node")
+    return settled(open_.join(wide.agg(F.first("buckets").alias("buckets")), "node"))
+
+
+def open_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that share a bucket and can be alike, of
+    the buckets of at most PAIRS classes.
+
+    Each is made once, in the first bucket it shares, from the side that is outside the bucket's
+    main component. Sizes must allow the similarity, and so must the distances from the hub: as
+    Jaccard distance is a metric, two sets are at least as far apart as these differ."""
+    open_ = open_.filter(f"members <= {PAIRS}")
+    outside = open_.filter("root <> main").selectExpr(
+        "bucket", "node AS a", "n AS n_a", "root AS root_a", "distance AS distance_a", "buckets AS buckets_a"
+    )
+    able = (
+        "root <> root_a AND (root = main OR a < node)"
+        f" AND 100 * least(n, n_a) >= {percent} * greatest(n, n_a)"
+        f" AND coalesce(abs(distance - distance_a) <= {(100 - percent) / 100 + 1e-9}D, true)"
+        " AND bucket = get(array_intersect(buckets_a, buckets), 0)"
+    )
+    return outside.join(open_.drop("hub"), "bucket").filter(able).selectExpr("a", "node AS b")
+
+
+def _alike(cells: pa.Array, percent: int) -> pa.Array:
+    """Of each cell, one or two lists of classes: pairs that are alike by `percent` and belong to
+    different components, one for every two components; of two lists only pairs across them."""
+    out = []
+    for cell in cells:
+        lists = cell.values
+        side = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+        members = lists.flatten()
+        node, root = (members.field(name).to_numpy() for name in ("node", "root"))
+        size = pc.list_value_length(members.field("set")).to_numpy()
+        _, shingle = np.unique(members.field("set").flatten().to_numpy(), return_inverse=True)
+        row = np.repeat(np.arange(len(node)), size)
+        shared = np.zeros((len(node), len(node)), np.float32)
+        order = np.argsort(shingle, kind="stable")
+        shingle, row = shingle[order], row[order]
+        for begin in range(0, int(shingle[-1]) + 1, COLUMNS):
+            some = slice(*np.searchsorted(shingle, (begin, begin + COLUMNS)))
+            has = np.zeros((len(node), COLUMNS), np.float32)
+            has[row[some], shingle[some] - begin] = 1
+            shared += has @ has.T
+        whole = size[:, None] + size[None, :] - shared
+        found = (100 * shared >= percent * whole) & (root[:, None] < root[None, :])
+        if len(lists) > 1:
+            found &= side[:, None] != side[None, :]
+        a, b = np.nonzero(found)
+        _, first = np.unique(np.stack([root[a], root[b]]), axis=1, return_index=True)
+        out.append([{"a": node[i], "b": node[j]} for i, j in zip(a[first], b[first], strict=True)])
+    return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+
+
+def links_in_blocks(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the classes of the buckets of more than PAIRS classes.
+
+    Classes that such buckets hold together, directly or by others, are a family. A family is dealt
+    into blocks of about BLOCK shingles, and every two blocks, and every block by itself, are a cell:
+    its sets are compared inside one task, as a product of matrices, and only links leave it. So no
+    pair is a row, a large family is spread over as many tasks as it has cells, and each pair is
+    compared once, in however many buckets it is."""
+    large = open_.filter(f"members > {PAIRS}").select("bucket", "hub", "node", "root", "n")
+    family = roots(large.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    family = family.withColumnsRenamed({"a": "node", "b": "family"})
+    rows = large.select("node", "root", "n").distinct().join(family, "node", "left")
+    rows = rows.withColumn("family", F.coalesce("family", "node"))
+    blocks = rows.groupBy("family").agg(F.expr(f"int(ceil(sum(n) / {BLOCK}))").alias("blocks"))
+    rows = rows.join(blocks, "family").withColumn("block", F.expr("pmod(xxhash64(node, 3), blocks)"))
+    rows = rows.join(sets, "node").groupBy("family", "blocks", "block")
+    rows = rows.agg(F.collect_list(F.struct("node", "root", "set")).alias("members"))
+    cells = rows.selectExpr("*", "explode(sequence(0, blocks - 1)) AS other").selectExpr(
+        "family", "least(block, other) AS i", "greatest(block, other) AS j", "members"
+    )
+    cells = cells.groupBy("family", "i", "j").agg(F.collect_list("members").alias("lists"))
+
+    def alike(column: pa.Array) -> pa.Array:
+        return _alike(column, percent)
+
+    found = F.arrow_udf(alike, "array<struct<a:bigint,b:bigint>>")("lists")
+    return settled(cells.select(F.explode(found).alias("l")).select("l.*"))
 
 
 def links(docs: DataFrame, shaped: DataFrame, percent: int = SIMILARITY) -> DataFrame:
@@ -184,23 +299,13 @@ def links(docs: DataFrame, shaped: DataFrame, percent: int = SIMILARITY) -> Data
     sizes = near.select(F.col("node").alias("hub"), F.col("n").alias("n_hub")).distinct()
     able = f"100 * least(n, n_hub) >= {percent} * greatest(n, n_hub)"
     stars = near.filter("node <> hub").select("hub", "node", "n").distinct().join(sizes, "hub")
-    stars = stars.filter(able).selectExpr("hub AS a", "node AS b")
-    linked = settled(verified(stars, sets, percent))
+    stars = compared(stars.filter(able).selectExpr("hub AS a", "node AS b"), sets, percent)
+    linked = stars.filter("linked").select("a", "b")
     root = roots(linked).withColumnsRenamed({"a": "node", "b": "root"})
-    grouped = near.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    grouped = settled(grouped.select("bucket", "node", "n", "root"))
-    # Buckets of several components, and the component that most of their classes belong to.
-    largest = grouped.groupBy("bucket", "root").count().groupBy("bucket")
-    largest = largest.agg(F.max(F.struct("count", "root")).alias("top"), F.count(F.lit(1)).alias("c"))
-    open_ = grouped.join(largest.filter("c > 1").select("bucket", "top.root").withColumnRenamed("root", "main"), "bucket")
-    open_ = settled(open_)
-    outside = open_.filter("root <> main").selectExpr("bucket", "node AS a", "n AS n_a", "root AS root_a")
-    pairs = outside.join(open_, "bucket").filter(
-        "root <> root_a AND (root = main OR a < node)"
-        f" AND 100 * least(n, n_a) >= {percent} * greatest(n, n_a)"
-    )
-    more = verified(pairs.selectExpr("a", "node AS b").distinct(), sets, percent)
-    return roots(linked.unionAll(more))
+    open_ = still_open(near, stars, root, shaped)
+    more = compared(open_pairs(open_, percent), sets, percent).filter("linked").select("a", "b")
+    more = more.unionAll(links_in_blocks(open_, sets, percent))
+    return roots(root.selectExpr("node AS a", "root AS b").unionAll(more))
 
 
 def report(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:

@@ -24,7 +24,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(column: pa.Array, most: int = 1 << 21) -> Iterator[pa.Array]:
+def slices(column: pa.Array, most: int = 1 << 19) -> Iterator[pa.Array]:
     """The column in runs of texts of about `most` bytes, to bound what the arrays made from
     them take; a longer text is a run of its own."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
