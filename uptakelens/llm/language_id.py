@@ -18,7 +18,6 @@ be learned. Rows with a null language or text teach nothing. Repeated rows get e
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -101,9 +100,19 @@ class Automata:
     cost: np.ndarray
 
 
-@lru_cache(maxsize=4)
+_BUILT: dict[LanguageModel, Automata] = {}
+
+
 def automata(model: LanguageModel) -> Automata:
-    """Built once in each worker process from the samples, which is all that is sent."""
+    """Built once in each worker process, which keeps one, from the samples, which is all that
+    is sent."""
+    if model not in _BUILT:
+        _BUILT.clear()
+        _BUILT[model] = _built(model)
+    return _BUILT[model]
+
+
+def _built(model: LanguageModel) -> Automata:
     used = sorted(set(b"".join(model.samples)))
     letter = np.zeros(256, np.int64)
     letter[used] = np.arange(1, len(used) + 1)
@@ -171,6 +180,7 @@ def predictions(model: LanguageModel, column: pa.Array) -> pa.Array:
         weight = np.exp(-SHARPNESS * (bits / np.maximum(best, 1e-9) - 1))
         names.append(bits.argmin(1))
         scores.append(weight.max(1) / weight.sum(1))
+    ragged.released()
     if not names:
         return pa.array([], _RESULT)
     language = pa.array(model.languages, pa.string()).take(pa.array(np.concatenate(names)))

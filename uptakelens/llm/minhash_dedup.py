@@ -134,6 +134,7 @@ def _shapes(column: pa.Array) -> pa.Array:
         buckets = bands(signatures(value, text, n))
         ends = pa.array(np.arange(n + 1, dtype=np.int32) * BANDS)
         parts[2].append(pa.ListArray.from_arrays(ends, pa.array(buckets.ravel())))
+    ragged.released()
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
     whole = [pa.concat_arrays(p) if p else pa.array([], t) for p, t in zip(parts, kinds, strict=True)]
     return pa.StructArray.from_arrays(whole, ["n", "node", "buckets"])
@@ -146,6 +147,7 @@ def _sets(column: pa.Array) -> pa.Array:
         names.append(pa.array(set_names(value, text, len(some))))
         ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(some)))])
         sets.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(value.view(np.int64))))
+    ragged.released()
     if not names:
         names, sets = [pa.array([], pa.int64())], [pa.array([], pa.list_(pa.int64()))]
     return pa.StructArray.from_arrays([pa.concat_arrays(names), pa.concat_arrays(sets)], ["node", "set"])

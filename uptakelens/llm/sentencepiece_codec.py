@@ -71,6 +71,7 @@ def encode_column(model: bytes, column: pa.Array) -> pa.Array:
     for some in ragged.slices(column, BATCH):
         ids, at, _ = words.encode_all([normal(x or "") for x in some.to_pylist()])
         parts.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)))
+    ragged.released()
     return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
 

@@ -169,6 +169,7 @@ def feature_column(lexicon: Lexicon, text: str = "text") -> Column:
     def of(column: pa.Array) -> pa.Array:
         rows = [features(some, lexicon) for some in ragged.slices(column)]
         flat = np.concatenate(rows) if rows else np.zeros((0, len(FEATURES)))
+        ragged.released()
         ends = np.arange(len(flat) + 1, dtype=np.int32) * len(FEATURES)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()))
 
