@@ -97,3 +97,24 @@ def test_odd_documents(spark):
     texts = {(r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in odd(spark, extra=False).collect()}
     assert {(r[0], r[3]) for r in rows} == texts
     assert codec.report(empty(spark), MODEL).collect() == []
+
+
+def test_chunks_cut_again_have_the_same_names(spark, monkeypatch):
+    monkeypatch.setattr(codec, "settled", lambda frame: frame)  # every use is a recomputation
+    docs = table(spark, "doc_id bigint, text string", *enumerate(NASTY), (0, NASTY[0]))
+    found, again = (rows_of(codec.chunks(docs, 16, 64)) for _ in range(2))
+    assert found == again
+    assert len({r[1] for r in found}) == len(NASTY) + 1
+
+
+@pytest.mark.parametrize("change", ["chunk <> 1", "chunk <> 2", "twice"])
+def test_other_chunks_than_cut_are_an_error(spark, monkeypatch, change):
+    def changed(*args, whole=codec.chunks):
+        rows = whole(*args)
+        return rows.unionAll(rows.filter("chunk = 2")) if change == "twice" else rows.filter(change)
+
+    docs = table(spark, "doc_id bigint, text string", (1, "and there it is " * 12))
+    assert len(codec.encoded_by_scan(docs, MODEL, 64).collect()) == 1
+    monkeypatch.setattr(codec, "chunks", changed)
+    with pytest.raises(Exception, match="has other chunks than its 4"):
+        codec.encoded_by_scan(docs, MODEL, 64).collect()

@@ -24,7 +24,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from pathlib import Path
-from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -101,29 +100,32 @@ def encoded_in_place(docs: DataFrame, model: bytes) -> DataFrame:
 
 def chunks(docs: DataFrame, longest: int, size: int = CHUNK) -> DataFrame:
     """Settled: document (a name for the row), doc_id, chunk, chunks, and the text of the chunk, with
-    the character in front of it and those behind it that its pieces can reach."""
+    the character in front of it and those behind it that its pieces can reach.
+
+    The names are settled before the chunks are dealt out by them, so that a chunk that has to be cut
+    again after the loss of an executor goes by the same name."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text in zip(batch[0], batch[1], strict=True):
-                raw, name = text.as_py(), uuid4().hex
+            for doc_id, document, text in zip(*batch.columns, strict=True):
+                raw = text.as_py()
                 n = -(-(len(raw) + 1) // size)
                 for i in range(n):
                     part = raw[max(0, i * size - 2) : (i + 1) * size + longest - 2]
-                    rows = [[doc_id.as_py()], [name], [i], [n], [part]]
+                    rows = [[doc_id.as_py()], [document.as_py()], [i], [n], [part]]
                     columns = [pa.array(x, f.type) for x, f in zip(rows, _CHUNKS, strict=True)]
                     yield pa.RecordBatch.from_arrays(columns, schema=_CHUNKS)
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        cut, "doc_id bigint, document string, chunk int, chunks int, text string"
-    )
+    name = F.monotonically_increasing_id().alias("document")
+    named = settled(docs.select(F.col("doc_id").cast("bigint"), name, "text"))
+    rows = named.mapInArrow(cut, "doc_id bigint, document bigint, chunk int, chunks int, text string")
     return settled(rows.repartition("document", "chunk"))
 
 
 _CHUNKS = pa.schema(
     [
         ("doc_id", pa.int64()),
-        ("document", pa.string()),
+        ("document", pa.int64()),
         ("chunk", pa.int32()),
         ("chunks", pa.int32()),
         ("text", pa.string()),
@@ -197,20 +199,20 @@ def entry_scores(matrices: DataFrame, block: int = BLOCK) -> DataFrame:
     """document, chunk and the scores of its entries: the parallel scan."""
     matrices = matrices.withColumn("block", F.expr(f"chunk div {block}"))
     products = matrices.groupBy("document", "block").applyInPandas(
-        _product, "document string, block bigint, matrix binary"
+        _product, "document bigint, block bigint, matrix binary"
     )
     by_block = products.groupBy("document").applyInPandas(
-        lambda rows: _entries(rows, "block"), "document string, block bigint, entry binary"
+        lambda rows: _entries(rows, "block"), "document bigint, block bigint, entry binary"
     )
     return (
         matrices.join(by_block, ["document", "block"])
         .groupBy("document", "block")
-        .applyInPandas(lambda rows: _entries(rows, "chunk"), "document string, chunk int, entry binary")
+        .applyInPandas(lambda rows: _entries(rows, "chunk"), "document bigint, chunk int, entry binary")
     )
 
 
 def tracebacks(cut: DataFrame, entries: DataFrame, model: bytes, size: int = CHUNK) -> DataFrame:
-    """doc_id, document, chunk, ids that all paths share (common), and for each exit the ids behind them
+    """doc_id, document, chunk, chunks, ids that all paths share (common), and for each exit the ids behind them
     (ends) and the entry it goes back to (came)."""
 
     def trace(text: pa.Array, chunk: pa.Array, chunks: pa.Array, entry: pa.Array) -> pa.Array:
@@ -225,8 +227,9 @@ def tracebacks(cut: DataFrame, entries: DataFrame, model: bytes, size: int = CHU
 
     udf = F.arrow_udf(trace, "struct<common:array<int>,ends:array<array<int>>,came:array<int>>")
     rows = cut.join(entries, ["document", "chunk"])
-    traced = rows.select("doc_id", "document", "chunk", udf("text", "chunk", "chunks", "entry").alias("t"))
-    return settled(traced.select("doc_id", "document", "chunk", "t.*"))
+    own = ["doc_id", "document", "chunk", "chunks"]
+    traced = rows.select(*own, udf("text", "chunk", "chunks", "entry").alias("t"))
+    return settled(traced.select(*own, "t.*"))
 
 
 def _exits(rows: pd.DataFrame) -> pd.DataFrame:
@@ -240,7 +243,8 @@ def _exits(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def encoded_by_scan(docs: DataFrame, model: bytes, size: int = CHUNK, block: int = BLOCK) -> DataFrame:
-    """doc_id and ids of documents that aren't empty, by chunks."""
+    """doc_id and ids of documents that aren't empty, by chunks. A document that lacks a chunk, or has
+    one twice, is an error."""
     longest = vocabulary(model).longest
     if size < longest:
         raise ValueError(f"a chunk needs {longest} characters at least")
@@ -249,15 +253,20 @@ def encoded_by_scan(docs: DataFrame, model: bytes, size: int = CHUNK, block: int
     traced = tracebacks(cut, entries, model, size)
     # A chunk's row here is its number and one small array.
     exits = traced.select("document", "chunk", "came").groupBy("document").applyInPandas(
-        _exits, "document string, chunk int, way int"
+        _exits, "document bigint, chunk int, way int"
     )
     ids = traced.join(exits, ["document", "chunk"])
-    ids = ids.select("document", "doc_id", "chunk", F.expr("concat(common, ends[way])").alias("ids"))
+    ids = ids.select("document", "doc_id", "chunk", "chunks", F.expr("concat(common, ends[way])").alias("ids"))
     whole = ids.groupBy("document").agg(
         F.first("doc_id").alias("doc_id"),
+        F.max("chunks").alias("chunks"),
         F.expr("sort_array(collect_list(struct(chunk, ids)))").alias("parts"),
     )
-    return whole.select("doc_id", F.expr("flatten(transform(parts, x -> x.ids))").alias("ids"))
+    complete = "transform(parts, x -> x.chunk) = sequence(0, chunks - 1)"
+    said = "'document', string(doc_id), 'has other chunks than its', string(chunks)"
+    error = f"raise_error(concat_ws(' ', {said}))"
+    joined = "flatten(transform(parts, x -> x.ids))"
+    return whole.select("doc_id", F.expr(f"if({complete}, {joined}, {error})").alias("ids"))
 
 
 def encode(docs: DataFrame, model: bytes, giant: int = GIANT, size: int = CHUNK) -> DataFrame:
