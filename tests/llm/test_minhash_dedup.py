@@ -102,3 +102,41 @@ def test_components(spark, links):
         for a, b in links:
             group[a] = group[b] = min(group[a], group[b])
     assert {x: found.get(x, x) for x in nodes} == group
+
+
+def test_many_short_texts_are_dealt_into_small_cells(spark, monkeypatch):
+    def watched(cells, percent, whole=dedup._alike):
+        most = max((sum(map(len, cell)) for cell in cells.to_pylist()), default=0)
+        if most > 300:
+            raise ValueError(f"{most} classes in a cell")
+        return whole(cells, percent)
+
+    monkeypatch.setattr(dedup, "CLASSES", 100, raising=False)
+    monkeypatch.setattr(dedup, "_alike", watched)
+    ten = "each of these ten words but the last is alike"
+    rows = [(i, f"{ten} x{i}") for i in range(500)]
+    rows += [(500 + i, f"{ten} y{i // 2} " + " ".join(f"z{j}" for j in range(i // 2 * 90, i // 2 * 90 + 90)) + f" q{i}") for i in range(20)]
+    assert rows_of(dedup.report(table(spark, "doc_id bigint, text string", *rows))) == plain(rows)
+
+
+@pytest.mark.parametrize("strip", [1, 7, 256])
+@pytest.mark.parametrize("sides", [1, 2])
+def test_strips_of_a_cell_find_the_same_links(monkeypatch, strip, sides):
+    monkeypatch.setattr(dedup, "STRIP", strip, raising=False)
+    monkeypatch.setattr(dedup, "COLUMNS", 5)
+    draw = random.Random(3)
+    cells = []
+    for _ in range(3):
+        classes = [{"node": draw.randrange(10**9), "root": draw.randrange(9), "set": sorted(draw.sample(range(12), draw.randint(9, 12)))} for _ in range(30)]
+        cells.append([classes[i::sides] for i in range(sides)])
+    kind = pa.list_(pa.list_(pa.struct([("node", pa.int64()), ("root", pa.int64()), ("set", pa.list_(pa.int64()))])))
+    for cell, found in zip(cells, dedup._alike(pa.array(cells, kind), 85).to_pylist(), strict=True):
+        own = {c["node"]: (side, c["root"], set(c["set"])) for side, some in enumerate(cell) for c in some}
+
+        def linked(a, b):
+            both = len(a[2] & b[2])
+            return 100 * both >= 85 * len(a[2] | b[2]) and (sides == 1 or a[0] != b[0])
+
+        pairs = {(a[1], b[1]) for a in own.values() for b in own.values() if a[1] < b[1] and linked(a, b)}
+        assert sorted((own[x["a"]][1], own[x["b"]][1]) for x in found) == sorted(pairs)
+        assert all(linked(own[x["a"]], own[x["b"]]) for x in found)

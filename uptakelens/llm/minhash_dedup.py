@@ -49,10 +49,13 @@ UNIVERSE = 22
 SLICE = 1 << 18
 GATHER = 1 << 13
 #: Classes of a bucket whose pairs may be rows of a table; in larger buckets they are compared in
-#: blocks of so many shingles, so many columns of a matrix at a time.
+#: blocks of so many shingles and so many classes, so many columns of a matrix at a time; their
+#: similarities are worked out so many rows at a time.
 PAIRS = 64
 BLOCK = 1 << 15
+CLASSES = 1000
 COLUMNS = 1 << 12
+STRIP = 256
 _STEP = 0xD6E8FEB86659FD93
 
 
@@ -255,21 +258,31 @@ def _alike(cells: pa.Array, percent: int) -> pa.Array:
             has = np.zeros((len(node), COLUMNS), np.float32)
             has[row[some], shingle[some] - begin] = 1
             shared += has @ has.T
-        whole = size[:, None] + size[None, :] - shared
-        found = (100 * shared >= percent * whole) & (root[:, None] < root[None, :])
-        if len(lists) > 1:
-            found &= side[:, None] != side[None, :]
-        a, b = np.nonzero(found)
-        _, first = np.unique(np.stack([root[a], root[b]]), axis=1, return_index=True)
-        out.append([{"a": node[i], "b": node[j]} for i, j in zip(a[first], b[first], strict=True)])
-    return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+        # Pairs of components by one number; of each, the first pair of classes.
+        _, number = np.unique(root, return_inverse=True)
+        pairs, keys = [], []
+        for begin in range(0, len(node), STRIP):
+            strip = slice(begin, begin + STRIP)
+            whole = size[strip, None] + size[None, :] - shared[strip]
+            found = (100 * shared[strip] >= percent * whole) & (number[strip, None] < number[None, :])
+            if len(lists) > 1:
+                found &= side[strip, None] != side[None, :]
+            a, b = np.nonzero(found)
+            key, first = np.unique(number[begin + a] * len(node) + number[b], return_index=True)
+            keys.append(key)
+            pairs.append(np.stack([node[begin + a[first]], node[b[first]]]))
+        _, first = np.unique(np.concatenate(keys), return_index=True)
+        out.append(np.concatenate(pairs, axis=1)[:, first])
+    ends = np.cumsum([0, *(x.shape[1] for x in out)]).astype(np.int32)
+    a, b = (pa.array(x) for x in np.concatenate([np.zeros((2, 0), np.int64), *out], axis=1))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([a, b], ["a", "b"]))
 
 
 def links_in_blocks(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the classes of the buckets of more than PAIRS classes.
 
     Classes that such buckets hold together, directly or by others, are a family. A family is dealt
-    into blocks of about BLOCK shingles, and every two blocks, and every block by itself, are a cell:
+    into blocks of about BLOCK shingles and CLASSES classes at most, and every two blocks, and every block by itself, are a cell:
     its sets are compared inside one task, as a product of matrices, and only links leave it. So no
     pair is a row, a large family is spread over as many tasks as it has cells, and each pair is
     compared once, in however many buckets it is."""
@@ -278,7 +291,8 @@ def links_in_blocks(open_: DataFrame, sets: DataFrame, percent: int) -> DataFram
     family = family.withColumnsRenamed({"a": "node", "b": "family"})
     rows = large.select("node", "root", "n").distinct().join(family, "node", "left")
     rows = rows.withColumn("family", F.coalesce("family", "node"))
-    blocks = rows.groupBy("family").agg(F.expr(f"int(ceil(sum(n) / {BLOCK}))").alias("blocks"))
+    parts = f"int(ceil(greatest(sum(n) / {BLOCK}, count(*) / {CLASSES})))"
+    blocks = rows.groupBy("family").agg(F.expr(parts).alias("blocks"))
     rows = rows.join(blocks, "family").withColumn("block", F.expr("pmod(xxhash64(node, 3), blocks)"))
     rows = rows.join(sets, "node").groupBy("family", "blocks", "block")
     rows = rows.agg(F.collect_list(F.struct("node", "root", "set")).alias("members"))
