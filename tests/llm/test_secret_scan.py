@@ -89,3 +89,10 @@ def test_odd_documents(spark):
     rows = rows_of(scan.report(odd(spark)))
     assert len(rows) == 16 and rows == rows_of(scan.report(odd(spark, extra=False)))
     assert scan.report(empty(spark)).collect() == []
+
+
+def test_weak_parts_of_any_length_and_prefix():
+    user, host, blob = "DB_USER=" + "u" * 90, "DB_HOST=db.example.org:5432", "aB3/" * 500
+    text = f"AKIA{'Q7' * 8} {user} {host} {blob}"
+    found = {(scan.KINDS[p["kind"]], text[p["begin"] : p["end"]]) for p in scan.parts(text)}
+    assert {("user", user[3:]), ("endpoint", host[3:]), ("blob", blob)} <= found

@@ -38,14 +38,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: The weak parts.
 USER = re.compile(
-    r"""\b(?:user(?:name|_id)?|login|client_?id|account(?:_id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,64})""",
+    r"""(?:\b|(?<=_))(?:user(?:name|_id)?|login|client_?id|account(?:_id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,})""",
     re.IGNORECASE | re.ASCII,
 )
 ENDPOINT = re.compile(
-    r"""\b[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9.@:_-]+|\b(?:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[A-Za-z0-9.:-]+""",
+    r"""\b[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9.@:_-]+|(?:\b|(?<=_))(?i:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[A-Za-z0-9.:-]+""",
     re.ASCII,
 )
-BLOB = re.compile(r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,128}(?![A-Za-z0-9+/])")
+BLOB = re.compile(r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,}(?![A-Za-z0-9+/])")
 KINDS = ["assign", "access", "hex", "user", "endpoint", "blob"]
 BASE = 3
 #: Code points within which parts belong together.
