@@ -9,9 +9,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from uptakelens.session import session  # noqa: E402
 
-SF_0001 = "/root/testdata/sf0.001"
-SF_001 = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SF_001
+from folders import SF_001
 from oracle import ordered, sql_rows
 
 import __spark_entry__ as entry_points

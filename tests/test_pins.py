@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SF_001
+from folders import SF_001
 
 from uptakelens.plans.study import Study
 from uptakelens.sources import sample_views as views

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 import small
-from conftest import SF_0001
+from folders import SF_0001
 
 from uptakelens.operators import clean
 
