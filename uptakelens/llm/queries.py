@@ -14,6 +14,7 @@ from uptakelens.llm import (
     minhash_dedup,
     secret_scan,
     sentencepiece_codec,
+    source_divergence,
     toxicity,
     url_filter,
     winnowing,
@@ -45,9 +46,15 @@ def all_queries() -> dict[str, Query]:
         "op8_winnowing": over("documents", winnowing.report),
         "op9_sentencepiece": over("documents", sentencepiece_codec.report),
         "op10_secret_scan": over("documents", secret_scan.report),
+        "op13_source_divergence": over("documents", source_divergence.report),
     }
 
 
 def all_sql() -> dict[str, str]:
     """DuckDB SQL for the operators that SQL can express on whole tables."""
-    return {"op3_chat_perspectives": chat_format.SQL, "op4_line_dedup": line_dedup.SQL, "op6_decontamination": decontamination.SQL}
+    return {
+        "op3_chat_perspectives": chat_format.SQL,
+        "op4_line_dedup": line_dedup.SQL,
+        "op6_decontamination": decontamination.SQL,
+        "op13_source_divergence": source_divergence.SQL,
+    }
