@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from uptakelens.llm import (
     chat_format,
     decontamination,
+    fill_in_middle,
     language_id,
     line_dedup,
     minhash_dedup,
@@ -46,6 +47,7 @@ def all_queries() -> dict[str, Query]:
         "op8_winnowing": over("documents", winnowing.report),
         "op9_sentencepiece": over("documents", sentencepiece_codec.report),
         "op10_secret_scan": over("documents", secret_scan.report),
+        "op12_fill_in_middle": over("documents", fill_in_middle.report),
         "op13_source_divergence": over("documents", source_divergence.report),
     }
 
@@ -56,5 +58,7 @@ def all_sql() -> dict[str, str]:
         "op3_chat_perspectives": chat_format.SQL,
         "op4_line_dedup": line_dedup.SQL,
         "op6_decontamination": decontamination.SQL,
+        "op12_fill_in_middle": over("documents", fill_in_middle.report),
+        "op12_fill_in_middle": fill_in_middle.SQL,
         "op13_source_divergence": source_divergence.SQL,
     }
