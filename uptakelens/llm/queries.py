@@ -13,6 +13,7 @@ from uptakelens.llm import (
     language_id,
     line_dedup,
     minhash_dedup,
+    personal_data,
     secret_scan,
     sentencepiece_codec,
     source_divergence,
@@ -47,6 +48,7 @@ def all_queries() -> dict[str, Query]:
         "op8_winnowing": over("documents", winnowing.report),
         "op9_sentencepiece": over("documents", sentencepiece_codec.report),
         "op10_secret_scan": over("documents", secret_scan.report),
+        "op11_personal_data": over("documents", personal_data.report),
         "op12_fill_in_middle": over("documents", fill_in_middle.report),
         "op13_source_divergence": over("documents", source_divergence.report),
     }
@@ -58,7 +60,9 @@ def all_sql() -> dict[str, str]:
         "op3_chat_perspectives": chat_format.SQL,
         "op4_line_dedup": line_dedup.SQL,
         "op6_decontamination": decontamination.SQL,
+        "op11_personal_data": over("documents", personal_data.report),
         "op12_fill_in_middle": over("documents", fill_in_middle.report),
+        "op11_personal_data": over("documents", personal_data.report),
         "op12_fill_in_middle": fill_in_middle.SQL,
         "op13_source_divergence": source_divergence.SQL,
     }
