@@ -56,7 +56,7 @@ def gap_matrix(
     """
     order = list(settings.matrix_labels)
     rows = level_rows.filter("label IS NOT NULL")
-    keys, who, each = ["age_group", "imd_quintile"], "'both'", ["age_group"]
+    keys, who, each = ["age_group", "imd_quintile"], literal(fixed.BOTH_SEXES), ["age_group"]
     if by_sex:
         rows = rows.filter(f"sex IN ({listed(settings.sexes)})")
         keys, who, each = ["age_group", "sex", "imd_quintile"], "sex", ["age_group", "sex"]

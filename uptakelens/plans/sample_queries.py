@@ -227,6 +227,8 @@ def all_queries() -> dict[str, Query]:
         "gap_matrix_labels_by_sex": of_study(lambda s: s.gap_matrix_text(by_sex=True)),
         "gap_margins_by_sex": of_study(Study.gap_margins),
         "gap_margins_both": of_study(lambda s: s.gap_margins(by_sex=False)),
+        "gap_matrix_protected": of_study(Study.gap_matrix_protected),
+        "gap_margins_protected": of_study(Study.gap_margins_protected),
         "rates_other_settings": of_study(
             Study.rates_by_group_with_benchmark, OTHER_SETTINGS
         ),

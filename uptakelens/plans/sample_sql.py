@@ -363,6 +363,63 @@ def _gap_margins(by_sex: bool) -> str:
     )
 
 
+#: Every matrix with its totals; what is hidden is a small entry or a corner of its best box.
+PROTECTED = f""",
+src AS (
+  SELECT age_group, '=' || sex AS s, '=' || imd_quintile AS i, '=' || label AS l, gap FROM levels
+  WHERE level = 'sex_label_imd' AND label IN ({_list(fixed.MATRIX_LABELS)})),
+grid AS (
+  SELECT ages.age_group, sexes.s, quintiles.i, labels.l FROM (SELECT DISTINCT age_group FROM src) ages,
+    (SELECT unnest(['=Female', '=Male']) AS s) sexes,
+    (SELECT '=' || unnest([{_list(fixed.MATRIX_LABELS)}]) AS l) labels,
+    (SELECT DISTINCT age_group, i FROM src) quintiles
+  WHERE quintiles.age_group = ages.age_group),
+entries AS (
+  SELECT age_group, coalesce(s, '') AS s, coalesce(i, '') AS i, coalesce(l, '') AS l,
+    CAST(SUM(coalesce(gap, 0)) AS BIGINT) AS v
+  FROM grid LEFT JOIN src USING (age_group, s, i, l) GROUP BY age_group, CUBE (s, i, l)),
+small AS (SELECT age_group, s, i, l FROM entries WHERE v < 5),
+boxes AS (
+  SELECT small.*, a.s AS os, b.i AS oi, c.l AS ol FROM small
+  JOIN (SELECT DISTINCT age_group, s FROM entries) a ON a.age_group = small.age_group AND a.s <> small.s
+  JOIN (SELECT DISTINCT age_group, i FROM entries) b ON b.age_group = small.age_group AND b.i <> small.i
+  JOIN (SELECT DISTINCT age_group, l FROM entries) c ON c.age_group = small.age_group AND c.l <> small.l),
+corners AS (
+  SELECT boxes.*, CASE WHEN m & 1 = 1 THEN os ELSE s END AS cs, CASE WHEN m & 2 = 2 THEN oi ELSE i END AS ci,
+    CASE WHEN m & 4 = 4 THEN ol ELSE l END AS cl, bit_count(m::INT) AS moved
+  FROM boxes, (SELECT unnest(range(1, 8)) AS m) masks),
+judged AS (
+  SELECT c.age_group, c.s, c.i, c.l, os, oi, ol,
+    SUM(CASE WHEN v < 5 THEN 0 ELSE v END) AS hides,
+    bool_and(v >= 5 OR ((c.s = '')::INT + (c.i = '')::INT + (c.l = '')::INT + (cs = '')::INT + (ci = '')::INT
+      + (cl = '')::INT + moved) % 2 = 0) AS holds
+  FROM corners c JOIN entries e ON e.age_group = c.age_group AND e.s = cs AND e.i = ci AND e.l = cl
+  GROUP BY ALL),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY age_group, s, i, l ORDER BY hides, os, oi, ol) AS place
+  FROM judged WHERE holds),
+hidden AS (
+  SELECT * FROM small
+  UNION SELECT c.age_group, cs, ci, cl FROM corners c JOIN best USING (age_group, s, i, l, os, oi, ol) WHERE place = 1),
+shown AS (
+  SELECT age_group, CASE s WHEN '' THEN 'both' ELSE s[2:] END AS sex,
+    CASE i WHEN '' THEN 'All' ELSE i[2:] END AS imd_quintile, CASE l WHEN '' THEN 'All' ELSE l[2:] END AS label,
+    CASE WHEN h.gone IS NULL THEN v END AS gap, h.gone IS NOT NULL AS is_hidden
+  FROM entries LEFT JOIN (SELECT *, true AS gone FROM hidden) h USING (age_group, s, i, l))
+"""
+
+
+def _protected_matrix() -> str:
+    cells = ", ".join(
+        f"MAX(CASE WHEN label = '{c}' THEN COALESCE(CAST(gap AS VARCHAR), '*') END) AS \"{c}\""
+        for c in [*fixed.MATRIX_LABELS, "All"]
+    )
+    return f"""
+SELECT age_group, sex, imd_quintile, {cells}, 'Unvaxed-' || age_group || '-' || sex AS file_name
+FROM shown GROUP BY age_group, sex, imd_quintile
+"""
+
+
 def _other_settings() -> str:
     """Rates by group with another age grouping, 90 % limits and the textbook's lower one."""
     groups = (
@@ -510,6 +567,8 @@ ON p.area = e.area AND p.label IS NOT DISTINCT FROM e.label
         "gap_matrix_labels_by_sex": BASE + GAP_LEVELS + _gap_matrix(by_sex=True, text=True),
         "gap_margins_by_sex": BASE + GAP_LEVELS + _gap_margins(by_sex=True),
         "gap_margins_both": BASE + GAP_LEVELS + _gap_margins(by_sex=False),
+        "gap_matrix_protected": BASE + GAP_LEVELS + PROTECTED + _protected_matrix(),
+        "gap_margins_protected": BASE + GAP_LEVELS + PROTECTED + "SELECT * FROM shown",
         "rates_other_settings": _other_settings(),
         "gap_totals_given_vocabulary": _given_gaps() + GIVEN_TOTALS,
         "area_layer_given_vocabulary": _given_gaps() + GIVEN_LAYER,

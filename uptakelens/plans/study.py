@@ -19,6 +19,7 @@ from uptakelens.operators import (
     gaps,
     matrix,
     profiles,
+    protection,
     rate_tables,
     vocabulary,
 )
@@ -271,6 +272,15 @@ class Study:
     def gap_margins(self, by_sex: bool = True, levels: DataFrame | None = None) -> DataFrame:
         return matrix.gap_margins(self._matrix_level(by_sex, levels), by_sex, self.settings)
 
+    def gap_matrix_protected(self, levels: DataFrame | None = None) -> DataFrame:
+        """The gap matrices with their totals, as displayed, so that no hidden number follows
+        from what is shown."""
+        return protection.protected_gap_matrix(self._matrix_level(True, levels), self.settings)
+
+    def gap_margins_protected(self, levels: DataFrame | None = None) -> DataFrame:
+        """The same as a long table, hidden numbers NULL."""
+        return protection.protected_gaps(self._matrix_level(True, levels), self.settings)
+
     def matrix_margins(self) -> DataFrame:
         return matrix.matrix_margins(self.rates_broad_imd(), self.settings)
 
@@ -284,7 +294,8 @@ class Study:
     ) -> dict[str, DataFrame]:
         """Every table of the analysis, by the name it is written under.
 
-        Gap matrices hide small numbers; `unsuppressed` adds them and their margins in clear.
+        Gap matrices hide small numbers, and where they show totals, what these would give away;
+        `unsuppressed` adds the matrices and their margins in clear.
         """
         tables = {
             "vocabulary": self.vocabulary(),
@@ -301,6 +312,8 @@ class Study:
             "matrix_margins": self.matrix_margins(),
             "gap_matrix_by_sex": self.gap_matrix_text(True, levels),
             "gap_matrix_both": self.gap_matrix_text(False, levels),
+            "gap_matrix_protected": self.gap_matrix_protected(levels),
+            "gap_margins_protected": self.gap_margins_protected(levels),
             "area_gap": self.area_gap(strict_nulls),
             "area_layer": self.area_layer(strict_nulls),
             "constituency_share": self.constituency_share(strict_nulls),

@@ -105,6 +105,7 @@ SMALL_NUMBER_TEXT = "<5"
 
 # Wording. Captions take the label, the ages and the period.
 EVERYONE = "All"
+BOTH_SEXES = "both"
 PERIOD_LABEL = "Oct 23 - Sept 24"
 PERIOD_START = "2023-10-01"
 PERIOD_END = "2024-10-01"

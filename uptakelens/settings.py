@@ -40,6 +40,8 @@ class Settings:
     lower_term: str = "n_plus_1"
     small_number: int = fixed.SMALL_NUMBER
     small_number_text: str = fixed.SMALL_NUMBER_TEXT
+    #: Mark of every hidden entry where totals are shown, small or not.
+    hidden_text: str = "*"
     # Matrices
     matrix_broad_groups: Sequence[str] = tuple(fixed.MATRIX_BROAD_GROUPS)
     matrix_labels: Sequence[str] = tuple(fixed.MATRIX_LABELS)
