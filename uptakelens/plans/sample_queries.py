@@ -50,7 +50,7 @@ GIVEN_SETTINGS = replace(
     ages_text="other than 20 to 24",
 )
 
-RATIOS = ("proportion", "percent", "z", "lower", "upper")
+RATIOS = ("proportion", "percent", "z", "lower", "upper", "at_age", "bandwidth", "density", "width")
 
 
 @lru_cache(maxsize=16)
@@ -196,6 +196,8 @@ def all_queries() -> dict[str, Query]:
         "median_age_by_group": of_study(Study.median_age),
         "median_age_by_group_lenient": of_study(lambda s: s.median_age(strict_nulls=False)),
         "age_frequency": of_study(Study.age_frequency),
+        "age_density": of_study(Study.age_density),
+        "age_density_with_tails": of_study(lambda s: s.age_density(points=200, tails=3.0)),
         "align_group": aligned(GROUP_KEYS),
         "align_imd": aligned(IMD_KEYS),
         "align_group_imd": aligned(GROUP_IMD_KEYS),

@@ -363,6 +363,32 @@ def _gap_margins(by_sex: bool) -> str:
     )
 
 
+def _density(points: int, tails: int) -> str:
+    """Kernel density with every event a point of its own, from library statistics."""
+    return f"""
+, aged AS (SELECT label, sex, age FROM ev WHERE sex IN ('Female', 'Male') AND age IS NOT NULL),
+stats AS (
+  SELECT label, sex, COUNT(*) AS n, stddev_samp(age) AS sd,
+    (quantile_cont(age, 0.75) - quantile_cont(age, 0.25)) / 1.34 AS iqr, MIN(age) AS lo, MAX(age) AS hi
+  FROM aged GROUP BY label, sex HAVING COUNT(*) > 1),
+widths AS (
+  SELECT *, 0.9 * pow(n, -0.2) * CASE WHEN least(sd, iqr) > 0 THEN least(sd, iqr) WHEN sd > 0 THEN sd
+    WHEN lo <> 0 THEN abs(lo) ELSE 1 END AS bandwidth FROM stats),
+grid AS (
+  SELECT label, sex, n, bandwidth, point,
+    lo - {tails} * bandwidth + (hi - lo + 2 * {tails} * bandwidth) * point / {points - 1} AS at_age
+  FROM widths, (SELECT unnest(range({points}))::INT AS point) p),
+curves AS (
+  SELECT grid.label, grid.sex, point, at_age, bandwidth,
+    SUM(exp(-0.5 * pow((at_age - age) / bandwidth, 2))) / (n * bandwidth * sqrt(2 * pi())) AS density
+  FROM grid JOIN aged ON grid.label IS NOT DISTINCT FROM aged.label AND grid.sex = aged.sex
+  GROUP BY grid.label, grid.sex, point, at_age, bandwidth, n)
+""" + _in_order(
+        "SELECT label, sex, point, round(at_age, 9) AS at_age, round(bandwidth, 9) AS bandwidth,"
+        " round(density, 9) AS density, round(density / MAX(density) OVER (PARTITION BY sex), 9) AS width FROM curves"
+    )
+
+
 #: Every matrix with its totals; what is hidden is a small entry or a corner of its best box.
 PROTECTED = f""",
 src AS (
@@ -506,6 +532,8 @@ def all_sql() -> dict[str, str]:
         ),
         "median_age_by_group": BASE + _in_order(_median(True)),
         "median_age_by_group_lenient": BASE + _in_order(_median(False)),
+        "age_density": BASE + _density(512, 0),
+        "age_density_with_tails": BASE + _density(200, 3),
         "age_frequency": BASE
         + _in_order(
             "SELECT label, sex, age, COUNT(*) AS events FROM ev "

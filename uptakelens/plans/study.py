@@ -107,6 +107,11 @@ class Study:
         rows = profiles.age_frequency(self.event_cells(PROFILE_KEYS), self.settings)
         return self._in_order(rows, PROFILE_KEYS)
 
+    def age_density(self, points: int = 512, tails: float = 0.0) -> DataFrame:
+        """Curves of the ages by label and sex."""
+        rows = profiles.age_density(self.event_cells(PROFILE_KEYS), points, tails, self.settings)
+        return self._in_order(rows, PROFILE_KEYS)
+
     # -- rates ---------------------------------------------------------------------
 
     def _sides(self, cell_keys: Sequence[str], alone: bool) -> tuple[DataFrame, DataFrame]:
@@ -302,6 +307,7 @@ class Study:
             "median_age": self.median_age(strict_nulls),
             "event_counts": self.event_counts(),
             "age_frequency": self.age_frequency(),
+            "age_density": self.age_density(),
             "rates_by_group": self.rates_by_group_with_benchmark(),
             "rates_by_imd": self.rates_by_imd_with_benchmark(),
             "rates_broad_imd": self.rates_broad_imd(),
