@@ -387,10 +387,14 @@ def fit(texts: Sequence[str], seed: int = 0) -> skip_chain.Weights:
 
 
 def train(docs: DataFrame, texts: int = TRAIN_TEXTS, chars: int = TRAIN_CHARS) -> skip_chain.Weights:
-    """Weights fitted on a bounded sample of the texts, the same whatever their order."""
-    sample = docs.filter("text IS NOT NULL AND text <> ''").selectExpr(f"substring(text, 1, {int(chars)}) AS text")
-    rows = sample.orderBy(F.xxhash64("text"), "text").limit(int(texts)).collect()
-    own = [r.text for r in rows]
+    """Weights fitted on a bounded sample of the texts, the same whatever their order: of each of
+    so many classes of hashes the least one. No more than these go to the driver."""
+    piece = docs.filter("text IS NOT NULL AND text <> ''").selectExpr(f"substring(text, 1, {int(chars)}) AS text")
+    hashed = piece.withColumn("hash", F.xxhash64("text"))
+    least = hashed.groupBy(F.expr(f"pmod(hash, {int(texts)})")).agg(F.min("hash").alias("hash"))
+    chosen = sorted(r.hash for r in least.select("hash").collect())
+    rows = hashed.filter(F.col("hash").isin(chosen)).select("text").distinct().collect()
+    own = sorted(r.text for r in rows)
     return fit([own[i % len(own)] if own else "" for i in range(int(texts))])
 
 
