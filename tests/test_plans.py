@@ -17,6 +17,8 @@ ROUND_TRIPS = {
     *(n for n in QUERIES if n.endswith(("_round_trip", "_from_csv"))),
     "constituency_sheets",
     "rates_from_written_cells",
+    "rates_from_stored_months",
+    "median_age_of_a_stored_quarter",
 }
 # Every report group with every area is what they are about; the groups are few.
 LAYERS = {n for n in QUERIES if n.startswith("area_layer")}

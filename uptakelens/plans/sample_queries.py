@@ -21,7 +21,7 @@ from uptakelens.plans.study import (
     age_groups,
 )
 from uptakelens.settings import Settings
-from uptakelens.sources import readers, sample_views, schemas, writers
+from uptakelens.sources import periods, readers, sample_views, schemas, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -139,6 +139,28 @@ def rates_from_written_cells(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(study(spark, folder).collapsed(spark).rates_by_group())
 
 
+def monthly_store(spark: SparkSession, folder: str) -> str:
+    """The whole event log by month. One month is written before all of its events are known,
+    and then once more: only its partition changes."""
+    log = sample_views.event_log(spark, folder)
+    path = writers.new_folder(spark, "events-by-month")
+    first, month, after, last = sample_views.LOG_START, "1996-12-01", "1997-01-01", sample_views.LOG_END
+    early = log.filter(f"event_date < DATE'{month}' OR event_date >= DATE'{after}' OR event_id % 3 = 0")
+    periods.write_periods(early, path, "event_date", first, last)
+    periods.write_periods(log, path, "event_date", month, after)
+    return path
+
+
+def of_stored_window(build: Callable[[Study], DataFrame], start: str, end: str) -> Query:
+    """A study over a window of the stored months; the events themselves aren't read again."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        events = periods.read_periods(spark, monthly_store(spark, folder), start, end)
+        return rounded(build(replace(study(spark, folder), events=events)))
+
+    return run
+
+
 def hand_over(file: str, names: dict[str, str]) -> Query:
     """A hand-over file written as the CSV that other tools read, and read back."""
 
@@ -260,4 +282,10 @@ def all_queries() -> dict[str, Query]:
         ),
         "constituency_sheets": constituency_sheets,
         "rates_from_written_cells": rates_from_written_cells,
+        "rates_from_stored_months": of_stored_window(
+            Study.rates_by_group, sample_views.WINDOW_START, sample_views.WINDOW_END
+        ),
+        "median_age_of_a_stored_quarter": of_stored_window(
+            lambda s: s.median_age(strict_nulls=False), "1996-11-01", "1997-02-01"
+        ),
     }

@@ -629,4 +629,9 @@ ON p.area = e.area AND p.label IS NOT DISTINCT FROM e.label
         + SHARE
         + ", replace(label, ' ', '-') AS sheet FROM shares",
         "rates_from_written_cells": rates_by_group,
+        "rates_from_stored_months": rates_by_group,
+        "median_age_of_a_stored_quarter": BASE.replace(
+            WINDOW, "event_date >= DATE '1996-11-01' AND event_date < DATE '1997-02-01'"
+        )
+        + _in_order(_median(False)),
     }

@@ -16,6 +16,8 @@ from uptakelens.sources.readers import in_window
 
 WINDOW_START = "1996-01-01"
 WINDOW_END = "1997-01-01"
+LOG_START = "1995-01-01"
+LOG_END = "2002-01-01"
 WINDOW_LABEL = "Jan 96 - Dec 96"
 WINDOW_TEXT = "Jan 1996 and Dec 1996"
 
