@@ -18,6 +18,7 @@ ROUND_TRIPS = {
     "constituency_sheets",
     "rates_from_written_cells",
     "rates_from_stored_months",
+    "row_account_from_written_cells",
     "median_age_of_a_stored_quarter",
 }
 # Every report group with every area is what they are about; the groups are few.
@@ -69,6 +70,7 @@ def test_window_passes_the_join(spark):
         "constituency_share",
         "gap_totals",
         "area_layer",
+        "row_account",
     ],
 )
 def test_each_input_is_scanned_once(spark, name):

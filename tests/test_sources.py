@@ -144,7 +144,7 @@ def test_whole_report(spark, tmp_path):
     study = small.study(spark, settings=settings)
     scratch = tmp_path / "scratch"
     written = study.write(spark, folder, strict_nulls=False, scratch=str(scratch))
-    assert len(written) == 23
+    assert len(written) == 27
     assert not list(scratch.glob("*"))  # what it wrote on the way is gone
     shown = spark.read.parquet(f"{folder}/gap_matrix_by_sex")
     assert dict(shown.dtypes)["Indian"] == "string"  # small numbers are hidden

@@ -286,3 +286,26 @@ def test_require_labels(spark):
 def test_align_rejects_other_joins(study):
     with pytest.raises(ValueError, match="how"):
         align.align(study.register, study.events, ["area"], how="inner")
+
+
+def test_account_of_rows(study):
+    """Every row is dropped by the first filter it fails."""
+    found = {(r["input"], r["pipeline"], r["test"]): (r["rows_in"], r["rows_dropped"]) for r in study.row_account().collect()}
+    assert found["events", "rates_by_group", "area"] == (len(small.EVENTS), 1)
+    kept = [e for e in small.EVENTS if e[0] != "a9"]
+    no_band = [e for e in kept if e[2] in (None, "NA-NA")]
+    assert found["events", "rates_by_group", "age_band"] == (len(kept), len(no_band))
+    assert found["events", "rates_by_group", "not_stated"][1] == 2  # one not stated, one without a group
+    assert found["events", "rates_by_group", "sex"][1] == 1
+    assert found["events", "rates_by_imd", "imd_quintile"][1] == 2  # a3 has no quintile
+    assert found["register", "rates_by_group", "area"] == (len(small.REGISTER), 1)
+    assert found["register", "area_layer", "not_known"][1] == 2
+    reached = sum(r["events"] for r in study.event_cells(["area"]).collect())
+    assert reached == len(kept)
+
+
+def test_account_of_written_cells(spark, study, tmp_path):
+    written = study.collapsed(spark, folder=str(tmp_path))
+    assert sorted(written.row_account().collect()) == sorted(study.row_account().collect())
+    # rows of other areas are one cell without an area
+    assert written.events.filter("area IS NULL").selectExpr("sum(events)").first()[0] == 1

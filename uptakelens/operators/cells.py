@@ -102,16 +102,40 @@ def register_cells(
     return _tagged(rows, areas, by, REGISTER_MEASURES)
 
 
+def row_count(rows: DataFrame, column: str) -> str:
+    """How many rows a row stands for: the column, if there is one, else 1."""
+    return column if column in rows.columns else "1L"
+
+
+def _summary(
+    rows: DataFrame, areas: Areas, by: Sequence[str], measures: Sequence[str]
+) -> DataFrame:
+    """One row per combination of `by` in the target areas, and one, with no area and nothing
+    else known, for all rows of other areas."""
+    if not areas.broadcastable:
+        rows = summed(rows, by, measures)
+    flags = areas.sized(areas.located.select("area", F.lit(True).alias("is_target")))
+    masked = (f"IF(is_target, {c}, NULL) AS {c}" for c in by)
+    return summed(rows.join(flags, "area", "left").selectExpr(*masked, *measures), by, measures)
+
+
+def event_summary(
+    events: DataFrame, areas: Areas, by: Sequence[str], settings: Settings = DEFAULT
+) -> DataFrame:
+    """The event log with one row per combination of `by`, which has the area."""
+    return _summary(event_rows(events, by, settings), areas, by, ["events"])
+
+
 def register_summary(register: DataFrame, areas: Areas) -> DataFrame:
-    """The register with one row per combination of its own columns in the target areas.
+    """The register with one row per combination of its own columns.
 
     Rows with a missing observation stay apart from the others, so that sums which a
-    missing one makes NULL come out the same from the summary.
+    missing one makes NULL come out the same from the summary. `rows` counts them.
     """
     by = ["area", "group_national", "age_band", "sex", "unknown"]
-    rows = _rows(register, [*by, "observations"], {"unknown": "observations IS NULL"})
-    tagged = _tagged(rows, areas, by, ["observations"])
-    return summed(tagged, by, ["observations"]).drop("unknown")
+    derived = {"unknown": "observations IS NULL", "rows": row_count(register, "rows")}
+    rows = _rows(register, [*by, "observations", "rows"], derived)
+    return _summary(rows, areas, by, ["observations", "rows"]).drop("unknown")
 
 
 def population_by(

@@ -213,6 +213,10 @@ def all_queries() -> dict[str, Query]:
         "clean_register": clean_register,
         "population_by_area": population(strict_nulls=False),
         "population_by_area_strict": population(strict_nulls=True),
+        "row_account": of_study(Study.row_account),
+        "row_account_from_written_cells": lambda spark, folder: (
+            study(spark, folder).collapsed(spark).row_account()
+        ),
         "vocabulary_order": of_study(Study.vocabulary),
         "events_count_by_group_sex": of_study(Study.event_counts),
         "median_age_by_group": of_study(Study.median_age),

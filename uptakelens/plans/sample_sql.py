@@ -389,6 +389,46 @@ curves AS (
     )
 
 
+def _account() -> str:
+    """Every filter of every pipeline, one SELECT for each."""
+    band, stated, known = "age_band <> 'NA-NA'", "label <> 'Not stated'", "label <> 'Not Known'"
+    sex, imd = "sex IN ('Male', 'Female')", "imd_quintile IS NOT NULL"
+    over = f"(age_band IS NULL OR age_band NOT IN ({_list(fixed.BANDS_FROM_65)}))"
+    group = [("area", "t"), ("age_band", band), ("not_stated", stated), ("not_known", known), ("sex", sex)]
+    quintile = [("area", "t"), ("age_band", band), ("sex", sex), ("imd_quintile", imd)]
+    both = [*group, ("imd_quintile", imd)]
+    on_register = f"""EXISTS (SELECT 1 FROM reg_all r WHERE r.t AND r.area = x.area AND r.label = x.label
+      AND r.age_band IS NOT DISTINCT FROM x.age_band AND {over.replace("age_band", "r.age_band")}
+      AND r.label <> 'Not Known')"""
+    rates = {"rates_by_group": group, "rates_by_imd": quintile, "rates_by_group_imd": both}
+    pipelines = {
+        "events": {"profiles": [("area", "t"), ("sex", sex)], **rates,
+                   "area_layer": [("area", "t"), ("not_stated", stated), ("on_register", on_register)]},
+        "register": {**rates, "area_layer": [("area", "t"), ("excluded_band", over), ("not_known", known)]},
+    }
+    selects = []
+    for source, own in pipelines.items():
+        for pipeline, steps in own.items():
+            for i, (name, _) in enumerate(steps):
+                before, after = (" AND ".join(["true", *(t for _, t in steps[:n])]) for n in (i, i + 1))
+                selects.append(
+                    f"SELECT '{source}' AS input, '{pipeline}' AS pipeline, {i + 1}::INT AS step, '{name}' AS test,"
+                    f" COUNT(*) FILTER (WHERE {before}) AS rows_in, COUNT(*) FILTER (WHERE {after}) AS rows_out,"
+                    f" COUNT(*) FILTER (WHERE {before}) - COUNT(*) FILTER (WHERE {after}) AS rows_dropped"
+                    f" FROM {'ev_all' if source == 'events' else 'reg_all'} x"
+                )
+    return f""",
+ev_all AS (
+  SELECT e.area, sex, {BAND} AS age_band, {EVENT_LABEL} AS label, l.imd_quintile,
+    e.area IN (SELECT area FROM target_area) AS t
+  FROM event_log e LEFT JOIN area_lookup l ON e.area = l.area WHERE {WINDOW}),
+reg_all AS (
+  SELECT r.area, sex, {BAND} AS age_band, l.imd_quintile, r.area IN (SELECT area FROM target_area) AS t,
+    CASE group_national WHEN 'British' THEN 'White British' ELSE group_national END AS label
+  FROM register_rows r LEFT JOIN area_lookup l ON r.area = l.area)
+""" + " UNION ALL ".join(selects)
+
+
 #: Every matrix with its totals; what is hidden is a small entry or a corner of its best box.
 PROTECTED = f""",
 src AS (
@@ -524,6 +564,8 @@ def all_sql() -> dict[str, str]:
         "clean_register": BASE + "SELECT * FROM reg",
         "population_by_area": BASE + _population(False),
         "population_by_area_strict": BASE + _population(True),
+        "row_account": BASE + _account(),
+        "row_account_from_written_cells": BASE + _account(),
         "vocabulary_order": BASE + "SELECT label, broad_group, ord FROM vocab",
         "events_count_by_group_sex": BASE
         + _in_order(

@@ -13,6 +13,7 @@ from uptakelens import reference_values as fixed
 from uptakelens.functions import labels, rates
 from uptakelens.operators import align as alignment
 from uptakelens.operators import (
+    accounts,
     area_reports,
     cells,
     clean,
@@ -70,7 +71,8 @@ class Study:
         self, spark: SparkSession, name: str = "study", folder: str | None = None
     ) -> Study:
         """The same study on written cells: each input is scanned once for all reports."""
-        events = self.event_cells(["area", "group_raw", "age_band", "sex", "age"])
+        by = ["area", "group_raw", "age_band", "sex", "age"]
+        events = cells.event_summary(self.events, self.areas, by, self.settings)
         register = cells.register_summary(self.register, self.areas)
         return replace(
             self,
@@ -78,6 +80,16 @@ class Study:
             register=writers.load_once(spark, register, f"{name}-register", folder),
         )
 
+    def row_account(self) -> DataFrame:
+        """Rows in, out and dropped by every filter of every pipeline. The period is not among
+        them: rows outside of it are never read."""
+        by = ["group_raw", "age_band", "sex"]
+        events = cells.event_rows(self.events, ["area", *by], self.settings)
+        columns = ["area", "label", "age_band", "sex", "rows"]
+        register = self.register.withColumn("rows", F.expr(cells.row_count(self.register, "rows")))
+        register = cells.register_rows(register, columns, self.settings)
+        return accounts.account(events, register, self.areas, self.settings)
+
     # -- profiles ------------------------------------------------------------------
 
     def vocabulary(self, by: Sequence[str] = ("label",)) -> DataFrame:
@@ -303,6 +315,7 @@ class Study:
         `unsuppressed` adds the matrices and their margins in clear.
         """
         tables = {
+            "row_account": self.row_account(),
             "vocabulary": self.vocabulary(),
             "median_age": self.median_age(strict_nulls),
             "event_counts": self.event_counts(),
