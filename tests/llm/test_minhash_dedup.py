@@ -140,3 +140,13 @@ def test_strips_of_a_cell_find_the_same_links(monkeypatch, strip, sides):
         pairs = {(a[1], b[1]) for a in own.values() for b in own.values() if a[1] < b[1] and linked(a, b)}
         assert sorted((own[x["a"]][1], own[x["b"]][1]) for x in found) == sorted(pairs)
         assert all(linked(own[x["a"]], own[x["b"]]) for x in found)
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+def test_words_that_collide_under_powers(spark, n):
+    """Two long words with nothing in common, but with equal sums of powers of any odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    one, two = ("".join("ab"[b ^ k] for b in bits) for k in (0, 1))
+    rows = [(1, one), (2, two), (3, f"{one} {two}"), (4, one)]
+    found = rows_of(dedup.report(table(spark, "doc_id bigint, text string", *rows)))
+    assert found == plain(rows)

@@ -118,3 +118,29 @@ def test_other_chunks_than_cut_are_an_error(spark, monkeypatch, change):
     monkeypatch.setattr(codec, "chunks", changed)
     with pytest.raises(Exception, match="has other chunks than its 4"):
         codec.encoded_by_scan(docs, MODEL, 64).collect()
+
+
+def thue_morse(n, letters="ab"):
+    """Words whose letters are dealt so that sums of their powers agree with the other one's."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+def test_words_that_collide_under_powers(spark, n):
+    one, two = thue_morse(n)
+    texts = {1: one, 2: two, 3: f"{one} {two}", 4: f"x {two}"}
+    rows = codec.report(table(spark, "doc_id bigint, text string", *texts.items()), MODEL).collect()
+    for row in rows:
+        assert row.decoded_sha256 == hashlib.sha256(texts[row.doc_id].encode()).hexdigest()
+
+
+def test_colliding_names_change_nothing(monkeypatch):
+    """All characters alike to the hash: stretches of one length are told apart by themselves."""
+    words = pieces.Vocabulary(MODEL)
+    expected = [single_pass(words, t) for t in NASTY]
+    monkeypatch.setattr(pieces.ragged, "powers", lambda base, n: np.zeros(n, np.uint64))
+    for texts in (NASTY, NASTY[::-1]):
+        ids, at, _ = words.encode_all([pieces.normal(t) for t in texts])
+        found = [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))]
+        assert found == (expected if texts is NASTY else expected[::-1])

@@ -13,7 +13,6 @@ a giant text begins or ends inside one, by the plain recurrence over its charact
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,37 +53,57 @@ def normal(text: str) -> str:
 
 @dataclass(frozen=True)
 class Stretches:
-    """Segmented stretches by the hash of their characters: length, where their ids begin and how
-    many there are, and score."""
+    """Segmented stretches by the hash of their characters: length, where their characters and
+    their ids begin, how many ids there are, and score."""
 
     names: np.ndarray
     sizes: np.ndarray
+    places: np.ndarray
     begins: np.ndarray
     counts: np.ndarray
     scores: np.ndarray
+    codes: np.ndarray
     ids: np.ndarray
 
     def joined(self, other: Stretches) -> Stretches:
-        """Both, by name; of the longest only the short ones are worth remembering."""
-        keep = np.flatnonzero(other.sizes <= LENGTHS[-1])
+        """Both, by name; where both have one, the first stays."""
+        keep = np.flatnonzero(~np.isin(other.names, self.names))
         names = np.concatenate([self.names, other.names[keep]])
         order = np.argsort(names, kind="stable")
         pairs = (
             (self.sizes, other.sizes[keep]),
+            (self.places, other.places[keep] + len(self.codes)),
             (self.begins, other.begins[keep] + len(self.ids)),
             (self.counts, other.counts[keep]),
             (self.scores, other.scores[keep]),
         )
         columns = (np.concatenate(pair)[order] for pair in pairs)
-        return Stretches(names[order], *columns, np.concatenate([self.ids, other.ids]))
+        pools = (np.concatenate([self.codes, other.codes]), np.concatenate([self.ids, other.ids]))
+        return Stretches(names[order], *columns, *pools)
 
 
 #: A stretch that no text has, so that there is always one to compare with.
 _NOTHING = Stretches(
-    np.zeros(1, np.uint64), *(np.zeros(1, np.int64) for _ in range(3)), np.zeros(1), np.zeros(0, np.int32)
+    np.zeros(1, np.uint64),
+    *(np.zeros(1, np.int64) for _ in range(4)),
+    np.zeros(1),
+    np.zeros(0, np.int32),
+    np.zeros(0, np.int32),
 )
 
 
+def unlike(
+    codes: np.ndarray, begin: np.ndarray, size: np.ndarray, others: np.ndarray, place: np.ndarray
+) -> np.ndarray:
+    """Numbers of the spans of codes that differ from the equally long ones of `others` at `place`."""
+    ends = np.cumsum(size)
+    inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+    differ = codes[np.repeat(begin, size) + inside] != others[np.repeat(place, size) + inside]
+    if not differ.any():
+        return np.zeros(0, np.int64)
+    return np.unique(np.searchsorted(ends, np.flatnonzero(differ), "right"))
+
+
 class Vocabulary:
     """Pieces with scores, and what they decode to."""
 
@@ -236,37 +255,75 @@ class Vocabulary:
         border[at] = True
         begin = np.flatnonzero(border)[:-1]
         size = np.diff(np.flatnonzero(border))
-        # Stretches by the hash of their characters.
+        # Short stretches by the hash of their characters, long ones by these themselves.
         value = _code_values(codes)
         sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(value * ragged.powers(_STEP, len(codes)), out=sums[1:])
         inverse = ragged.powers(pow(_STEP, -1, 1 << 64), len(codes) + 1)
         names = (sums[begin + size] - sums[begin]) * inverse[begin] + size.astype(np.uint64)
-        names, first, same = np.unique(names, return_index=True, return_inverse=True)
-        own_begin, own_size = begin[first], size[first]
-        known = self.known
-        place = np.minimum(np.searchsorted(known.names, names), len(known.names) - 1)
-        hit = (known.names[place] == names) & (known.sizes[place] == own_size)
+        del value, sums, inverse
+        short = np.flatnonzero(size <= LENGTHS[-1])
+        names, first, same = np.unique(names[short], return_index=True, return_inverse=True)
+        first = short[first]
+        # Two stretches of one name and different characters go by themselves, like long ones.
+        rest = np.flatnonzero(size[short] != size[first[same]])
+        fit = np.flatnonzero(size[short] == size[first[same]])
+        differ = unlike(codes, begin[short[fit]], size[short[fit]], codes, begin[first[same[fit]]])
+        alone, place_of = [], {}
+        entry = np.zeros(len(size), np.int64)
+        entry[short] = same
+        for i in [*short[rest].tolist(), *short[fit[differ]].tolist(), *np.flatnonzero(size > LENGTHS[-1]).tolist()]:
+            own = whole[4 * begin[i] : 4 * (begin[i] + size[i])]
+            if own not in place_of:
+                place_of[own] = len(names) + len(alone)
+                alone.append(i)
+            entry[i] = place_of[own]
+        every = np.concatenate([first, np.array(alone, np.int64)])
+        own_begin, own_size = begin[every], size[every]
+        known, n = self.known, len(names)
+        place = np.zeros(len(every), np.int64)
+        place[:n] = np.minimum(np.searchsorted(known.names, names), len(known.names) - 1)
+        hit = np.zeros(len(every), bool)
+        hit[:n] = (known.names[place[:n]] == names) & (known.sizes[place[:n]] == own_size[:n])
+        met = np.flatnonzero(hit)
+        hit[met[unlike(codes, own_begin[met], own_size[met], known.codes, known.places[place[met]])]] = False
         fresh = np.flatnonzero(~hit)
-        new = self._segmented(whole, codes, names[fresh], own_begin[fresh], own_size[fresh])
+        new = self._segmented(whole, codes, own_begin[fresh], own_size[fresh])
         begins, n_ids, scores = (x[place] for x in (known.begins, known.counts, known.scores))
-        begins[fresh], n_ids[fresh] = new.begins + len(known.ids), new.counts
-        scores[fresh] = new.scores
-        flat = np.concatenate([known.ids, new.ids])
+        begins[fresh], n_ids[fresh], scores[fresh] = new[0] + len(known.ids), new[1], new[2]
+        flat = np.concatenate([known.ids, new[3]])
         if len(known.names) < REMEMBERED:
-            self.known = known.joined(new)
-        counts = n_ids[same]
+            self.known = known.joined(self._to_remember(codes, names, fresh, own_begin, own_size, new))
+        counts = n_ids[entry]
         stops = np.cumsum(counts)
-        out = flat[np.arange(stops[-1]) + np.repeat(begins[same] - stops + counts, counts)]
+        out = flat[np.arange(stops[-1]) + np.repeat(begins[entry] - stops + counts, counts)]
         text = np.searchsorted(at, begin, "right") - 1
         text_stops = np.concatenate([[0], np.cumsum(np.bincount(text, counts, len(texts)))]).astype(np.int64)
-        return out, text_stops, np.bincount(text, scores[same], len(texts))
+        return out, text_stops, np.bincount(text, scores[entry], len(texts))
 
-    def _segmented(
-        self, whole: bytes, codes: np.ndarray, names: np.ndarray, begin: np.ndarray, size: np.ndarray
+    @staticmethod
+    def _to_remember(
+        codes: np.ndarray, names: np.ndarray, fresh: np.ndarray, begin: np.ndarray, size: np.ndarray, new: tuple
     ) -> Stretches:
-        """The best paths of distinct stretches of the codes."""
-        scores = np.zeros(len(names))
+        """The newly segmented stretches that go by a name, with their characters."""
+        named = np.flatnonzero(fresh < len(names))
+        own = fresh[named]
+        begins, counts, scores, ids = (x[named] if k < 3 else x for k, x in enumerate(new))
+
+        def gathered(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            places = np.cumsum(size) - size
+            return pool[np.repeat(begin - places, size) + np.arange(size.sum())], places
+
+        characters, places = gathered(codes, begin[own], size[own])
+        ids, begins = gathered(ids, begins, counts)
+        return Stretches(names[own], size[own], places, begins, counts, scores, characters.astype(np.int32), ids)
+
+    def _segmented(
+        self, whole: bytes, codes: np.ndarray, begin: np.ndarray, size: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The best paths of stretches of the codes: where each one's ids begin, how many they are,
+        its score, and all ids."""
+        scores = np.zeros(len(begin))
         lanes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         group = np.searchsorted(LENGTHS, size)
         for g, width in enumerate(LENGTHS):
@@ -292,8 +349,8 @@ class Vocabulary:
         lane, flat = np.concatenate(lanes), np.concatenate(ids)
         order = np.argsort(lane, kind="stable")
         lane, flat = self._with_bytes(lane[order], flat[order])
-        counts = np.bincount(lane, minlength=len(names))
-        return Stretches(names, size, np.cumsum(counts) - counts, counts, scores, flat.astype(np.int32))
+        counts = np.bincount(lane, minlength=len(begin))
+        return np.cumsum(counts) - counts, counts, scores, flat.astype(np.int32)
 
     def _with_bytes(self, lane: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unknown characters (-1 - code) written as the ids of their bytes."""
@@ -396,10 +453,9 @@ class Vocabulary:
         return common, ends, entries
 
 
-@lru_cache(maxsize=2)
 def vocabulary(model: bytes) -> Vocabulary:
     """One vocabulary in each worker process."""
-    return Vocabulary(model)
+    return ragged.held(("vocabulary", model), lambda: Vocabulary(model))
 
 
 def max_plus(left: np.ndarray, right: np.ndarray) -> np.ndarray:
