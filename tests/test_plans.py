@@ -19,6 +19,7 @@ ROUND_TRIPS = {
     "rates_from_written_cells",
     "rates_from_stored_months",
     "row_account_from_written_cells",
+    "area_gap_from_report",
     "median_age_of_a_stored_quarter",
 }
 # Every report group with every area is what they are about; the groups are few.

@@ -7,7 +7,7 @@ import small
 from pyspark.sql import types as T
 
 from uptakelens.settings import Settings
-from uptakelens.sources import readers, schemas, writers
+from uptakelens.sources import readers, reports, schemas, writers
 
 
 def write(path, text):
@@ -146,17 +146,71 @@ def test_whole_report(spark, tmp_path):
     written = study.write(spark, folder, strict_nulls=False, scratch=str(scratch))
     assert len(written) == 27
     assert not list(scratch.glob("*"))  # what it wrote on the way is gone
-    shown = spark.read.parquet(f"{folder}/gap_matrix_by_sex")
-    assert dict(shown.dtypes)["Indian"] == "string"  # small numbers are hidden
-    assert shown.filter("Indian = '<5'").count() > 0
+    found = reports.read_report(spark, folder)
+    assert set(found) == set(written)
+    assert dict(found["gap_matrix_by_sex"].dtypes)["Indian"] == "string"  # small numbers are hidden
+    assert found["gap_matrix_by_sex"].filter("Indian = '<5'").count() > 0
+    assert found["gap_matrix_protected"].filter("`All` = '*'").count() > 0
     more = study.tables(unsuppressed=True)
     assert {"gap_counts_by_sex", "gap_margins_both"} < set(more)
-    rates = spark.read.option("header", True).csv(f"{folder}/rates.csv")
-    assert rates.columns == [
+    assert found["rates.csv"].columns == [
         "Ethnicity", "IMD_quintile", "Sex", "Age_Group", "n", "N_GP", "p_GP", "perc_GP", "Z",
         "LowerCI95", "UpperCI95",
     ]
-    counts = spark.read.option("header", True).csv(f"{folder}/unvaccinated_counts.csv")
+    counts = spark.read.option("header", True).csv(written["unvaccinated_counts.csv"])
     assert "number_unvaxed" in counts.columns
     assert counts.filter("Ethnicity = 'NA'").count() == 1  # outside the vocabulary
-    assert spark.read.parquet(f"{folder}/area_layer").count() == 30
+    assert found["area_layer"].count() == 30
+    direct = study.tables(strict_nulls=False)
+    for name, entry in reports.entries(spark, folder).items():
+        assert entry.rows == found[name].count()
+        if name in direct:
+            assert sorted(map(repr, found[name].collect())) == sorted(map(repr, direct[name].collect()))
+    shares = {(r.ord, r.constituency): r.share for r in direct["constituency_share"].collect()}
+    assert {(r.ord, r.constituency): r.share for r in found["constituency_sheets"].collect()} == shares
+
+
+def job(frame):
+    return frame, "parquet", writers.write_results
+
+
+def test_a_report_that_fails_leaves_the_old_one(spark, tmp_path):
+    folder = str(tmp_path / "report")
+    with pytest.raises(FileNotFoundError):
+        reports.read_report(spark, folder)
+    good = {"a": job(spark.range(5)), "b": job(spark.range(3))}
+    reports.write_report(spark, folder, good)
+    broken = spark.range(10).selectExpr("IF(id = 7, CAST(raise_error('broken') AS BIGINT), id) AS id")
+    with pytest.raises(Exception, match="broken"):
+        reports.write_report(spark, folder, {"a": job(spark.range(50)), "b": job(broken), "c": job(spark.range(1))})
+    held = reports.read_report(spark, folder)
+    assert {n: f.count() for n, f in held.items()} == {"a": 5, "b": 3}
+    assert len(list((tmp_path / "report" / "runs").iterdir())) == 1  # the failed run is gone
+    with pytest.raises(ValueError, match="lacks"):
+        reports.read_report(spark, folder, "c")
+
+
+def test_reports_replace_each_other(spark, tmp_path):
+    folder = str(tmp_path / "report")
+    first = reports.write_report(spark, folder, {"a": job(spark.range(1))})
+    open_table = reports.read_report(spark, folder, "a")["a"]
+    for n in (2, 3):
+        reports.write_report(spark, folder, {"a": job(spark.range(n))})
+        assert reports.read_report(spark, folder)["a"].count() == n
+        if n == 2:  # what a reader has open stays for one more run
+            assert open_table.count() == 1
+    runs = {p.name for p in (tmp_path / "report" / "runs").iterdir()}
+    assert len(runs) == 2 and not any(first["a"].split("/")[-2] == r for r in runs)
+    assert not [p for p in (tmp_path / "report").iterdir() if p.is_file() and p.name.startswith("CURRENT.")]
+
+
+def test_a_report_keeps_types_and_missing_values(spark, tmp_path):
+    rows = [("x", None, 1.5, 2), (None, "", None, None)]
+    frame = spark.createDataFrame(rows, "a string, b string, c double, d int")
+    as_csv = (frame, "csv", lambda f, path: writers.write_results(f, path, "csv"))
+    folder = str(tmp_path / "report")
+    reports.write_report(spark, folder, {"p": job(frame), "c": as_csv, "none": job(frame.filter("false"))})
+    found = reports.read_report(spark, folder)
+    assert all(f.dtypes == frame.dtypes for f in found.values())
+    assert sorted(map(tuple, found["c"].collect()), key=repr) == sorted(rows, key=repr)
+    assert found["none"].count() == 0

@@ -21,7 +21,7 @@ from uptakelens.plans.study import (
     age_groups,
 )
 from uptakelens.settings import Settings
-from uptakelens.sources import periods, readers, sample_views, schemas, writers
+from uptakelens.sources import periods, readers, reports, sample_views, schemas, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -197,6 +197,17 @@ def from_csv(
     return build
 
 
+def of_report(table: str) -> Query:
+    """A table of a whole report, written and read back by its pointer and manifest."""
+
+    def build(spark: SparkSession, folder: str) -> DataFrame:
+        path = writers.new_folder(spark, "report")
+        study(spark, folder).write(spark, path, strict_nulls=False)
+        return rounded(reports.read_report(spark, path, table)[table])
+
+    return build
+
+
 def constituency_sheets(spark: SparkSession, folder: str) -> DataFrame:
     """Share tables written one folder per label, and read back with the folder's name."""
     table = study(spark, folder).constituency_share(strict_nulls=False)
@@ -285,6 +296,7 @@ def all_queries() -> dict[str, Query]:
             "unvaccinated_counts_both", schemas.GAP_FILE_NAMES
         ),
         "constituency_sheets": constituency_sheets,
+        "area_gap_from_report": of_report("area_gap"),
         "rates_from_written_cells": rates_from_written_cells,
         "rates_from_stored_months": of_stored_window(
             Study.rates_by_group, sample_views.WINDOW_START, sample_views.WINDOW_END

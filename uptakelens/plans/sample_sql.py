@@ -622,6 +622,7 @@ ON p.area = e.area AND p.label IS NOT DISTINCT FROM e.label
         + "SELECT level, sex, levels.label, imd_quintile, age_group, CAST(gap AS BIGINT) AS gap, "
         f"ord, {AGE_GROUP_ORD} FROM levels LEFT JOIN vocab ON levels.label = vocab.label",
         "area_gap": BASE + _area_gap(False) + f"SELECT {gap_columns} FROM area_gap",
+        "area_gap_from_report": BASE + _area_gap(False) + f"SELECT {gap_columns} FROM area_gap",
         "area_gap_strict": BASE + _area_gap(True) + f"SELECT {gap_columns} FROM area_gap",
         "area_layer": BASE + _area_gap(False) + LAYER,
         "area_layer_strict": BASE + _area_gap(True) + LAYER,

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ from uptakelens.operators import (
     vocabulary,
 )
 from uptakelens.settings import DEFAULT, Settings
-from uptakelens.sources import schemas, writers
+from uptakelens.sources import reports, schemas, writers
 from uptakelens.sources.areas import Areas
 
 GROUP_KEYS = ("age_band", "label", "sex")
@@ -40,9 +40,6 @@ IMD_DIMS = ("imd_quintile", "sex", "age_group")
 BROAD_IMD_DIMS = ("broad_group", "imd_quintile", "sex", "age_group")
 GROUP_IMD_DIMS = ("label", "imd_quintile", "sex", "age_group")
 
-#: Writes submitted at a time by `Study.write`.
-WRITERS = 4
-
 
 @dataclass(frozen=True)
 class Study:
@@ -354,12 +351,13 @@ class Study:
         strict_nulls: bool = True,
         unsuppressed: bool = False,
         scratch: str | None = None,
-    ) -> list[str]:
+    ) -> dict[str, str]:
         """Write every table as Parquet, the hand-over files as CSV, the shares as sheets.
 
         Both inputs are scanned once, into cells that all tables start from, and the gap
         levels are computed once. These live in a folder of their own in `scratch` (default:
-        the session's shared folder), which goes when all is written.
+        the session's shared folder), which goes when all is written. The report is complete or
+        not there at all: see `sources.reports`. Returns the tables' paths by name.
         """
         own = writers.new_folder(spark, "report", scratch)
         try:
@@ -367,14 +365,14 @@ class Study:
             levels = writers.load_once(spark, study.gap_levels(), "gap_levels", own)
             tables = study.tables(strict_nulls, levels, unsuppressed)
             files = study.hand_over_files(levels)
-            sheets = tables["constituency_share"]
-            jobs = [
-                *((writers.write_results, t, f"{folder}/{n}") for n, t in tables.items()),
-                *((writers.write_results, t, f"{folder}/{n}.csv", "csv") for n, t in files.items()),
-                (writers.write_sheets, sheets, f"{folder}/constituency_sheets", ["ord", "label"]),
-            ]
-            with ThreadPoolExecutor(WRITERS) as pool:
-                return list(pool.map(lambda job: job[0](*job[1:]), jobs))
+            as_csv = partial(writers.write_results, file_format="csv")
+            by = ["ord", "label"]
+            as_sheets = partial(as_csv, partition_by=by)
+            jobs = {n: (t, "parquet", writers.write_results) for n, t in tables.items()}
+            jobs |= {f"{n}.csv": (t, "csv", as_csv) for n, t in files.items()}
+            shares = writers.sheets(tables["constituency_share"], by)
+            jobs["constituency_sheets"] = (shares, "csv", as_sheets)
+            return reports.write_report(spark, folder, jobs)
         finally:
             writers.remove(spark, own)
 

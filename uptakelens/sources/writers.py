@@ -45,30 +45,36 @@ def write_results(
     names: Mapping[str, str] | None = None,
     partition_by: Sequence[str] = (),
 ) -> str:
-    """Write one result table; CSV files carry a header and NA for missing values."""
+    """Write one result table; CSV files carry a header, NA for missing values and a quoted empty
+    text for an empty one."""
     if names:
         results = results.withColumnsRenamed(names)
     writer = results.write.mode("overwrite").format(file_format)
     if file_format == "csv":
-        writer = writer.option("header", True).option("nullValue", "NA").option("emptyValue", "")
+        writer = writer.option("header", True).option("nullValue", "NA")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
     return path
 
 
+def sheets(results: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The results with a column `sheet`, the file-name form of the last of `by`.
+
+    The rebalance hint gathers a sheet's rows into few files and still splits a sheet
+    that is too large for one task.
+    """
+    return results.selectExpr("*", f"{slug(by[-1])} AS sheet").hint("rebalance", *by)
+
+
 def write_sheets(
     results: DataFrame, path: str, by: Sequence[str], file_format: str = "csv"
 ) -> str:
-    """One folder per combination of `by`, the last of which names the sheet; its file-name
-    form is the column `sheet`.
+    """One folder per combination of `by`, the last of which names the sheet.
 
     Labels that differ are in folders of their own even where their file-name forms agree.
-    The rebalance hint gathers a sheet's rows into few files and still splits a sheet
-    that is too large for one task.
     """
-    sheets = results.selectExpr("*", f"{slug(by[-1])} AS sheet").hint("rebalance", *by)
-    return write_results(sheets, path, file_format, partition_by=by)
+    return write_results(sheets(results, by), path, file_format, partition_by=by)
 
 
 def load_once(
