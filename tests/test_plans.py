@@ -20,6 +20,8 @@ ROUND_TRIPS = {
     "rates_from_stored_months",
     "row_account_from_written_cells",
     "area_gap_from_report",
+    "events_past_bad_rows",
+    "unreadable_events",
     "median_age_of_a_stored_quarter",
 }
 # Every report group with every area is what they are about; the groups are few.

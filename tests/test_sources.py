@@ -214,3 +214,48 @@ def test_a_report_keeps_types_and_missing_values(spark, tmp_path):
     assert all(f.dtypes == frame.dtypes for f in found.values())
     assert sorted(map(tuple, found["c"].collect()), key=repr) == sorted(rows, key=repr)
     assert found["none"].count() == 0
+
+
+LOOKUP_HEADER = "LSOA,Locality,IMD_quintile,Constituency,note\n"
+BAD = ["a2,b,one,c,x", "a3,b", "a4,b,2,c,x,too many", "a5,b,2.5,c,x"]
+GOOD = ["a1,loc,1,c,x", 'a6,"",NA,c,x', "a7,,3,NA,x"]
+
+
+def quarantined(spark, folder):
+    return {(r.record, r.file.split("/")[-1]) for r in spark.read.parquet(folder).collect()}
+
+
+def test_unreadable_rows_are_set_aside(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in" / "1.csv", LOOKUP_HEADER + "\n".join([GOOD[0], *BAD[:2], GOOD[1]]) + "\n")
+    write(tmp_path / "in" / "2.csv", LOOKUP_HEADER + "\n".join([*BAD[2:], GOOD[2]]) + "\n")
+    aside = str(tmp_path / "aside")
+    rows = readers.read_lookup(spark, str(tmp_path / "in"), readers.Quarantine(aside, most=0.6))
+    assert rows.columns == ["area", "locality", "imd_quintile", "constituency"]
+    assert sorted(map(tuple, rows.collect())) == [
+        ("a1", "loc", 1, "c"), ("a6", "", None, "c"), ("a7", None, 3, None),
+    ]
+    assert quarantined(spark, aside) == {(BAD[0], "1.csv"), (BAD[1], "1.csv"), (BAD[2], "2.csv"), (BAD[3], "2.csv")}
+    # what is set aside doesn't depend on what is read of the rest
+    assert rows.select("area").count() == 3
+
+
+def test_too_many_unreadable_rows_fail_the_read(spark, tmp_path):
+    path = write(tmp_path / "lookup.csv", LOOKUP_HEADER + "\n".join([*GOOD, BAD[0]]) + "\n")
+    aside = str(tmp_path / "aside")
+    with pytest.raises(ValueError, match="1 of 4 rows"):
+        readers.read_lookup(spark, path, readers.Quarantine(aside, most=0.2))
+    assert quarantined(spark, aside) == {(BAD[0], "lookup.csv")}
+    assert readers.read_lookup(spark, path, readers.Quarantine(aside, most=0.25)).count() == 3
+    assert len(spark.read.parquet(aside).collect()) == 2  # of both reads
+
+
+def test_files_without_unreadable_rows(spark, tmp_path):
+    path = write(tmp_path / "lookup.csv", LOOKUP_HEADER + "\n".join(GOOD) + "\n")
+    aside = tmp_path / "aside"
+    assert readers.read_lookup(spark, path, readers.Quarantine(str(aside), most=0)).count() == 3
+    assert not aside.exists()
+    empty = write(tmp_path / "empty.csv", LOOKUP_HEADER)
+    assert readers.read_lookup(spark, empty, readers.Quarantine(str(aside))).collect() == []
+    other = write(tmp_path / "other.csv", "record,file,is_bad,LSOA,Locality,IMD_quintile,Constituency\n1,2,3,a1,l,1,c\n")
+    assert readers.read_lookup(spark, other, readers.Quarantine(str(aside))).count() == 1

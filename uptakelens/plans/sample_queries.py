@@ -197,6 +197,29 @@ def from_csv(
     return build
 
 
+def with_bad_rows(spark: SparkSession, folder: str) -> tuple[str, readers.Quarantine]:
+    """The event log as CSV, some of whose ages are no numbers, and where these go."""
+    delivered = {new: old for old, new in schemas.EVENT_NAMES.items()}
+    age = "IF(event_id % 97 = 0, concat('about ', coalesce(CAST(age AS STRING), 'x')), CAST(age AS STRING)) AS age"
+    log = sample_views.event_log(spark, folder)
+    log = log.selectExpr("group_raw", age, "age_band", "sex", "area").withColumnsRenamed(delivered)
+    path = writers.new_folder(spark, "input.csv")
+    writers.write_results(log, path, "csv")
+    return path, readers.Quarantine(writers.new_folder(spark, "unreadable"), most=0.02)
+
+
+def events_past_bad_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return readers.read_events(spark, *with_bad_rows(spark, folder))
+
+
+def unreadable_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows that were set aside, as they stand in the file."""
+    path, quarantine = with_bad_rows(spark, folder)
+    readers.read_events(spark, path, quarantine)
+    rows = spark.read.parquet(quarantine.folder)
+    return rows.selectExpr("record", f"contains(file, '{path.rsplit('/', 1)[-1]}') AS from_the_file")
+
+
 def of_report(table: str) -> Query:
     """A table of a whole report, written and read back by its pointer and manifest."""
 
@@ -289,6 +312,8 @@ def all_queries() -> dict[str, Query]:
             schemas.LOOKUP_NAMES,
             readers.read_lookup,
         ),
+        "events_past_bad_rows": events_past_bad_rows,
+        "unreadable_events": unreadable_events,
         "rates_csv_round_trip": hand_over("rates", schemas.RATE_FILE_NAMES),
         "rates_broad_csv_round_trip": hand_over("rates_broad", schemas.RATE_FILE_NAMES),
         "counts_csv_round_trip": hand_over("unvaccinated_counts", schemas.GAP_FILE_NAMES),

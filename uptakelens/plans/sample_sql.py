@@ -645,6 +645,11 @@ ON p.area = e.area AND p.label IS NOT DISTINCT FROM e.label
         "area_layer_given_vocabulary": _given_gaps() + GIVEN_LAYER,
         "events_from_csv": BASE
         + "SELECT group_raw, CAST(age AS DOUBLE) AS age, age_band, sex, area FROM event_log",
+        "events_past_bad_rows": BASE
+        + "SELECT group_raw, CAST(age AS DOUBLE) AS age, age_band, sex, area FROM event_log WHERE event_id % 97 <> 0",
+        "unreadable_events": BASE
+        + "SELECT concat_ws(',', COALESCE(group_raw, 'NA'), 'about ' || COALESCE(CAST(age AS VARCHAR), 'x'), "
+        "COALESCE(age_band, 'NA'), sex, area) AS record, true AS from_the_file FROM event_log WHERE event_id % 97 = 0",
         "register_from_csv": BASE
         + "SELECT area, age_band, group_national, sex, CAST(observations AS BIGINT) AS observations "
         "FROM register_rows",

@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import types as T
 
 from uptakelens import reference_values as fixed
-from uptakelens.functions.sql import literal
-from uptakelens.sources import schemas
+from uptakelens.functions.sql import literal, name
+from uptakelens.sources import schemas, writers
 
 
-def read_csv_na(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+@dataclass(frozen=True)
+class Quarantine:
+    """Where rows that can't be read go, and the share of them above which the read fails."""
+
+    folder: str
+    most: float = 0.001
+
+
+def read_csv_na(
+    spark: SparkSession, path: str, schema: T.StructType, quarantine: Quarantine | None = None
+) -> DataFrame:
     """Columns of `schema` from CSV with a header, in any order; NA is missing.
 
     The files of a folder must have one header: it is checked in each of them, and a file
@@ -22,6 +33,9 @@ def read_csv_na(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     Further columns of the file, such as a row number, are not parsed. A value that does
     not fit its declared type fails the read: silently turning it into NULL would change
     counts. A quoted empty text stays empty, an unquoted one is NULL.
+
+    With a quarantine, such rows, and those with too few or too many values, are set aside as
+    they stand in the file, see `set_aside`, and the others are returned.
     """
     header = spark.read.option("header", True).csv(path).columns
     missing = [field.name for field in schema if field.name not in header]
@@ -29,30 +43,90 @@ def read_csv_na(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
         raise ValueError(f"{path} lacks the columns {missing}")
     declared = {field.name: field.dataType for field in schema}
     in_file_order = T.StructType(
-        [T.StructField(name, declared.get(name, T.StringType())) for name in header]
+        [T.StructField(c, declared.get(c, T.StringType())) for c in header]
     )
-    rows = (
-        spark.read.schema(in_file_order)
-        .option("header", True)
+    reader = (
+        spark.read.option("header", True)
         .option("enforceSchema", False)
         .option("nullValue", "NA")
         .option("emptyValue", "")
-        .option("mode", "FAILFAST")
-        .csv(path)
     )
+    if quarantine is not None:
+        return set_aside(spark, reader, path, in_file_order, schema.fieldNames(), quarantine)
+    rows = reader.schema(in_file_order).option("mode", "FAILFAST").csv(path)
     return rows.select(*schema.fieldNames())
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv_na(spark, path, schemas.EVENTS).withColumnsRenamed(schemas.EVENT_NAMES)
+def set_aside(
+    spark: SparkSession,
+    reader: DataFrameReader,
+    path: str,
+    in_file_order: T.StructType,
+    columns: Sequence[str],
+    quarantine: Quarantine,
+) -> DataFrame:
+    """The columns of the rows that can be read; the others are in the quarantine's folder, as
+    `record` with the `file` they stand in.
 
+    The files are parsed once, into the shared folder, readable and unreadable rows apart; the
+    share of the latter is known from that. Above the quarantine's the read fails, with the rows
+    in the folder to look at. The folder gathers the rows of all reads.
+    """
+    names = {f.name.lower() for f in in_file_order}
+    record, file, bad = (_unused(n, names) for n in ("record", "file", "is_bad"))
+    with_record = T.StructType([*in_file_order, T.StructField(record, T.StringType())])
+    parsed = (
+        reader.schema(with_record)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", record)
+        .option("columnPruning", False)  # else values of columns that aren't needed aren't counted
+        .csv(path)
+    )
+    own = [name(c) for c in columns]
+    staged = writers.load_once(
+        spark,
+        parsed.selectExpr(*own, record, f"_metadata.file_path AS {file}", f"{record} IS NOT NULL AS {bad}"),
+        "parsed",
+        partition_by=[bad],
+    )
+    sizes = dict(staged.groupBy(bad).count().collect())
+    unread, total = sizes.get(True, 0), sum(sizes.values())
+    if unread:
+        aside = staged.filter(bad).selectExpr(f"{record} AS record", f"{file} AS file")
+        aside.write.mode("append").parquet(quarantine.folder)
+    if unread > quarantine.most * total:
+        raise ValueError(
+            f"{unread} of {total} rows of {path} can't be read, which is more than"
+            f" {quarantine.most:%}; they are in {quarantine.folder}"
+        )
+    return staged.filter(f"NOT {bad}").selectExpr(*own)
+
+
+def _unused(wanted: str, names: Iterable[str]) -> str:
+    while wanted in names:
+        wanted += "_"
+    return wanted
+
+
+def read_events(
+    spark: SparkSession, path: str, quarantine: Quarantine | None = None
+) -> DataFrame:
+    rows = read_csv_na(spark, path, schemas.EVENTS, quarantine)
+    return rows.withColumnsRenamed(schemas.EVENT_NAMES)
 
-def read_register(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv_na(spark, path, schemas.REGISTER).withColumnsRenamed(schemas.REGISTER_NAMES)
+
+def read_register(
+    spark: SparkSession, path: str, quarantine: Quarantine | None = None
+) -> DataFrame:
+    rows = read_csv_na(spark, path, schemas.REGISTER, quarantine)
+    return rows.withColumnsRenamed(schemas.REGISTER_NAMES)
 
 
-def read_lookup(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv_na(spark, path, schemas.AREA_LOOKUP).withColumnsRenamed(schemas.LOOKUP_NAMES)
+def read_lookup(
+    spark: SparkSession, path: str, quarantine: Quarantine | None = None
+) -> DataFrame:
+    rows = read_csv_na(spark, path, schemas.AREA_LOOKUP, quarantine)
+    return rows.withColumnsRenamed(schemas.LOOKUP_NAMES)
 
 
 def jdbc_options(

@@ -78,7 +78,11 @@ def write_sheets(
 
 
 def load_once(
-    spark: SparkSession, rows: DataFrame, name: str, folder: str | None = None
+    spark: SparkSession,
+    rows: DataFrame,
+    name: str,
+    folder: str | None = None,
+    partition_by: Sequence[str] = (),
 ) -> DataFrame:
     """Write the rows to a new place in the folder (default: the shared one) and read them back.
 
@@ -87,7 +91,7 @@ def load_once(
     """
     path = new_folder(spark, name, folder)
     schema = rows.schema
-    write_results(rows, path)
+    write_results(rows, path, partition_by=partition_by)
     return spark.read.schema(schema).parquet(path)
 
 
