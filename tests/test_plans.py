@@ -6,8 +6,7 @@ import pytest
 import small
 from folders import SF_0001
 
-from uptakelens.operators import clean
-
+from uptakelens.operators import cells, clean
 from uptakelens.plans import sample_queries
 from uptakelens.sources.areas import checked_areas
 
@@ -107,6 +106,35 @@ def test_large_lookup_is_joined_after_the_sum(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_other_areas_are_screened_out_below_the_shuffle(spark):
+    """A large list's screen is tested at the scan: rows of other areas aren't summed or moved."""
+    lookup = spark.range(1000).selectExpr(
+        "CAST(id AS STRING) AS area", "1 AS imd_quintile", "'c' AS constituency", "'l' AS locality"
+    )
+    areas = checked_areas(lookup.select("area"), lookup, max_rows=1)
+    events = spark.range(0, 50_000, 1, 4).selectExpr(
+        "CAST(id AS STRING) AS area", "'A: British' AS group_raw", "'20-24' AS age_band"
+    )
+    assert areas.screened(events).count() < 5_000  # 1000 are of target areas
+    assert areas.screened(events.filter("CAST(area AS INT) < 1000")).count() == 1000
+    by = ["age_band", "group_raw", "imd_quintile"]
+    summed = cells.event_cells(events, areas, by)
+    assert summed.collect()[0]["events"] == 1000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = {"partial_sum(": plan(cells.event_cells(events, areas, by))}
+        plans["Exchange hashpartitioning(area"] = plan(clean.clean_events(events, areas))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for moved, text in plans.items():
+        lines = text.splitlines()
+        screens = [i for i, line in enumerate(lines) if "BroadcastHashJoin" in line and "screen_word" in line]
+        assert len(screens) == 1
+        assert min(i for i, line in enumerate(lines) if moved in line) < screens[0]
+    small = checked_areas(lookup.select("area"), lookup)
+    assert small.screen is None and cells.event_cells(events, small, by).collect() == summed.collect()
+
+
 def test_small_lookup_is_broadcast(spark):
     text = plan(small.study(spark).event_cells(["age_band", "group_raw", "imd_quintile"]))
     facts = [line for line in text.splitlines() if "Exchange hashpartitioning(age_band" in line]

@@ -68,12 +68,14 @@ def _tagged(
     """Rows of the target areas with the columns `by`, area attributes included.
 
     With a small lookup the join is a broadcast and no row moves. With a large one the
-    rows are first summed per area, so that no raw row is shuffled by its area.
+    rows are screened and summed per area first, so that no raw row is shuffled by its area, and
+    most of other areas not even in part of a sum.
     """
-    if not areas.broadcastable:
-        rows = summed(rows, _own_columns(areas, by), measures)
     attributes = [c for c in by if c in areas.attributes]
-    return in_areas(rows, areas, attributes).select(*by, *measures)
+    if areas.broadcastable:
+        return in_areas(rows, areas, attributes).select(*by, *measures)
+    sums = summed(areas.screened(rows), _own_columns(areas, by), measures)
+    return sums.join(areas.located.select("area", *attributes), "area").select(*by, *measures)
 
 
 def event_cells(
@@ -113,7 +115,9 @@ def _summary(
     """One row per combination of `by` in the target areas, and one, with no area and nothing
     else known, for all rows of other areas."""
     if not areas.broadcastable:
-        rows = summed(rows, by, measures)
+        rows = areas.screened(rows, "left")
+        masked = (f"IF(may_be_target, {c}, NULL) AS {c}" for c in by)
+        rows = summed(rows.selectExpr(*masked, *measures), by, measures)
     flags = areas.sized(areas.located.select("area", F.lit(True).alias("is_target")))
     masked = (f"IF(is_target, {c}, NULL) AS {c}" for c in by)
     return summed(rows.join(flags, "area", "left").selectExpr(*masked, *measures), by, measures)

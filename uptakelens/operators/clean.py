@@ -46,8 +46,10 @@ def with_repaired_bands(rows: DataFrame, settings: Settings = DEFAULT) -> DataFr
 
 
 def in_areas(rows: DataFrame, areas: Areas, attributes: Sequence[str] = ()) -> DataFrame:
-    """Rows of the target areas with the wanted attributes of their area, in one join."""
-    return rows.join(areas.sized(areas.located.select("area", *attributes)), "area")
+    """Rows of the target areas with the wanted attributes of their area, in one join. Most rows
+    of other areas are screened out before they are shuffled for it."""
+    located = areas.sized(areas.located.select("area", *attributes))
+    return areas.screened(rows).join(located, "area")
 
 
 def with_attributes(rows: DataFrame, areas: Areas, attributes: Sequence[str]) -> DataFrame:

@@ -12,6 +12,10 @@ from uptakelens.sources.writers import settled
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+#: The screen of a list too large to broadcast: at most so many words of 64 bits, one for about
+#: so many areas. Its size doesn't depend on the list's beyond that.
+SCREEN_WORDS = 1 << 20
+AREAS_PER_WORD = 4
 
 
 @dataclass(frozen=True)
@@ -20,7 +24,8 @@ class Areas:
 
     `located` has every target area once, with its attributes. `broadcastable` is only true
     when both tables were counted and found under the bounds; beyond, `located` was written
-    once, so that facts meet it in a single join of their own, which can split a hot area.
+    once, so that facts meet it in a single join of their own, which can split a hot area, and
+    `screen` tells of most rows of other areas that they need not go there.
     """
 
     targets: DataFrame
@@ -28,12 +33,50 @@ class Areas:
     located: DataFrame
     broadcastable: bool
     attributes: tuple[str, ...]
+    screen: DataFrame | None = None
+    words: int = 0
+
+    def screened(self, rows: DataFrame, how: str = "inner") -> DataFrame:
+        """The rows without most of those whose area is no target: a Bloom filter in words of
+        64 bits, of which the area's hash picks one and four bits of it. `how="left"` keeps
+        all rows and adds `may_be_target`. Where the areas can be broadcast, nothing is done."""
+        if self.screen is None:
+            return rows if how == "inner" else rows.withColumn("may_be_target", F.lit(True))
+        bits = screen_bits("area")
+        met = F.expr(f"{screen_word('area', self.words)} = screen_word AND ({bits} & screen_bits) = {bits}")
+        joined = rows.join(F.broadcast(self.screen), met, how)
+        if how == "left":
+            joined = joined.withColumn("may_be_target", F.expr("screen_word IS NOT NULL"))
+        return joined.drop("screen_word", "screen_bits")
 
     def sized(self, side: DataFrame) -> DataFrame:
         """The side with a broadcast hint if it was proven small, else as it is."""
         return F.broadcast(side) if self.broadcastable else side
 
 
+def screen_word(area: str, words: int) -> str:
+    """The word of the screen that an area has its bits in."""
+    return f"pmod(xxhash64({area}), {words}L)"
+
+
+def screen_bits(area: str) -> str:
+    """An area's bits in its word."""
+    stirred = f"xxhash64({area}, 'bits')"
+    places = (f"CAST(shiftrightunsigned({stirred}, {6 * i}) & 63 AS INT)" for i in range(4))
+    return "(" + " | ".join(f"shiftleft(1L, {p})" for p in places) + ")"
+
+
+def screen_of(targets: DataFrame, areas: int) -> tuple[DataFrame, int]:
+    """The target areas' screen, settled, and its number of words."""
+    words = 1
+    while words < min(SCREEN_WORDS, areas / AREAS_PER_WORD):
+        words *= 2
+    rows = targets.filter("area IS NOT NULL").selectExpr(
+        f"{screen_word('area', words)} AS screen_word", f"{screen_bits('area')} AS screen_bits"
+    )
+    return settled(rows.groupBy("screen_word").agg(F.expr("bit_or(screen_bits) AS screen_bits"))), words
+
+
 def checked_areas(
     targets: DataFrame,
     lookup: DataFrame,
@@ -69,6 +112,8 @@ def checked_areas(
     )
     attributes = tuple(c for c in lookup.columns if c != "area")
     located = targets.distinct().join(F.broadcast(lookup) if small else lookup, "area", "left")
-    if not small:
-        located = settled(located)
-    return Areas(targets, lookup, located, small, attributes)
+    if small:
+        return Areas(targets, lookup, located, small, attributes)
+    located = settled(located)
+    screen, words = screen_of(located, sizes["targets"]["rows"] if "targets" in sizes else 0)
+    return Areas(targets, lookup, located, small, attributes, screen, words)
