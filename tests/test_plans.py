@@ -8,6 +8,7 @@ from folders import SF_0001
 
 from uptakelens.operators import cells, clean
 from uptakelens.plans import sample_queries
+from uptakelens.sources import writers
 from uptakelens.sources.areas import checked_areas
 
 QUERIES = sample_queries.all_queries()
@@ -23,7 +24,7 @@ ROUND_TRIPS = {
     "unreadable_events",
     "median_age_of_a_stored_quarter",
 }
-# Every report group with every area is what they are about; the groups are few.
+# Their report groups are one row, set beside every area.
 LAYERS = {n for n in QUERIES if n.startswith("area_layer")}
 
 
@@ -32,15 +33,29 @@ def plan(frame) -> str:
 
 
 def final_plan(frame) -> str:
+    """What was run, subqueries included, without the plans that it began with."""
     frame.collect()
-    return plan(frame).split("== Initial Plan ==")[0]
+    kept, initial = [], None
+    for line in plan(frame).splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if initial is not None and depth < initial:
+            initial = None
+        if "== Initial Plan ==" in line:
+            initial = depth
+        if initial is None:
+            kept.append(line)
+    return "\n".join(kept)
 
 
 @pytest.mark.parametrize("name", sorted(LAYERS))
-def test_a_layer_repeats_its_areas_for_the_few_groups_only(spark, name):
-    text = plan(QUERIES[name](spark, SF_0001))
-    assert text.count("NestedLoopJoin") == 1 and "CartesianProduct" not in text
-    assert "subquery" not in text.lower()
+def test_a_layer_sets_one_row_of_groups_beside_its_areas(spark, name):
+    lines = plan(QUERIES[name](spark, SF_0001)).splitlines()
+    loops = [i for i, x in enumerate(lines) if "NestedLoopJoin" in x]
+    assert len(loops) == 1 and not any("CartesianProduct" in x for x in lines)
+    depth = lines[loops[0]].index("BroadcastNestedLoopJoin")
+    side = next(i for i, x in enumerate(lines[loops[0] + 1 :], loops[0] + 1) if x[depth:].startswith("+- "))
+    assert "BroadcastExchange" in lines[side]
+    assert any("ObjectHashAggregate(keys=[]" in x for x in lines[side + 1 : side + 3])  # one row
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - ROUND_TRIPS - LAYERS))
@@ -181,3 +196,39 @@ def test_one_sum_aligns_and_rolls_up(spark, name, exchanges):
     text = plan(QUERIES[name](spark, SF_0001))
     lines = [x.split("ENSURE")[0] for x in text.splitlines() if "Exchange hashpartitioning" in x]
     assert sum("age_" in x for x in lines) == exchanges
+
+
+def above(text: str, leaf: str) -> list[list[str]]:
+    """For each line of a plan with the leaf, the operators that its rows pass."""
+    lines = [(len(x) - len(x.lstrip(" :+-")), x.strip(" :+-")) for x in text.splitlines()]
+    out = []
+    for i, (depth, own) in enumerate(lines):
+        if leaf in own:
+            path = []
+            for d, x in reversed(lines[:i]):
+                if d < depth:
+                    path.append(x)
+                    depth = d
+            out.append(path)
+    return out
+
+
+def test_reports_by_area_start_from_gaps_laid_out_by_area(spark, tmp_path):
+    """Gaps written in buckets by area aren't shuffled by area again, in any report by area."""
+    study = small.study(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with writers.laid_out(spark, str(tmp_path), "area") as write:
+            by_area = write(study.gaps_by_area(False), "gaps")
+            for name in ("area_gap", "area_layer", "constituency_share", "gap_totals"):
+                frame = getattr(study, name)(False, by_area)
+                (path,) = above(plan(frame), "FileScan parquet spark_catalog")
+                exchanges = [x for x in path if x.startswith("Exchange")]
+                # none for the areas; for the others, partial sums of few labels and places
+                assert not any("(area" in x for x in exchanges)
+                assert not exchanges if name in ("area_gap", "area_layer") else exchanges
+                direct = getattr(study, name)(False)
+                assert sorted(map(repr, frame.collect())) == sorted(map(repr, direct.collect()))
+        assert not spark.catalog.listTables(pattern="gaps_*")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -102,20 +102,41 @@ def area_layer(
 
     Suppression acts on the group's own value, for everybody on the sum. An area without
     a value gets 0; in strict mode so does an area whose gap is not known, which the column
-    `is_known` tells apart. The grid of all groups and areas is the result's own size. It is
-    the library's one join without a key: the side that is repeated, the report groups, has
-    at most MAX_LABELS rows, or the vocabulary raises an error.
+    `is_known` tells apart.
+
+    An area's values by label are gathered in a map (a vocabulary's worth of entries), which the
+    target areas meet by their name. The report groups, one row that holds them all (at most
+    MAX_LABELS of them), are set beside each area and unfolded there. So the areas move once at
+    most, and gaps that are laid out by area not at all. (As a subquery, that row would have the
+    events scanned a second time.)
     """
-    published = f"{counts.suppressed('gap', settings.small_number)} AS value"
-    values = per_label_and_everyone(gaps, ["area"], settings).selectExpr(
-        "area", "label", "is_everyone", published, "gap IS NULL AS unknown"
+
+    def published(gap: str) -> str:
+        return f"struct({counts.suppressed(gap, settings.small_number)} AS value, {gap} IS NULL AS unknown)"
+
+    by_label = gaps.groupBy("area", "label").agg(F.expr(f"{counts.complete_sum('gap')} AS gap"))
+    per_area = by_label.groupBy("area").agg(
+        F.expr(
+            f"map_from_entries(collect_list(struct(label, {published('gap')}))"
+            " FILTER (WHERE label IS NOT NULL)) AS by_label"
+        ),
+        F.expr(f"{counts.complete_sum('gap')} AS gap"),
     )
-    groups = F.broadcast(report_groups(vocabulary, settings.everyone))
-    grid = areas.targets.distinct().crossJoin(groups)
-    return grid.join(values, ["area", "label", "is_everyone"], "left").selectExpr(
+    groups = report_groups(vocabulary, settings.everyone).agg(
+        F.expr("array_sort(collect_list(struct(ord, label, is_everyone))) AS groups")
+    )
+    layer = areas.targets.distinct().join(per_area.withColumn("found", F.lit(True)), "area", "left")
+    rows = layer.crossJoin(F.broadcast(groups)).selectExpr(
+        "area", "found", "gap", "by_label", "inline(groups)"
+    )
+    everyone = f"IF(found, {published('gap')}, NULL)"
+    rows = rows.selectExpr(
+        "ord", "label", "area", f"IF(is_everyone, {everyone}, try_element_at(by_label, label)) AS shown"
+    )
+    return rows.selectExpr(
         "ord",
         "label",
         "area",
-        "coalesce(value, 0L) AS value",
-        "NOT coalesce(unknown, false) AS is_known",
+        "coalesce(shown.value, 0L) AS value",
+        "NOT coalesce(shown.unknown, false) AS is_known",
     )

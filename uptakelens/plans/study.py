@@ -237,10 +237,8 @@ class Study:
             self.gap_cells(alone), self.vocabulary(GROUP_IMD_KEYS), levels, self.settings
         )
 
-    def area_gap(self, strict_nulls: bool = True) -> DataFrame:
-        return area_reports.with_constituency(self._area_gap(strict_nulls), self.areas)
-
-    def _area_gap(self, strict_nulls: bool) -> DataFrame:
+    def gaps_by_area(self, strict_nulls: bool = True) -> DataFrame:
+        """Gap and total by area and label: what all reports by area start from."""
         return gaps.area_gap(
             self.register_cells(AREA_KEYS),
             self.event_cells(AREA_KEYS),
@@ -248,20 +246,25 @@ class Study:
             self.settings,
         )
 
-    def area_layer(self, strict_nulls: bool = True) -> DataFrame:
-        return area_reports.area_layer(
-            self._area_gap(strict_nulls), self.vocabulary(AREA_KEYS), self.areas, self.settings
-        )
+    def area_gap(self, strict_nulls: bool = True, by_area: DataFrame | None = None) -> DataFrame:
+        """`by_area`, here and below, may be the written gaps by area."""
+        rows = self.gaps_by_area(strict_nulls) if by_area is None else by_area
+        return area_reports.with_constituency(rows, self.areas)
+
+    def area_layer(self, strict_nulls: bool = True, by_area: DataFrame | None = None) -> DataFrame:
+        rows = self.gaps_by_area(strict_nulls) if by_area is None else by_area
+        return area_reports.area_layer(rows, self.vocabulary(AREA_KEYS), self.areas, self.settings)
 
-    def constituency_share(self, strict_nulls: bool = True) -> DataFrame:
+    def constituency_share(
+        self, strict_nulls: bool = True, by_area: DataFrame | None = None
+    ) -> DataFrame:
         return area_reports.constituency_share(
-            self.area_gap(strict_nulls), self.vocabulary(AREA_KEYS), self.settings
+            self.area_gap(strict_nulls, by_area), self.vocabulary(AREA_KEYS), self.settings
         )
 
-    def gap_totals(self, strict_nulls: bool = True) -> DataFrame:
-        return area_reports.gap_totals(
-            self._area_gap(strict_nulls), self.vocabulary(AREA_KEYS), self.settings
-        )
+    def gap_totals(self, strict_nulls: bool = True, by_area: DataFrame | None = None) -> DataFrame:
+        rows = self.gaps_by_area(strict_nulls) if by_area is None else by_area
+        return area_reports.gap_totals(rows, self.vocabulary(AREA_KEYS), self.settings)
 
     # -- matrices ------------------------------------------------------------------
 
@@ -305,6 +308,7 @@ class Study:
         strict_nulls: bool = True,
         levels: DataFrame | None = None,
         unsuppressed: bool = False,
+        by_area: DataFrame | None = None,
     ) -> dict[str, DataFrame]:
         """Every table of the analysis, by the name it is written under.
 
@@ -330,10 +334,10 @@ class Study:
             "gap_matrix_both": self.gap_matrix_text(False, levels),
             "gap_matrix_protected": self.gap_matrix_protected(levels),
             "gap_margins_protected": self.gap_margins_protected(levels),
-            "area_gap": self.area_gap(strict_nulls),
-            "area_layer": self.area_layer(strict_nulls),
-            "constituency_share": self.constituency_share(strict_nulls),
-            "gap_totals": self.gap_totals(strict_nulls),
+            "area_gap": self.area_gap(strict_nulls, by_area),
+            "area_layer": self.area_layer(strict_nulls, by_area),
+            "constituency_share": self.constituency_share(strict_nulls, by_area),
+            "gap_totals": self.gap_totals(strict_nulls, by_area),
         }
         if unsuppressed:
             tables |= {
@@ -354,8 +358,9 @@ class Study:
     ) -> dict[str, str]:
         """Write every table as Parquet, the hand-over files as CSV, the shares as sheets.
 
-        Both inputs are scanned once, into cells that all tables start from, and the gap
-        levels are computed once. These live in a folder of their own in `scratch` (default:
+        Both inputs are scanned once, into cells that all tables start from. The gap levels are
+        computed once, as are the gaps by area, which are laid out by area, so that no report by
+        area shuffles them again. These live in a folder of their own in `scratch` (default:
         the session's shared folder), which goes when all is written. The report is complete or
         not there at all: see `sources.reports`. Returns the tables' paths by name.
         """
@@ -363,16 +368,18 @@ class Study:
         try:
             study = self.collapsed(spark, folder=own)
             levels = writers.load_once(spark, study.gap_levels(), "gap_levels", own)
-            tables = study.tables(strict_nulls, levels, unsuppressed)
-            files = study.hand_over_files(levels)
-            as_csv = partial(writers.write_results, file_format="csv")
-            by = ["ord", "label"]
-            as_sheets = partial(as_csv, partition_by=by)
-            jobs = {n: (t, "parquet", writers.write_results) for n, t in tables.items()}
-            jobs |= {f"{n}.csv": (t, "csv", as_csv) for n, t in files.items()}
-            shares = writers.sheets(tables["constituency_share"], by)
-            jobs["constituency_sheets"] = (shares, "csv", as_sheets)
-            return reports.write_report(spark, folder, jobs)
+            with writers.laid_out(spark, own, "area") as write:
+                by_area = write(study.gaps_by_area(strict_nulls), "gaps_by_area")
+                tables = study.tables(strict_nulls, levels, unsuppressed, by_area)
+                files = study.hand_over_files(levels)
+                as_csv = partial(writers.write_results, file_format="csv")
+                by = ["ord", "label"]
+                as_sheets = partial(as_csv, partition_by=by)
+                jobs = {n: (t, "parquet", writers.write_results) for n, t in tables.items()}
+                jobs |= {f"{n}.csv": (t, "csv", as_csv) for n, t in files.items()}
+                shares = writers.sheets(tables["constituency_share"], by)
+                jobs["constituency_sheets"] = (shares, "csv", as_sheets)
+                return reports.write_report(spark, folder, jobs)
         finally:
             writers.remove(spark, own)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -95,6 +96,28 @@ def load_once(
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def laid_out(spark: SparkSession, folder: str, by: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A function that writes rows into the folder in buckets by a column, and reads them back:
+    what sums or joins by that column needs no further shuffle. The tables' names are forgotten
+    at the end; the folder is the caller's."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = []
+
+    def write(rows: DataFrame, name: str) -> DataFrame:
+        table = f"{name}_{uuid.uuid4().hex}"
+        dealt = rows.repartition(buckets, by).write.bucketBy(buckets, by)
+        dealt.option("path", f"{folder.rstrip('/')}/{table}").saveAsTable(table)
+        names.append(table)
+        return spark.table(table)
+
+    try:
+        yield write
+    finally:
+        for table in names:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library wrote, wherever it is stored."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
