@@ -22,12 +22,6 @@ def _small_star(links: DataFrame) -> DataFrame:
     return around.unionAll(least.select("a", F.col("m").alias("b")))
 
 
-def _by_node(links: DataFrame) -> DataFrame:
-    """The distinct links, dealt by their larger node: what follows by that node needs no further
-    shuffle. Its links lead to smaller nodes only, and fewer of them in each round."""
-    return links.repartition("a").distinct()
-
-
 def _state(links: DataFrame) -> tuple:
     return tuple(links.selectExpr("count(*)", "sum(pmod(xxhash64(a, b), 1000000007))").first())
 
@@ -35,11 +29,12 @@ def _state(links: DataFrame) -> tuple:
 def roots(links: DataFrame) -> DataFrame:
     """Settled: every node (a) of links (a, b) that isn't the least of its component, with the least
     (b). Alternates large and small stars, which halve the depth of a component's tree each time;
-    a node with very many links is one row of partial minima per task."""
+    a node with very many links is one row of partial minima per task, and its links are dealt by
+    both ends or meet the minima in a join that can split them."""
     ordered = links.selectExpr("greatest(a, b) AS a", "least(a, b) AS b").filter("a <> b")
-    links = settled(_small_star(_by_node(ordered)))
+    links = settled(_small_star(ordered.distinct()))
     before, now = None, _state(links)
     while now != before:
-        links = settled(_small_star(_by_node(_large_star(links))).distinct())
+        links = settled(_small_star(_large_star(links).distinct()).distinct())
         before, now = now, _state(links)
     return links
