@@ -192,3 +192,23 @@ def test_literals(spark):
     assert listed(["a", "b"]) == "'a', 'b'"
     assert name("a b") == "`a b`"
     assert spark.range(1).selectExpr(f"1 AS {name('a`b')}").columns == ["a`b"]
+
+
+@pytest.mark.parametrize(
+    "value, nearest, half_up",
+    [
+        (0.15, 0.1, 0.2), (0.25, 0.2, 0.3), (0.35, 0.3, 0.4), (0.55, 0.6, 0.6), (0.65, 0.7, 0.7),
+        (12.25, 12.2, 12.3), (12.75, 12.8, 12.8), (6.25, 6.2, 6.3), (18.75, 18.8, 18.8), (31.25, 31.2, 31.3),
+        (-12.25, -12.2, -12.3), (33.333, 33.3, 33.3), (100.0, 100.0, 100.0), (0.0, 0.0, 0.0), (None, None, None),
+        (0.05, 0.0, 0.1), (1e300, 1e300, 1e300),
+    ],
+)
+def test_rounding(spark, value, nearest, half_up):
+    frame = spark.createDataFrame([(value,)], "v double")
+    found = frame.selectExpr(rates.rounded("v", 1), rates.rounded("v", 1, "half_up")).first()
+    assert tuple(found) == (nearest, half_up)
+
+
+def test_unknown_rounding():
+    with pytest.raises(ValueError, match="rounding"):
+        rates.rounded("v", 1, "down")

@@ -1,4 +1,4 @@
-"""Proportions and Byar confidence limits."""
+"""Proportions, confidence limits and rounding."""
 
 from __future__ import annotations
 
@@ -22,6 +22,30 @@ def percent(events: str, population: str) -> str:
     return f"100 * {proportion(events, population)}"
 
 
+ROUNDINGS = ("nearest_even", "half_up")
+
+
+def rounded(value: str, digits: int, rounding: str = "nearest_even") -> str:
+    """The value rounded to so many decimals.
+
+    `nearest_even`, as the published analysis rounds: of the two decimals around the value, the
+    one that is nearer to it as a double, of equally near ones the even one. `half_up` takes the
+    value as it is written, and ties away from zero.
+    """
+    if rounding not in ROUNDINGS:
+        raise ValueError(f"rounding must be one of {ROUNDINGS}, not {rounding!r}")
+    if rounding == "half_up":
+        return f"round({value}, {digits})"
+    power = literal(float(10**digits))
+    size = f"abs(CAST({value} AS DOUBLE))"
+    below, above = (f"({side}({power} * {size}) / {power})" for side in ("floor", "ceil"))
+    down, up = f"({size} - {below})", f"({above} - {size})"
+    even = f"floor({power} * {size}) % 2 = 0"
+    near = f"sign({value}) * IF({down} < {up} OR ({down} = {up} AND {even}), {below}, {above})"
+    # a greater double has no such decimals
+    return f"IF({size} < {literal(1e15)} / {power}, {near}, CAST({value} AS DOUBLE))"
+
+
 def _byar(count: str, sign: str, root_of: str, population: str, level: float) -> str:
     third = literal(normal_quantile(level) / 3)
     cube_root = (

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from uptakelens.functions import counts, text
+from uptakelens.functions import counts, rates, text
 from uptakelens.functions.sql import literal
 from uptakelens.operators.clean import with_attributes
 from uptakelens.operators.vocabulary import report_groups
@@ -54,7 +54,8 @@ def constituency_share(
     )
     whole = "PARTITION BY ord"
     label_gap = counts.complete_sum("gap", over=whole)
-    shares = sums.selectExpr("*", f"round(try_divide(100 * gap, {label_gap}), 1) AS share")
+    whole_gap = sums.selectExpr("*", f"try_divide(100 * gap, {label_gap}) AS exact")
+    shares = whole_gap.selectExpr("*", f"{rates.rounded('exact', 1, settings.rounding)} AS share")
     ranked = f"{whole} ORDER BY share DESC NULLS LAST, constituency ASC NULLS LAST"
     return shares.selectExpr(
         "ord",

@@ -279,6 +279,9 @@ def all_queries() -> dict[str, Query]:
         "area_layer_strict": of_study(lambda s: s.area_layer(strict_nulls=True)),
         "constituency_share": of_study(lambda s: s.constituency_share(strict_nulls=False)),
         "constituency_share_strict": of_study(lambda s: s.constituency_share(strict_nulls=True)),
+        "constituency_share_half_up": of_study(
+            lambda s: s.constituency_share(strict_nulls=False), replace(SETTINGS, rounding="half_up")
+        ),
         "gap_totals": of_study(lambda s: s.gap_totals(strict_nulls=False)),
         "gap_totals_strict": of_study(lambda s: s.gap_totals(strict_nulls=True)),
         "rate_matrix": of_study(Study.rate_matrix),

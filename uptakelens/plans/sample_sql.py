@@ -211,21 +211,33 @@ def _complete(column: str) -> str:
 
 LAST = "(SELECT CAST(COUNT(*) + 1 AS INT) FROM vocab)"
 
-SHARE = f""",
+TABLES = f""",
 tables AS (
   SELECT ord, v.label, constituency, {_complete("gap")} AS gap, {_complete("total")} AS total
   FROM vocab v JOIN area_gap g ON v.label = g.label GROUP BY ord, v.label, constituency
   UNION ALL
   SELECT {LAST}, 'All', constituency, {_complete("gap")}, {_complete("total")}
   FROM area_gap GROUP BY constituency),
-shares AS (
+parts AS (
   SELECT ord, label, constituency, gap, total,
-    round(100.0::DOUBLE * gap / NULLIF(CASE WHEN COUNT(gap) OVER w = COUNT(*) OVER w
-      THEN CAST(SUM(gap) OVER w AS DOUBLE) END, 0), 1) AS share
-  FROM tables WINDOW w AS (PARTITION BY ord))
+    100.0::DOUBLE * gap / NULLIF(CASE WHEN COUNT(gap) OVER w = COUNT(*) OVER w
+      THEN CAST(SUM(gap) OVER w AS DOUBLE) END, 0) AS exact
+  FROM tables WINDOW w AS (PARTITION BY ord)),
+"""
+HALF_UP = "shares AS (SELECT * EXCLUDE (exact), round(exact, 1) AS share FROM parts)"
+NEAREST = """
+around AS (SELECT *, floor(10 * exact) / 10 AS below, ceil(10 * exact) / 10 AS above FROM parts),
+shares AS (
+  SELECT ord, label, constituency, gap, total, CASE WHEN exact - below < above - exact THEN below
+    WHEN exact - below > above - exact THEN above
+    WHEN floor(10 * exact)::BIGINT % 2 = 0 THEN below ELSE above END AS share
+  FROM around)
+"""
+RANKED = """
 SELECT ord, label, constituency, gap, total, share, CAST(row_number() OVER (
   PARTITION BY ord ORDER BY share DESC NULLS LAST, constituency ASC NULLS LAST) AS INT) AS position
 """
+SHARE = TABLES + NEAREST + RANKED
 
 TOTALS = f""",
 totals AS (
@@ -628,6 +640,7 @@ ON p.area = e.area AND p.label IS NOT DISTINCT FROM e.label
         "area_layer_strict": BASE + _area_gap(True) + LAYER,
         "constituency_share": share[False],
         "constituency_share_strict": share[True],
+        "constituency_share_half_up": BASE + _area_gap(False) + TABLES + HALF_UP + RANKED + "FROM shares",
         "gap_totals": BASE + _area_gap(False) + TOTALS,
         "gap_totals_strict": BASE + _area_gap(True) + TOTALS,
         "rate_matrix": BASE + AL_GROUP_IMD + _rate_matrix(),

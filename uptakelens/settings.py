@@ -38,6 +38,8 @@ class Settings:
     # Statistics and disclosure control
     level: float = fixed.UPPER_LEVEL
     lower_term: str = "n_plus_1"
+    #: How shares are rounded, see `functions.rates.rounded`.
+    rounding: str = "nearest_even"
     small_number: int = fixed.SMALL_NUMBER
     small_number_text: str = fixed.SMALL_NUMBER_TEXT
     #: Mark of every hidden entry where totals are shown, small or not.
