@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
 
 from uptakelens.functions import counts, labels, rates, text
 from uptakelens.functions.sql import listed, literal, name
+from uptakelens.operators import rate_tables
 
 
 def values(spark, expression, rows, schema):
@@ -212,3 +215,50 @@ def test_rounding(spark, value, nearest, half_up):
 def test_unknown_rounding():
     with pytest.raises(ValueError, match="rounding"):
         rates.rounded("v", 1, "down")
+
+
+def poisson_tail(mean: float, n: int) -> float:
+    """Probability of at most n events."""
+    return math.fsum(math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(n + 1))
+
+
+def solved(n: int, level: float) -> tuple[float, float]:
+    """Means under which n events or more, or n or fewer, have the probability 1 - level."""
+    out = []
+    for least, wanted in ((n - 1, level), (n, 1 - level)):
+        low, high = 0.0, 2.0 * n + 50
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if least >= 0 and poisson_tail(middle, least) > wanted else (low, middle)
+        out.append(0.0 if least < 0 else low)
+    return tuple(out)
+
+
+#: Exact limits of a count at 95 %, as tables print them.
+POISSON = {
+    0: (0, 3.69), 1: (0.03, 5.57), 2: (0.24, 7.22), 5: (1.62, 11.67), 10: (4.80, 18.39),
+    50: (37.11, 65.92), 100: (81.36, 121.63),
+}
+
+
+@pytest.mark.parametrize("level", [0.975, 0.995])
+def test_exact_limits(spark, level):
+    counts = [0, 1, 2, 3, 5, 10, 37, 50, 100, 250, 498, 499, 500, 501, 1200, 5000]
+    frame = spark.createDataFrame([(n,) for n in counts], "n bigint")
+    rows = frame.selectExpr("n", rates.exact_lower("n", "100", level), rates.exact_upper("n", "100", level)).collect()
+    for n, lower, upper in rows:
+        assert (lower, upper) == pytest.approx(solved(n, level), rel=1e-9, abs=1e-9)
+        if level == 0.975 and n in POISSON:
+            assert (lower, upper) == pytest.approx(POISSON[n], abs=5.1e-3)
+
+
+def test_exact_limits_without_people_and_for_many_events(spark):
+    frame = spark.createDataFrame([(3, 0), (10**12, 10**13), (None, 5)], "n bigint, people bigint")
+    none, many, missing = frame.selectExpr(rates.exact_lower("n", "people"), rates.exact_upper("n", "people")).collect()
+    assert tuple(none) == tuple(missing) == (None, None)
+    assert 9.99998 < many[0] < 10 < many[1] < 10.00002
+
+
+def test_unknown_limits(spark):
+    with pytest.raises(ValueError, match="limits"):
+        rate_tables.with_rates(spark.range(1).selectExpr("1L AS events", "2L AS population"), limits="wald")

@@ -75,3 +75,60 @@ def byar_upper(events: str, population: str, level: float = fixed.UPPER_LEVEL) -
     """Upper limit in percent; NULL for no population."""
     above = f"({events} + 1)"
     return _byar(above, "+", above, population, level)
+
+
+LIMITS = ("byar", "exact")
+#: Below so many events the exact limits are solved for, from there on taken from a series whose
+#: first neglected term is less than a billionth of an event.
+SERIES_FROM = 500
+STEPS = 12
+
+
+def _gamma_series(shape: str, z: float) -> str:
+    """Quantile of the gamma distribution with a large shape, at the normal quantile z
+    (Cornish-Fisher expansion in powers of the root of the shape)."""
+    root = f"sqrt(CAST({shape} AS DOUBLE))"
+    terms = [
+        f"{root}",
+        literal(z),
+        f"{literal((z**2 - 1) / 3)} / {root}",
+        f"{literal((z**3 - 7 * z) / 36)} / pow({root}, 2)",
+        f"{literal(-(3 * z**4 + 7 * z**2 - 16) / 810)} / pow({root}, 3)",
+        f"{literal((9 * z**5 + 256 * z**3 - 433 * z) / 38880)} / pow({root}, 4)",
+        f"{literal((12 * z**6 - 243 * z**4 - 923 * z**2 + 1472) / 204120)} / pow({root}, 5)",
+        f"{literal(-(3753 * z**7 + 4353 * z**5 - 289517 * z**3 - 289717 * z) / 146966400)} / pow({root}, 6)",
+    ]
+    return f"({root} * ({' + '.join(terms)}))"
+
+
+def _gamma_solved(shape: str, z: float, above: float) -> str:
+    """The point that the gamma distribution with a whole shape exceeds with probability `above`:
+    Newton's method on the sum of Poisson probabilities, from the cube approximation."""
+    cube = f"1 - 1D / (9 * {shape}) + {literal(z / 3)} * sqrt(1D / {shape})"
+    start = f"greatest({shape} * pow({cube}, 3), 0.001D)"
+    probability = "IF(k = 0, exp(-x), p.last * x / k)"
+    sums = (
+        f"aggregate(sequence(0L, {shape} - 1), named_struct('last', 0D, 'all', 0D),"
+        f" (p, k) -> named_struct('last', {probability}, 'all', p.all + {probability}),"
+        f" p -> greatest(x + (p.all - {literal(above)}) / p.last, x / 10))"
+    )
+    return f"aggregate(sequence(1, {STEPS}), CAST({start} AS DOUBLE), (x, i) -> {sums})"
+
+
+def _gamma_quantile(shape: str, level: float) -> str:
+    z = normal_quantile(level)
+    whole = f"CAST({shape} AS BIGINT)"
+    solved = _gamma_solved(f"least({whole}, {SERIES_FROM}L)", z, 1 - level)
+    return f"IF({whole} < {SERIES_FROM}, {solved}, {_gamma_series(whole, z)})"
+
+
+def exact_lower(events: str, population: str, level: float = fixed.UPPER_LEVEL) -> str:
+    """Lower limit in percent by inverting the Poisson distribution: 0 for no events; NULL for no
+    population."""
+    quantile = _gamma_quantile(f"greatest({events}, 1)", 1 - level)
+    return f"try_divide(100 * CASE WHEN {events} = 0 THEN 0D WHEN {events} > 0 THEN {quantile} END, {population})"
+
+
+def exact_upper(events: str, population: str, level: float = fixed.UPPER_LEVEL) -> str:
+    """Upper limit in percent by inverting the Poisson distribution; NULL for no population."""
+    return f"try_divide(100 * {_gamma_quantile(f'({events} + 1)', level)}, {population})"

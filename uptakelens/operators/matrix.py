@@ -129,4 +129,4 @@ def matrix_margins(rate_rows: DataFrame, settings: Settings = DEFAULT) -> DataFr
     rows = rate_rows.filter("broad_group IS NOT NULL")
     keys, measures = ["age_group", "sex"], ["events", "population"]
     sums = _margins(rows, keys, "imd_quintile", "broad_group", measures)
-    return with_rates(sums, settings.level, settings.lower_term)
+    return with_rates(sums, **settings.rate_options)

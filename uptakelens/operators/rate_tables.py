@@ -13,16 +13,26 @@ from uptakelens.operators.cells import summed
 
 
 def with_rates(
-    counts: DataFrame, level: float = fixed.UPPER_LEVEL, lower_term: str = "n_plus_1"
+    counts: DataFrame,
+    level: float = fixed.UPPER_LEVEL,
+    lower_term: str = "n_plus_1",
+    limits: str = "byar",
 ) -> DataFrame:
-    """Add proportion, percent, z and the Byar limits to `events` and `population`."""
+    """Add proportion, percent, z and limits to `events` and `population`: Byar's, or the exact
+    ones of the Poisson distribution."""
+    if limits not in rates.LIMITS:
+        raise ValueError(f"limits must be one of {rates.LIMITS}, not {limits!r}")
     sides = ("events", "population")
+    if limits == "exact":
+        lower, upper = rates.exact_lower(*sides, level), rates.exact_upper(*sides, level)
+    else:
+        lower, upper = rates.byar_lower(*sides, level, lower_term), rates.byar_upper(*sides, level)
     ratios = {
         "proportion": rates.proportion(*sides),
         "percent": rates.percent(*sides),
         "z": literal(rates.normal_quantile(level)),
-        "lower": rates.byar_lower(*sides, level, lower_term),
-        "upper": rates.byar_upper(*sides, level),
+        "lower": lower,
+        "upper": upper,
     }
     return counts.selectExpr("*", *aliased(ratios))
 

@@ -375,6 +375,24 @@ def _gap_margins(by_sex: bool) -> str:
     )
 
 
+def _exact_limits() -> str:
+    """Limits by halving the interval, from Poisson probabilities."""
+    def halved(shape: str, above: str) -> str:
+        return f"""list_reduce(
+          list_prepend({{'lo': 0.0::DOUBLE, 'hi': 2.0::DOUBLE * {shape} + 20}},
+            list_transform(range(200), lambda i: {{'lo': 0.0::DOUBLE, 'hi': 0.0::DOUBLE}})),
+          lambda s, unused: CASE WHEN list_sum(list_transform(range({shape}),
+              lambda k: exp(k * ln((s.lo + s.hi) / 2) - (s.lo + s.hi) / 2 - lgamma(k + 1)))) > {above}
+            THEN {{'lo': (s.lo + s.hi) / 2, 'hi': s.hi}} ELSE {{'lo': s.lo, 'hi': (s.lo + s.hi) / 2}} END).lo"""
+
+    return f"""
+SELECT * REPLACE (
+  round(CASE WHEN events = 0 THEN 0 ELSE 100 * {halved("greatest(events, 1)", "0.975")} END / NULLIF(population, 0), 6) AS lower,
+  round(100 * {halved("(events + 1)", "0.025")} / NULLIF(population, 0), 6) AS upper)
+FROM ({_rates("al_imd", IMD_DIMS)}) r
+"""
+
+
 def _density(points: int, tails: int) -> str:
     """Kernel density with every event a point of its own, from library statistics."""
     return f"""
@@ -614,6 +632,7 @@ ON p.area = e.area AND p.label IS NOT DISTINCT FROM e.label
         + f"SELECT DISTINCT age_group, {AGE_GROUP_ORD} FROM al_group",
         "rates_by_group": rates_by_group,
         "rates_by_group_textbook": BASE + AL_GROUP + _rates("al_group", GROUP_DIMS, "n"),
+        "rates_with_exact_limits": BASE + AL_IMD + _exact_limits(),
         "rates_by_imd": BASE + AL_IMD + RATES_BY_IMD,
         "rates_broad_imd": BASE + AL_GROUP_IMD + _rates("al_group_imd", BROAD_IMD_DIMS),
         "rates_group_imd": rates_group_imd,

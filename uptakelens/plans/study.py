@@ -161,7 +161,7 @@ class Study:
         self, keys: Sequence[str], dims: Sequence[str], alone: bool = True, **options
     ) -> DataFrame:
         """Rates per combination of dims over the cells known by their keys."""
-        options = {"level": self.settings.level, "lower_term": self.settings.lower_term} | options
+        options = self.settings.rate_options | options
         if "broad_group" in dims:
             rows = cells.add_age_group(self.aligned(keys, alone=alone), self.settings)
             rows = cells.summed(rows, dims, ["events", "population"])
@@ -223,7 +223,7 @@ class Study:
             {"imd_quintile": "CAST(imd_quintile AS STRING)"},
         )
         sums = sums.select(*IMD_DIMS, "events", "population", "benchmark_percent")
-        rows = rate_tables.with_rates(sums, settings.level, settings.lower_term)
+        rows = rate_tables.with_rates(sums, **settings.rate_options)
         return rate_tables.with_place(rows, order=settings.age_group_order)
 
     # -- gaps ----------------------------------------------------------------------

@@ -38,6 +38,8 @@ class Settings:
     # Statistics and disclosure control
     level: float = fixed.UPPER_LEVEL
     lower_term: str = "n_plus_1"
+    #: Method of the limits: "byar", or "exact" for those of the Poisson distribution.
+    limits: str = "byar"
     #: How shares are rounded, see `functions.rates.rounded`.
     rounding: str = "nearest_even"
     small_number: int = fixed.SMALL_NUMBER
@@ -54,5 +56,10 @@ class Settings:
     ages_text: str = fixed.CAPTION_AGES
     period_text: str = fixed.CAPTION_PERIOD
 
+    @property
+    def rate_options(self) -> dict[str, float | str]:
+        """What `rate_tables.with_rates` takes."""
+        return {"level": self.level, "lower_term": self.lower_term, "limits": self.limits}
+
 
 DEFAULT = Settings()
