@@ -167,8 +167,15 @@ def test_complete_sum(spark):
 
 def test_texts(spark):
     rows = [(45.0, 47.5), (None, 30.0)]
-    found = values(spark, text.median_text("f", "m"), rows, "f double, m double")
+    both = {"Female": "f", "Male": "m"}
+    found = values(spark, text.median_text(both), rows, "f double, m double")
     assert found == ["F:45 | M:47.5", "F:NA | M:30"]
+    for sexes, said in (
+        ({"Male": "m", "Female": "f"}, "M:47.5 | F:45"),
+        ({"Male": "m"}, "M:47.5"),
+        ({"Man": "m", "Male": "f"}, "Man:47.5 | Male:45"),
+    ):
+        assert values(spark, text.median_text(sexes), rows, "f double, m double")[0] == said
     numbers = [(1234567,), (12,)]
     assert values(spark, text.thousands("n"), numbers, "n long") == ["1,234,567", "12"]
     assert values(spark, text.slug("s"), [("White and Asian",)], "s string") == ["White-and-Asian"]
@@ -176,6 +183,13 @@ def test_texts(spark):
     assert parts == ["1 of 2", "NA of NA"]
 
 
+def test_captions_in_other_words(spark):
+    rows = [("Indian", False), ("All", True)]
+    words = {"of_group": "{label}: {label}, {period}", "of_everyone": "{ages}"}
+    caption = text.caption("label", "everyone", "18+", "May", **words)
+    assert values(spark, caption, rows, "label string, everyone boolean") == ["Indian: Indian, May", "18+"]
+
+
 def test_captions(spark):
     rows = [("Indian", False), ("All", True)]
     found = values(spark, text.caption("label", "everyone"), rows, "label string, everyone boolean")

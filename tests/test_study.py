@@ -146,6 +146,23 @@ def test_medians(study):
     assert lenient["Indian"]["median_male"] == 67.0
     assert lenient["African"]["median_female"] == 93.5
     assert lenient["White British"]["median_text"] == "F:22 | M:24"
+    order = {r["label"]: r["ord"] for r in study.vocabulary().collect()}
+    assert all(r["ord"] == order.get(label) for label, r in lenient.items())
+
+
+@pytest.mark.parametrize("sexes", [("Male", "Female"), ("Female",), ("Unknown", "Male")])
+def test_medians_of_other_sexes(study, sexes):
+    other = replace(study, settings=replace(study.settings, sexes=sexes))
+    by_label = {r["label"]: r for r in other.median_age(strict_nulls=False).collect()}
+    plain = small.medians([e for e in small.EVENTS if e[4] is not None])
+    assert other.median_age().columns == ["label", *(f"median_{s.lower()}" for s in sexes), "median_text", "ord"]
+    for label, row in by_label.items():
+        for sex in set(sexes) & {"Female", "Male"}:
+            assert row[f"median_{sex.lower()}"] == plain.get((label, sex))
+    counted = other.event_counts().collect()
+    assert {r["sex"] for r in counted} == set(sexes)
+    order = {r["label"]: r["ord"] for r in study.vocabulary().collect()}
+    assert all(r["ord"] == order.get(r["label"]) for r in counted)
 
 
 def test_benchmark_is_a_ratio_of_sums(study):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from uptakelens import reference_values as fixed
 from uptakelens.functions.sql import literal
 
@@ -17,8 +19,13 @@ def thousands(value: str) -> str:
     return f"format_number({value}, 0)"
 
 
-def median_text(female: str, male: str) -> str:
-    return f"concat('F:', {number_text(female)}, ' | M:', {number_text(male)})"
+def median_text(medians: Mapping[str, str]) -> str:
+    """The medians (expressions by sex), each after the sex's initial, or after its name where
+    initials don't tell the sexes apart."""
+    initials = {sex: sex[:1] for sex in medians}
+    told = initials if len(set(initials.values())) == len(medians) else {sex: sex for sex in medians}
+    parts = (f"concat({literal(told[sex] + ':')}, {number_text(m)})" for sex, m in medians.items())
+    return f"concat_ws(' | ', {', '.join(parts)})"
 
 
 def part_of_text(part: str, whole: str) -> str:
@@ -39,11 +46,12 @@ def caption(
     is_everyone: str,
     ages: str = fixed.CAPTION_AGES,
     period: str = fixed.CAPTION_PERIOD,
+    of_group: str = fixed.GROUP_CAPTION,
+    of_everyone: str = fixed.EVERYONE_CAPTION,
 ) -> str:
-    """Title of one label's area layer, or of the one for everybody."""
-    before, after = fixed.GROUP_CAPTION.format(label="\0", ages=ages, period=period).split("\0")
-    everyone = fixed.EVERYONE_CAPTION.format(ages=ages, period=period)
-    return (
-        f"CASE WHEN {is_everyone} THEN {literal(everyone)} "
-        f"ELSE concat({literal(before)}, {label}, {literal(after)}) END"
-    )
+    """Title of one label's area layer, or of the one for everybody. The sentences name the
+    places of label, ages and period in braces."""
+    pieces = of_group.format(label="\0", ages=ages, period=period).split("\0")
+    filled = f", {label}, ".join(literal(piece) for piece in pieces)
+    everyone = of_everyone.format(ages=ages, period=period)
+    return f"CASE WHEN {is_everyone} THEN {literal(everyone)} ELSE concat({filled}) END"

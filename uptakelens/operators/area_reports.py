@@ -77,7 +77,10 @@ def gap_totals(
     """
     sums = per_label_and_everyone(gaps, [], settings).selectExpr("*", "true AS found")
     groups = report_groups(vocabulary, settings.everyone)
-    caption = text.caption("label", "is_everyone", settings.ages_text, settings.period_text)
+    sentences = settings.group_caption, settings.everyone_caption
+    caption = text.caption(
+        "label", "is_everyone", settings.ages_text, settings.period_text, *sentences
+    )
     rows = of_report_groups(sums, groups, "left").selectExpr(
         "ord",
         "label",

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from uptakelens.functions import text
-from uptakelens.functions.sql import listed, literal
+from uptakelens.functions.sql import aliased, listed, literal, name
 from uptakelens.operators.cells import labelled, summed
+from uptakelens.operators.vocabulary import numbered
 from uptakelens.settings import DEFAULT, Settings
 
 
@@ -18,26 +19,32 @@ def _by_sex(cells: DataFrame, settings: Settings) -> DataFrame:
 def median_by_sex(
     cells: DataFrame, strict_nulls: bool = True, settings: Settings = DEFAULT
 ) -> DataFrame:
-    """Exact median age per label, one column per sex, and the label text.
+    """Exact median age per label, one column per sex, the label text and the label's place.
 
     `cells` are counts by group, sex and age, so a group's state is its distinct ages with
     a count each, however many events it has. In strict mode a missing age makes the
-    median NULL.
+    median NULL. Labels are numbered by all events, also those of other sexes.
     """
     median = "percentile(age, 0.5, events)"
     if strict_nulls:
         median = f"CASE WHEN count(age) = count(1) THEN {median} END"
     sexes = list(settings.sexes)
-    wide = _by_sex(cells, settings).groupBy("label").pivot("sex", sexes).agg(F.expr(median))
-    female, male = (f"median_{sex.lower()}" for sex in sexes)
-    wide = wide.toDF("label", female, male)
-    return wide.selectExpr("*", f"{text.median_text(female, male)} AS median_text")
+    wide = labelled(cells, settings).groupBy("label").pivot("sex", sexes)
+    wide = wide.agg(F.expr(median).alias("median"), F.expr("sum(events)").alias("events"))
+    columns = {sex: f"median_{sex.lower()}" for sex in sexes}
+    named = {column: name(f"{sex}_median") for sex, column in columns.items()}
+    found = " OR ".join(f"{name(f'{sex}_events')} IS NOT NULL" for sex in sexes)
+    rows = numbered(wide, settings).filter(found).selectExpr("label", *aliased(named), "ord")
+    told = text.median_text({sex: name(column) for sex, column in columns.items()})
+    return rows.selectExpr("label", *map(name, named), f"{told} AS median_text", "ord")
 
 
 def count_by_sex(cells: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Events by label and sex, with the number as displayed."""
-    sums = summed(_by_sex(cells, settings), ["label", "sex"], ["events"])
-    return sums.selectExpr("*", f"{text.thousands('events')} AS events_text")
+    """Events by label and sex, with the number as displayed and the label's place, which all
+    events decide on, also those of other sexes."""
+    sums = numbered(summed(labelled(cells, settings), ["label", "sex"], ["events"]), settings)
+    sums = sums.filter(f"sex IN ({listed(settings.sexes)})")
+    return sums.selectExpr("label", "sex", "events", f"{text.thousands('events')} AS events_text", "ord")
 
 
 def age_frequency(cells: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

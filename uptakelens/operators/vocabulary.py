@@ -48,6 +48,22 @@ def vocabulary(labelled_cells: DataFrame, settings: Settings = DEFAULT) -> DataF
     )
 
 
+def numbered(rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Rows of every label found among the events with its place `ord` in the vocabulary, which
+    a label outside of it doesn't have. Where the vocabulary is not given, it is that of the rows
+    themselves, so that it needn't be derived once more; few rows for each label are numbered."""
+    if settings.labels is not None:
+        places = given_vocabulary(rows.sparkSession, settings.labels, settings)
+        places = places.selectExpr("label AS known_label", "ord")
+        return rows.join(places, F.expr("label <=> known_label"), "left").drop("known_label")
+    broad = labels.event_broad_group("label", settings.event_broad_groups)
+    last_first = "label IS NULL, broad_group DESC NULLS FIRST, label DESC"
+    place = f"dense_rank() OVER (ORDER BY {last_first})"
+    kept = [name(c) for c in rows.columns]
+    found = rows.selectExpr(*kept, f"{broad} AS broad_group")
+    return found.selectExpr(*kept, f"IF(label IS NULL, NULL, {bounded(place)}) AS ord")
+
+
 def bounded(place: str) -> str:
     """The place of a label, or an error beyond MAX_LABELS."""
     error = literal(f"more than {MAX_LABELS} labels: has the text been cleaned?")

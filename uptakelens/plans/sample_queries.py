@@ -50,6 +50,14 @@ GIVEN_SETTINGS = replace(
     ages_text="other than 20 to 24",
 )
 
+#: Sexes in another order, and another sentence.
+REORDERED_SETTINGS = replace(
+    SETTINGS,
+    sexes=("Male", "Female", "Unknown"),
+    group_caption="{ages}, {period}: {label} ({label})",
+    everyone_caption="{period}: everybody",
+)
+
 RATIOS = ("proportion", "percent", "z", "lower", "upper", "at_age", "bandwidth", "density", "width")
 
 
@@ -261,6 +269,12 @@ def all_queries() -> dict[str, Query]:
         "events_count_by_group_sex": of_study(Study.event_counts),
         "median_age_by_group": of_study(Study.median_age),
         "median_age_by_group_lenient": of_study(lambda s: s.median_age(strict_nulls=False)),
+        "median_age_of_three_sexes": of_study(
+            lambda s: s.median_age(strict_nulls=False), REORDERED_SETTINGS
+        ),
+        "gap_totals_in_other_words": of_study(
+            lambda s: s.gap_totals(strict_nulls=False), REORDERED_SETTINGS
+        ),
         "age_frequency": of_study(Study.age_frequency),
         "age_density": of_study(Study.age_density),
         "age_density_with_tails": of_study(lambda s: s.age_density(points=200, tails=3.0)),

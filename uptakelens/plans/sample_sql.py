@@ -6,6 +6,8 @@ matrix column), so that agreement says something about the Spark side.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from uptakelens import reference_values as fixed
 from uptakelens.sources import sample_views as views
 
@@ -323,22 +325,22 @@ FROM whole
 """
 
 
-def _median(strict: bool) -> str:
+def _median(strict: bool, sexes: Sequence[str] = ("Female", "Male")) -> str:
     def median(sex: str) -> str:
         of = f"FILTER (WHERE sex = '{sex}')"
         value = f"CAST(MEDIAN(age) {of} AS DOUBLE)"
         if strict:
             value = f"CASE WHEN COUNT(age) {of} = COUNT(*) {of} THEN {value} END"
-        return value
+        return f"{value} AS median_{sex.lower()}"
 
     def number(column: str) -> str:
         return rf"COALESCE(regexp_replace(CAST({column} AS VARCHAR), '\.0$', ''), 'NA')"
 
+    texts = " || ' | ' || ".join(f"'{sex[0]}:' || {number(f'median_{sex.lower()}')}" for sex in sexes)
     return f"""
-SELECT label, median_female, median_male,
-  'F:' || {number("median_female")} || ' | M:' || {number("median_male")} AS median_text
-FROM (SELECT label, {median("Female")} AS median_female, {median("Male")} AS median_male
-      FROM ev WHERE sex IN ('Female', 'Male') GROUP BY label) medians
+SELECT *, {texts} AS median_text
+FROM (SELECT label, {", ".join(map(median, sexes))}
+      FROM ev WHERE sex IN ({_list(sexes)}) GROUP BY label) medians
 """
 
 
@@ -603,6 +605,7 @@ def all_sql() -> dict[str, str]:
             "FROM ev WHERE sex IN ('Female', 'Male') GROUP BY label, sex"
         ),
         "median_age_by_group": BASE + _in_order(_median(True)),
+        "median_age_of_three_sexes": BASE + _in_order(_median(False, ["Male", "Female", "Unknown"])),
         "median_age_by_group_lenient": BASE + _in_order(_median(False)),
         "age_density": BASE + _density(512, 0),
         "age_density_with_tails": BASE + _density(200, 3),
@@ -661,6 +664,11 @@ ON p.area = e.area AND p.label IS NOT DISTINCT FROM e.label
         "constituency_share_strict": share[True],
         "constituency_share_half_up": BASE + _area_gap(False) + TABLES + HALF_UP + RANKED + "FROM shares",
         "gap_totals": BASE + _area_gap(False) + TOTALS,
+        "gap_totals_in_other_words": BASE
+        + _area_gap(False)
+        + TOTALS.replace("\nSELECT ord, label, gap, total,", ",\nt AS (SELECT ord, label, gap, total,")
+        + f") SELECT * REPLACE (CASE WHEN ord = {LAST} THEN 'Jan 1996 and Dec 1996: everybody' ELSE "
+        "'less than 65, Jan 1996 and Dec 1996: ' || label || ' (' || label || ')' END AS caption) FROM t",
         "gap_totals_strict": BASE + _area_gap(True) + TOTALS,
         "rate_matrix": BASE + AL_GROUP_IMD + _rate_matrix(),
         "matrix_margins": BASE + MARGINS,

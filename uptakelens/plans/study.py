@@ -103,14 +103,11 @@ class Study:
         return rows.join(places, F.expr("label <=> known_label"), "left").drop("known_label")
 
     def median_age(self, strict_nulls: bool = True) -> DataFrame:
-        rows = profiles.median_by_sex(
-            self.event_cells(PROFILE_KEYS), strict_nulls, self.settings
-        )
-        return self._in_order(rows, PROFILE_KEYS)
+        cells = self.event_cells(PROFILE_KEYS)
+        return profiles.median_by_sex(cells, strict_nulls, self.settings)
 
     def event_counts(self) -> DataFrame:
-        by = ["group_raw", "sex"]
-        return self._in_order(profiles.count_by_sex(self.event_cells(by), self.settings), by)
+        return profiles.count_by_sex(self.event_cells(["group_raw", "sex"]), self.settings)
 
     def age_frequency(self) -> DataFrame:
         rows = profiles.age_frequency(self.event_cells(PROFILE_KEYS), self.settings)

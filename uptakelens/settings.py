@@ -55,6 +55,9 @@ class Settings:
     everyone: str = fixed.EVERYONE
     ages_text: str = fixed.CAPTION_AGES
     period_text: str = fixed.CAPTION_PERIOD
+    #: Sentences with {label}, {ages} and {period}; that for everybody has no label.
+    group_caption: str = fixed.GROUP_CAPTION
+    everyone_caption: str = fixed.EVERYONE_CAPTION
 
     @property
     def rate_options(self) -> dict[str, float | str]:
