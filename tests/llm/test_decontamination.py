@@ -9,25 +9,31 @@ from pyspark.sql import functions as F
 from uptakelens.llm import decontamination as search
 
 
+def words_of(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def runs(words, k):
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
+
+
 def shingles(text):
-    words = re.findall(r"[^\W_]+", (text or "").lower())
-    if len(words) < 5:
-        return {tuple(words)} if words else set()
-    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    """An item's runs of five words, or its words as one run."""
+    words = words_of(text)
+    return runs(words, min(5, len(words))) if words else set()
 
 
 def plain(docs, items):
-    sets, own = {}, {}
-    for item_id, text in items:
-        if item_id is not None and shingles(text):
-            key = frozenset(shingles(text))
-            sets[key] = min(sets.get(key, item_id), item_id)
+    own = {}
     for doc_id, text in docs:
         if doc_id is not None:
-            own.setdefault(doc_id, set()).update(shingles(text))
+            found = own.setdefault(doc_id, set())
+            for k in range(1, 6):
+                found |= runs(words_of(text), k)
     out = []
-    for key, item_id in sets.items():
-        for doc_id, found in own.items():
+    for item_id, text in items:
+        key = shingles(text)
+        for doc_id, found in own.items() if item_id is not None and key else ():
             n = len(key & found)
             if n * 100 >= 80 * len(key):
                 out.append((doc_id, item_id, len(key), n, n / len(key)))
@@ -66,7 +72,29 @@ def test_odd_documents(spark):
     assert found == plain([(r[0], r[1]) for r in odd(spark, extra=False).collect()], items)
     kept = search.clean(docs, table_)
     assert kept.columns == docs.columns
-    assert kept.count() == docs.count() - sum(r[0] in {f[0] for f in found} for r in docs.select("doc_id").collect())
+    alone = {i: plain([(1, r[1])], items) for i, r in enumerate(odd(spark, extra=False).collect())}
+    assert kept.count() == sum(not leaked for leaked in alone.values())
+
+
+def test_short_items_inside_long_documents(spark):
+    items = [(1, "Alpha, beta gamma delta!"), (2, "zeta eta"), (3, "eta ZETA"), (4, "solo"), (5, "alpha beta gamma delta")]
+    docs = [
+        (1, "some words alpha beta gamma delta and more of them"), (2, "alpha beta gamma, no delta here"),
+        (3, "x zeta eta y"), (4, "a solo part"), (5, "zeta"), (None, "a solo part"), (6, None),
+    ]
+    args = table(spark, "doc_id bigint, text string", *docs), table(spark, "item_id bigint, text string", *items)
+    found = rows_of(search.leaks(*args))
+    assert found == plain(docs, items)
+    assert {(r[0], r[1]) for r in found} == {(1, 1), (1, 5), (3, 2), (4, 4)}
+    kept = {(r.doc_id, r.text) for r in search.clean(*args).collect()}
+    assert kept == {docs[1], docs[4], docs[6]}  # the row without id is dropped too
+
+
+def test_rows_of_one_id_are_judged_by_themselves(spark):
+    items = table(spark, "item_id bigint, text string", (1, "a b c d e f g"))
+    docs = [(7, "a b c d e f g"), (7, "something else entirely here now"), (7, "something else entirely here now")]
+    kept = search.clean(table(spark, "doc_id bigint, text string", *docs), items).collect()
+    assert sorted(map(tuple, kept)) == docs[1:]
 
 
 def test_empty_tables(spark):

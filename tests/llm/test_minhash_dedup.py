@@ -150,3 +150,25 @@ def test_words_that_collide_under_powers(spark, n):
     rows = [(1, one), (2, two), (3, f"{one} {two}"), (4, one)]
     found = rows_of(dedup.report(table(spark, "doc_id bigint, text string", *rows)))
     assert found == plain(rows)
+
+
+def test_rows_without_id_meet_their_own_copies_only(spark):
+    """Many alike texts without id: each set is made once for its copies, not once for all rows."""
+    draw = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(None, edited(words, draw, 1)) for _ in range(80)] + [(5, edited(words, draw, 1)), (5, "a b c d e f")]
+    docs = table(spark, "doc_id bigint, text string", *rows)
+    shaped = dedup.shapes(docs)
+    nodes = shaped.select("node").distinct()
+    assert dedup.full_sets(docs, shaped, nodes).count() == nodes.count()
+    assert rows_of(dedup.report(docs)) == plain(rows)
+
+
+def test_sets_are_made_after_the_join(spark, monkeypatch):
+    plans = []
+    settled = dedup.settled
+    monkeypatch.setattr(
+        dedup, "settled", lambda f: plans.append(f._jdf.queryExecution().executedPlan().toString()) or settled(f)
+    )
+    dedup.report(spark.read.parquet(f"{SF_0001}/documents.parquet")).collect()
+    assert all(p.count("ArrowEvalPython") <= 1 for p in plans)

@@ -25,12 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from uptakelens.llm import ragged
-from uptakelens.llm.tables import training_fold
+from uptakelens.llm.tables import training_fold, unused
 
 #: The sample: about so many texts per language (chosen by the hash of their id), so many
 #: characters from a place (chosen likewise) in each, and so many bytes of these at most.
 SAMPLE_TEXTS = 80
 SAMPLE_CHARS = 400
+#: A text of so many symbols is in no language that needs so many phrases for each of them.
+ENOUGH = 40
+FOREIGN = 0.9
 SAMPLE_BYTES = 24_000
 STRETCH = 512
 #: How quickly the score rises with the distance between entropies.
@@ -100,16 +103,9 @@ class Automata:
     cost: np.ndarray
 
 
-_BUILT: dict[LanguageModel, Automata] = {}
-
-
 def automata(model: LanguageModel) -> Automata:
-    """Built once in each worker process, which keeps one, from the samples, which is all that
-    is sent."""
-    if model not in _BUILT:
-        _BUILT.clear()
-        _BUILT[model] = _built(model)
-    return _BUILT[model]
+    """Built once in each worker process from the samples, which is all that is sent."""
+    return ragged.held(("automata", model), lambda: _built(model))
 
 
 def _built(model: LanguageModel) -> Automata:
@@ -223,13 +219,39 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text") ->
         return predictions(model, column)
 
     udf = F.arrow_udf(predict, "struct<language:string,score:double>")
-    found = docs.withColumn("_found", F.struct(lettered.alias("ok"), udf(text).alias("by")))
+    name = unused("found", docs.columns)
+    found = docs.withColumn(name, F.struct(lettered.alias("ok"), udf(text).alias("by")))
     return found.withColumns(
         {
-            "lang_pred": F.expr("if(_found.ok, _found.by.language, 'und')"),
-            "score": F.expr("if(_found.ok, _found.by.score, 0D)"),
+            "lang_pred": F.expr(f"if({name}.ok, {name}.by.language, 'und')"),
+            "score": F.expr(f"if({name}.ok, {name}.by.score, 0D)"),
         }
-    ).drop("_found")
+    ).drop(name)
+
+
+def told(model: LanguageModel, column: pa.Array) -> pa.Array:
+    """Whether a text is in one of the languages, as far as its phrases tell: in the language that
+    needs fewest it has less than FOREIGN phrases for each symbol, so more in common than letters.
+    Texts of fewer symbols than ENOUGH have the benefit of the doubt."""
+    out = []
+    for some in ragged.slices(column):
+        total, size = phrases(model, some)
+        out.append((size < ENOUGH) | (total.min(1) < FOREIGN * size))
+    ragged.released()
+    return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
+
+
+def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The documents in a language that the model knows. Those without a letter go, and those that
+    are in none of the languages (see `told`)."""
+    lettered = docs.filter(F.col("text").rlike(r"\p{L}"))
+    if not model.languages:
+        return lettered.filter("false")
+
+    def known(column: pa.Array) -> pa.Array:
+        return told(model, column)
+
+    return lettered.filter(F.arrow_udf(known, "boolean")("text"))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from uptakelens.llm.tables import settled, small_side
+from uptakelens.llm.tables import settled, small_side, unused
 
 MIN_SITES = 10
 MIN_CHARS = 10
@@ -68,19 +68,17 @@ def without_boilerplate(
 ) -> DataFrame:
     """The documents with the boilerplate lines taken out of text, and n_lines and n_removed
     (columns of these names are replaced)."""
-    # Names that begin like this are taken not to occur among the documents' columns.
-    gone = removals(docs, min_sites, min_chars).selectExpr(
-        "doc_id AS __dedup_id", "key AS __dedup_key", "gone AS __dedup_gone"
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("__dedup_id"))
-    rows = docs.join(gone, same & (F.xxhash64("text") == F.col("__dedup_key")), "left")
-    rows = rows.withColumn("__dedup_lines", F.expr(r"split(text, '\n')"))
-    left = "array_except(sequence(0, size(__dedup_lines) - 1), __dedup_gone)"
-    rebuilt = rf"array_join(transform({left}, i -> __dedup_lines[i]), '\n')"
-    text = f"if(__dedup_gone IS NULL, text, {rebuilt})"
+    found = removals(docs, min_sites, min_chars)
+    id_, key, gone, lines = (unused(n, docs.columns) for n in ("gone_id", "gone_key", "gone", "lines"))
+    found = found.toDF(id_, key, gone)
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key))
+    rows = docs.join(found, same, "left").withColumn(lines, F.expr(r"split(text, '\n')"))
+    left = f"array_except(sequence(0, size({lines}) - 1), {gone})"
+    rebuilt = rf"array_join(transform({left}, i -> {lines}[i]), '\n')"
+    text = f"if({gone} IS NULL, text, {rebuilt})"
     counts = {
-        "n_lines": "bigint(coalesce(size(__dedup_lines), 0))",
-        "n_removed": "bigint(coalesce(size(__dedup_gone), 0))",
+        "n_lines": f"bigint(coalesce(size({lines}), 0))",
+        "n_removed": f"bigint(coalesce(size({gone}), 0))",
     }
     own = [c for c in docs.columns if c not in counts]
     return rows.select(

@@ -28,17 +28,16 @@ text are read.
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from uptakelens.llm import ragged
 from uptakelens.llm.components import roots
-from uptakelens.llm.tables import settled, small_side
+from uptakelens.llm.tables import settled, small_side, unused
 
 SHINGLE = 5
 #: Least similarity of linked documents, in percent.
@@ -59,8 +58,11 @@ STRIP = 256
 _STEP = 0xD6E8FEB86659FD93
 
 
-@lru_cache(maxsize=1)
 def _runs() -> np.ndarray:
+    return ragged.held("runs", _made_runs)
+
+
+def _made_runs() -> np.ndarray:
     """Row p: the values of the second permutation from place p on, around the circle."""
     values = np.random.default_rng(5).permutation(np.arange(1 << UNIVERSE, dtype=np.int32))
     around = np.concatenate([values, values[: BANDS * ROWS]])
@@ -157,9 +159,11 @@ def _sets(column: pa.Array) -> pa.Array:
 
 
 def shapes(docs: DataFrame) -> DataFrame:
-    """Settled: doc_id, n (size of the set), node (its name) and buckets of every document."""
+    """Settled: doc_id, text_hash, n (size of the set), node (its name) and buckets of every
+    document."""
     shape = F.arrow_udf(_shapes, "struct<n:bigint,node:bigint,buckets:array<bigint>>")
-    return settled(docs.select("doc_id", shape("text").alias("s")).select("doc_id", "s.*"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), shape("text").alias("s"))
+    return settled(rows.select("doc_id", "text_hash", "s.*"))
 
 
 def members(shaped: DataFrame) -> DataFrame:
@@ -173,13 +177,15 @@ def members(shaped: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, shaped: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Settled: node and its set, for the given nodes."""
-    first = shaped.groupBy("node").agg(F.min("doc_id").alias("first"))
-    wanted = settled(first.join(nodes, "node")).withColumnRenamed("node", "wanted")
-    rows = docs.select("doc_id", "text").join(
-        small_side(wanted), F.col("doc_id").eqNullSafe(F.col("first"))
-    )
-    made = F.arrow_udf(_sets, "struct<node:bigint,set:array<bigint>>")
+    """Settled: node and its set, for the given nodes. One document stands for each, by its id and
+    text, so that rows without id, or of one id, are met by copies of theirs only. The function
+    counts as not deterministic, else Spark would move the test of its result below the join, and
+    make the sets of all documents."""
+    first = shaped.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    wanted = first.join(nodes, "node").selectExpr("node AS wanted", "first.doc_id AS first", "first.text_hash")
+    same = F.expr("doc_id <=> first AND xxhash64(text) = text_hash")
+    rows = docs.select("doc_id", "text").join(small_side(settled(wanted)), same)
+    made = F.arrow_udf(_sets, "struct<node:bigint,set:array<bigint>>").asNondeterministic()
     rows = rows.select("wanted", made("text").alias("s")).filter("wanted = s.node")
     return settled(rows.select("s.*").dropDuplicates(["node"]))
 
@@ -324,6 +330,36 @@ def links(docs: DataFrame, shaped: DataFrame, percent: int = SIMILARITY) -> Data
     return roots(root.selectExpr("node AS a", "root AS b").unionAll(more))
 
 
+def without_copies(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
+    """One document of each component, with all its columns: the one with the smallest doc_id
+    (rows without one come last), of these the one whose text has the least hash. Rows are told
+    by id and text, so that a copy takes no other text of its id along; rows that are alike in
+    both are one document, of which any row stays. Documents without words all stay."""
+    own = docs.select("doc_id", "text")
+    shaped = shapes(own)
+    root = links(own, shaped, percent).withColumnsRenamed({"a": "node", "b": "root"})
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash").alias("place")
+    places = shaped.filter("n > 0").groupBy("node", order).count()
+    firsts = places.groupBy("node").agg(F.min("place").alias("place")).join(root, "node", "left")
+    firsts = firsts.withColumn("root", F.coalesce("root", "node"))
+    best = firsts.groupBy("root").agg(F.min("place").alias("best"))
+    by_node = small_side(settled(firsts.join(best, "root").select("node", "best")))
+    judged = settled(places.join(by_node, "node").selectExpr("place.*", "place <=> best AS stays", "count"))
+    id_, hash_ = (unused(n, docs.columns) for n in ("gone_id", "gone_hash"))
+    marked = docs.withColumn(hash_, F.xxhash64("text"))
+
+    def meeting(test: str) -> tuple[DataFrame, Column]:
+        found = judged.filter(test).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(f"{hash_}_"))
+        return small_side(settled(found)), F.expr(f"doc_id <=> {id_} AND {hash_} = {hash_}_")
+
+    rows = marked.join(*meeting("NOT stays"), "left_anti")
+    if judged.filter("stays AND count > 1").isEmpty():
+        return rows.select(docs.columns)
+    once = rows.join(*meeting("stays AND count > 1"), "left_anti")
+    several = rows.join(*meeting("stays AND count > 1"), "left_semi").dropDuplicates(["doc_id", hash_])
+    return once.unionAll(several).select(docs.columns)
+
+
 def report(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     docs = docs.select("doc_id", "text")

@@ -27,9 +27,9 @@ UNKNOWN = 10.0
 #: Stretches of up to the last of these lengths are segmented in step, in groups of such a length.
 LENGTHS = (2, 4, 6, 8, 12, 16, 24, 48)
 #: So many distinct stretches, about, are remembered by a worker process, the first it meets.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: So many stretches at a time.
-LANES = 1 << 12
+LANES = 1 << 11
 NONE = float("-inf")
 _ALL = (1 << 64) - 1
 _STEP, _SPREAD = 0x9FB21C651E98DF25, 0x9E3779B97F4A7C15

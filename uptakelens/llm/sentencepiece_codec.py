@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -43,7 +42,7 @@ CHUNK = 1 << 15
 #: Chunks whose matrices are multiplied in one task.
 BLOCK = 64
 #: Bytes segmented, or ids decoded, at a time.
-BATCH = 1 << 19
+BATCH = 1 << 18
 
 
 def read_model(path: str = MODEL) -> bytes:
@@ -171,44 +170,65 @@ def _matrix(raw: bytes) -> np.ndarray:
     return values.reshape(int(len(values) ** 0.5), -1)
 
 
-def _product(rows: pd.DataFrame) -> pd.DataFrame:
-    """One matrix for a block of chunks."""
-    rows = rows.sort_values("chunk")
-    whole = _matrix(rows["matrix"].iloc[0])
-    for raw in rows["matrix"].iloc[1:]:
-        whole = max_plus(whole, _matrix(raw))
-    return rows.head(1)[["document", "block"]].assign(matrix=whole.tobytes())
+def _product(column: pa.Array) -> pa.Array:
+    """One matrix for each block, given as its chunks' matrices in order."""
+    out = []
+    for rows in column.to_pylist():
+        whole = _matrix(rows[0]["matrix"])
+        for row in rows[1:]:
+            whole = max_plus(whole, _matrix(row["matrix"]))
+        out.append(whole.tobytes())
+    return pa.array(out, pa.binary())
+
+
+_ENTRIES = "array<struct<number:int,entry:binary>>"
+_ENTRY = pa.list_(pa.struct([("number", pa.int32()), ("entry", pa.binary())]))
 
 
-def _entries(rows: pd.DataFrame, order: str) -> pd.DataFrame:
-    """Scores of the entries of each row, given those of the first (or the document's beginning)."""
-    rows = rows.sort_values(order)
-    states = _matrix(rows["matrix"].iloc[0]).shape[0]
-    scores = np.full(states, -np.inf)
-    scores[0] = 0.0
-    if "entry" in rows:
-        scores = np.frombuffer(rows["entry"].iloc[0])
+def _entries(column: pa.Array, entry: pa.Array | None = None) -> pa.Array:
+    """Scores of the entries of each matrix of a row, given those of the first (or the document's
+    beginning)."""
     out = []
-    for raw in rows["matrix"]:
-        out.append(scores.tobytes())
-        scores = (scores[:, None] + _matrix(raw)).max(0)
-    return rows[["document", order]].assign(entry=out)
+    firsts = [None] * len(column) if entry is None else entry.to_pylist()
+    for rows, first in zip(column.to_pylist(), firsts, strict=True):
+        if first is None:
+            scores = np.full(_matrix(rows[0]["matrix"]).shape[0], -np.inf)
+            scores[0] = 0.0
+        else:
+            scores = np.frombuffer(first)
+        own = []
+        for row in rows:
+            own.append({"number": row["number"], "entry": scores.tobytes()})
+            scores = (scores[:, None] + _matrix(row["matrix"])).max(0)
+        out.append(own)
+    return pa.array(out, _ENTRY)
+
+
+def _gathered(number: str, value: str) -> str:
+    """SQL: a group's values in the order of their numbers, each with its number."""
+    return f"sort_array(collect_list(struct(int({number}) AS number, {value})))"
 
 
 def entry_scores(matrices: DataFrame, block: int = BLOCK) -> DataFrame:
-    """document, chunk and the scores of its entries: the parallel scan."""
-    matrices = matrices.withColumn("block", F.expr(f"chunk div {block}"))
-    products = matrices.groupBy("document", "block").applyInPandas(
-        _product, "document bigint, block bigint, matrix binary"
-    )
-    by_block = products.groupBy("document").applyInPandas(
-        lambda rows: _entries(rows, "block"), "document bigint, block bigint, entry binary"
-    )
-    return (
-        matrices.join(by_block, ["document", "block"])
-        .groupBy("document", "block")
-        .applyInPandas(lambda rows: _entries(rows, "chunk"), "document bigint, chunk int, entry binary")
-    )
+    """document, chunk and the scores of its entries: the parallel scan. What is gathered is a
+    block's matrices, and a document's products, of which each is a few kilobytes."""
+    product = F.arrow_udf(_product, "binary")
+
+    def from_start(rows: pa.Array) -> pa.Array:
+        return _entries(rows)
+
+    def from_entry(rows: pa.Array, entry: pa.Array) -> pa.Array:
+        return _entries(rows, entry)
+
+    blocks = matrices.withColumn("block", F.expr(f"int(chunk div {block})")).groupBy("document", "block")
+    blocks = blocks.agg(F.expr(_gathered("chunk", "matrix")).alias("rows"))
+    products = blocks.select("document", "block", product("rows").alias("matrix"))
+    whole = products.groupBy("document").agg(F.expr(_gathered("block", "matrix")).alias("rows"))
+    first = F.explode(F.arrow_udf(from_start, _ENTRIES)("rows")).alias("x")
+    by_block = whole.select("document", first).selectExpr("document", "x.number AS block", "x.entry")
+    each = F.explode(F.arrow_udf(from_entry, _ENTRIES)("rows", "entry")).alias("x")
+    rows = blocks.join(by_block, ["document", "block"]).select("document", each)
+    return rows.selectExpr("document", "x.number AS chunk", "x.entry")
 
 
 def tracebacks(cut: DataFrame, entries: DataFrame, model: bytes, size: int = CHUNK) -> DataFrame:
@@ -232,14 +252,16 @@ def tracebacks(cut: DataFrame, entries: DataFrame, model: bytes, size: int = CHU
     return settled(traced.select(*own, "t.*"))
 
 
-def _exits(rows: pd.DataFrame) -> pd.DataFrame:
+def _exits(column: pa.Array) -> pa.Array:
     """The exit that the best path takes from each chunk of a document, from its end."""
-    rows = rows.sort_values("chunk")
-    exits, at = [], 0
-    for came in reversed(list(rows["came"])):
-        exits.append(at)
-        at = int(came[at])
-    return rows[["document", "chunk"]].assign(way=exits[::-1])
+    out = []
+    for rows in column.to_pylist():
+        exits, at = [], 0
+        for row in reversed(rows):
+            exits.append({"chunk": row["number"], "way": at})
+            at = row["came"][at]
+        out.append(exits)
+    return pa.array(out, pa.list_(pa.struct([("chunk", pa.int32()), ("way", pa.int32())])))
 
 
 def encoded_by_scan(docs: DataFrame, model: bytes, size: int = CHUNK, block: int = BLOCK) -> DataFrame:
@@ -252,9 +274,9 @@ def encoded_by_scan(docs: DataFrame, model: bytes, size: int = CHUNK, block: int
     entries = entry_scores(settled(transfers(cut, model, size)), block)
     traced = tracebacks(cut, entries, model, size)
     # A chunk's row here is its number and one small array.
-    exits = traced.select("document", "chunk", "came").groupBy("document").applyInPandas(
-        _exits, "document bigint, chunk int, way int"
-    )
+    came = traced.groupBy("document").agg(F.expr(_gathered("chunk", "came")).alias("rows"))
+    way = F.explode(F.arrow_udf(_exits, "array<struct<chunk:int,way:int>>")("rows")).alias("x")
+    exits = came.select("document", way).select("document", "x.*")
     ids = traced.join(exits, ["document", "chunk"])
     ids = ids.select("document", "doc_id", "chunk", "chunks", F.expr("concat(common, ends[way])").alias("ids"))
     whole = ids.groupBy("document").agg(

@@ -47,3 +47,11 @@ def training_fold() -> str:
     """SQL: the row may be learned from (crc32 of the id as text, mod 4, is not 2).
     A missing id counts as held out."""
     return "coalesce(pmod(crc32(cast(cast(doc_id AS string) AS binary)), 4) <> 2, false)"
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, or one like it, that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

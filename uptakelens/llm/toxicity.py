@@ -216,8 +216,14 @@ def train(docs: DataFrame, labels: DataFrame, fold: str = "true", most: int = TR
     toxic, n = rows.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     if not n or not 0 < toxic < n:
         return ToxicityModel(lexicon_of([], []), None, None, float(toxic or 0) / max(n, 1))
-    lexicon = learn_lexicon(rows)
     calibrates = f"pmod(xxhash64(doc_id, 7), {FOLDS}) = 0"
+    # The rows that calibrate have no part in the lexicon or the trees; if the others are of one
+    # class, all rows serve for all.
+    fits = rows.filter(f"NOT {calibrates}")
+    bad, all_ = fits.agg(F.sum("toxic"), F.count(F.lit(1))).first()
+    if not all_ or not 0 < bad < all_:
+        calibrates, fits = "false", rows
+    lexicon = learn_lexicon(fits)
     vectors = rows.select(
         F.expr(calibrates).alias("calibrates"),
         F.col("toxic").cast("double").alias("label"),
