@@ -19,16 +19,15 @@ from uptakelens.llm import (
     minhash_dedup,
     sentencepiece_codec,
 )
-from uptakelens.llm.tables import settled, shared_folder, small_side, table
+from uptakelens.llm.tables import shared_folder, table
 from uptakelens.sources.writers import remove
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; `und` (no text, or no letter in it) goes."""
-    model = language_id.train(docs, language_id.training_fold())
-    return language_id.with_language(docs, model).filter("lang_pred <> 'und'").select(docs.columns)
+    """Documents in a language that the model knows, by its languages and scores."""
+    return language_id.accepted(docs, language_id.train(docs, language_id.training_fold()))
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,16 +40,8 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies. Rows that share a doc_id
-    are one document, of which one row stays; rows without doc_id stay."""
-    found = minhash_dedup.report(docs)
-    gone = settled(found.filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
-    rows = docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
-    repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    if repeated.isEmpty():
-        return rows
-    with_id = rows.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return with_id.unionByName(rows.filter("doc_id IS NULL"))
+    """One document of each group of near copies, the one with the smallest id."""
+    return minhash_dedup.without_copies(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
