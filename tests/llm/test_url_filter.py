@@ -74,6 +74,35 @@ def test_held_out_urls():
     assert sum(right) / len(right) > 0.95
 
 
+def verdicts(model, hosts):
+    return [s >= 0.5 for s in model.scores(pa.array(hosts), pa.array(["/en/1"] * len(hosts)))]
+
+
+def test_names_tell_and_not_their_form():
+    """Both kinds come with and without hyphens and numbers; unseen forms of known words are told."""
+    urls = url_filter.labelled_urls()
+    assert len(urls) < url_filter.TRAIN_URLS
+    for block in (True, False):
+        own = [h for h, _, b in urls if b == block]
+        assert 0.2 < sum("-" in h for h in own) / len(own) < 0.8
+    model = url_filter.fit(*map(list, zip(*urls, strict=True)))
+    blocked = [f"{w}.com" for w in ("porn", "escort", "casino", "viagra", "poker")]
+    blocked += ["best-casino-city.org", "mypornsite.com", "www.pokerhouse.net", "cheap-viagra-online.com"]
+    allowed = ["museum.com", "essex.org", "www.villagelibrary.net", "the-river-school.com", "news24.com", "sussex-history.org"]
+    assert all(verdicts(model, blocked)) and not any(verdicts(model, allowed))
+
+
+def test_held_out_by_form():
+    """Learned from names of one word and hyphenated pairs, told in joined pairs."""
+    urls = url_filter.labelled_urls()
+    joined = {h for h, _, _ in urls if "-" not in h and not any(h.split(".")[-3:][0] == w or f".{w}." in f".{h}" for w in [*url_filter.BLOCK_WORDS, *url_filter.ALLOW_WORDS])}
+    train, held = [u for u in urls if u[0] not in joined], [u for u in urls if u[0] in joined]
+    model = url_filter.fit(*map(list, zip(*train, strict=True)))
+    found = [s >= 0.5 for s in model.scores(pa.array([u[0] for u in held]), pa.array([u[1] for u in held]))]
+    right = [f == u[2] for f, u in zip(found, held, strict=True)]
+    assert len(held) > 300 and sum(right) / len(right) > 0.85
+
+
 def test_own_table_and_one_class(spark):
     labelled = table(spark, "host string, path string, verdict string", *[("good.com", "/a", "allow")] * 3)
     pages = table(spark, "page_id bigint, url string", (1, "http://good.com/a"))

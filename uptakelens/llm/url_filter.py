@@ -8,9 +8,10 @@ with the function. Scoring needs no shuffle. Equal urls get equal results, an em
 an empty result. A labelled table of one class only gives every url that class, an empty one
 allows every url.
 
-Without a table of the caller's, LABELLED serves: a few hundred urls put together from words that
+Without a table of the caller's, `labelled_urls` serves: some 3000 urls put together from words that
 name gambling, adult, pharmacy, tracking and link-farm sites, and from words of ordinary sites,
-both with the same prefixes, domains and paths, so that only the names tell them apart.
+both in the same forms, with the same prefixes, domains and paths, so that only the names tell
+them apart.
 """
 
 from __future__ import annotations
@@ -60,13 +61,36 @@ ALLOW_WORDS = (
 ).split()
 
 
+#: Words that names of both kinds have, and ordinary names with a blocked word inside.
+SHARED_WORDS = "online site web shop group best top new city blog club 24".split()
+HARD_WORDS = (
+    "essex sussex middlesex winchester windmill adsorption analysis betsy therapist casinotheque "
+    "trackside spamalot saddle badminton twins cramer embankment pillsbury"
+).split()
+
+
+def forms(word: str, others: list[str], number: int) -> list[str]:
+    """Names that one word makes: alone, with a number, and with some others, joined or not."""
+    out = [word, f"{word}{number % 100}", f"the-{word}"]
+    for k, other in enumerate(others):
+        pair = (word, other) if (number + k) % 2 else (other, word)
+        out.append(("-" if (number + k) % 4 < 2 else "").join(pair))
+    return out
+
+
 def labelled_urls() -> list[tuple[str, str, bool]]:
-    """The default table: host, path, and whether to block it."""
+    """The default table: host, path, and whether to block it. Names of both kinds come alone, in
+    joined and in hyphenated pairs, with numbers, and beside the same shared words; a name is to
+    be blocked if one of its words is."""
     prefixes, ends = ["", "www.", "m.", "blog."], ["com", "org", "net", "example.com", "example.org"]
     paths = ["/en/{}", "/de/{}.html", "/fr/{}/", "/es/{}", "/{}", "/page/{}", "/en/{}.html", ""]
-    names = [(f"{a}-{b}", True) for i, a in enumerate(BLOCK_WORDS) for b in BLOCK_WORDS[i % 7 :: 7] if a != b]
-    names += [(a, False) for a in ALLOW_WORDS for _ in range(4)]
-    names += [(a + b, False) for i, a in enumerate(ALLOW_WORDS) for b in ALLOW_WORDS[i % 29 :: 29]]
+    names = []
+    for i, word in enumerate(BLOCK_WORDS):
+        others = [*SHARED_WORDS, *BLOCK_WORDS[i % 5 :: 5], *ALLOW_WORDS[i % 9 :: 9]]
+        names += [(name, True) for name in forms(word, others, i)]
+    for i, word in enumerate([*ALLOW_WORDS, *SHARED_WORDS, *HARD_WORDS]):
+        others = [*SHARED_WORDS[i % 3 :: 3], *ALLOW_WORDS[i % 23 :: 23]]
+        names += [(name, False) for name in forms(word, others, i)]
     return [
         (
             f"{prefixes[i % 4]}{name}.{ends[i % 5]}",
