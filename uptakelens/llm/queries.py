@@ -60,7 +60,6 @@ def all_sql() -> dict[str, str]:
         "op3_chat_perspectives": chat_format.SQL,
         "op4_line_dedup": line_dedup.SQL,
         "op6_decontamination": decontamination.SQL,
-        "op12_fill_in_middle": over("documents", fill_in_middle.report),
         "op12_fill_in_middle": fill_in_middle.SQL,
         "op13_source_divergence": source_divergence.SQL,
     }
