@@ -46,9 +46,10 @@ def shingle(k: int = SHINGLE) -> str:
 
 
 def shingles(frame: DataFrame, columns: list[str], value: str, k: int = SHINGLE) -> DataFrame:
-    """One row for each run of k words: the columns, and `value` of its words."""
-    places = f"explode(sequence(0, size(w) - {k})) AS i"
-    return frame.filter(f"size(w) >= {k}").selectExpr(*columns, "w", places).selectExpr(*columns, value)
+    """One row for each run of k words (all words, if they are fewer): the columns, and `value` of
+    its words. A test of the number of words would have Catalyst split every text once more."""
+    places = f"explode(sequence(0, greatest(size(w) - {k}, 0))) AS i"
+    return frame.selectExpr(*columns, "w", places).selectExpr(*columns, value)
 
 
 def item_sets(items: DataFrame, k: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
@@ -57,8 +58,7 @@ def item_sets(items: DataFrame, k: int = SHINGLE, percent: int = SIMILARITY) ->
     needs, and whether the shingle is in the sketch."""
     known = with_words(items.select("item_id", "text").filter("item_id IS NOT NULL"))
     text = f"concat_ws(' ', {shingle(k)}) AS s"
-    whole = known.filter(f"size(w) BETWEEN 1 AND {k - 1}").selectExpr("item_id", "concat_ws(' ', w) AS s")
-    rows = shingles(known, ["item_id"], text, k).unionAll(whole).distinct()
+    rows = shingles(known.filter("size(w) > 0"), ["item_id"], text, k).distinct()
     sets = rows.groupBy("item_id").agg(F.sort_array(F.collect_list("s")).alias("set"))
     sets = sets.groupBy("set").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     sets = sets.withColumns({"n": F.expr("size(set)"), "set_id": F.expr("item_ids[0]")})
@@ -86,7 +86,7 @@ def sizes_of(sets: DataFrame, k: int = SHINGLE) -> list[int]:
 
 def candidates(docs: DataFrame, sets: DataFrame, sizes: list[int], key: list[str]) -> DataFrame:
     """Pairs (key, set_id) that share a shingle of the item's sketch."""
-    # Were m nullable, Catalyst would test it for null at the scan and split every text several
+    # A text without words makes one run of none, which no item has. Were m nullable, Catalyst would test it for null at the scan and split every text several
     # times more.
     found = with_words(docs.select(*key, "text"))
     rows = runs(found, [*key, "coalesce(size(w), 0) AS m"], "xxhash64(array({run})) AS h", sizes)
