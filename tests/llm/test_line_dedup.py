@@ -66,3 +66,28 @@ def test_odd_documents(spark):
     found = line_dedup.without_boilerplate(odd(spark), 2).select("doc_id", "text", "n_lines", "n_removed")
     assert rows_of(found) == plain(rows, 2)
     assert line_dedup.report(empty(spark)).collect() == []
+
+
+def test_few_lines_are_settled_in_few_files(spark, monkeypatch):
+    held = {"spark.sql.shuffle.partitions": "96", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, files = {k: spark.conf.get(k) for k in held}, []
+
+    def counted(frame):
+        out = settled(frame)
+        files.append(out.rdd.getNumPartitions())
+        return out
+
+    settled = line_dedup.settled
+    monkeypatch.setattr(line_dedup, "settled", counted)
+    rows = site_rows()
+    docs = table(spark, SCHEMA, *((*r, "x", "y") for r in rows)).coalesce(2)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = line_dedup.without_boilerplate(docs, 8).select("doc_id", "text", "n_lines", "n_removed")
+        assert rows_of(found) == plain(rows, 8)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) == 3
+    assert max(files) <= 1 + 96 // line_dedup.FILES

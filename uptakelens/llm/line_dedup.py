@@ -8,8 +8,10 @@ clearly below are not; for those in between (NEAR) a second pass counts the dist
 every boilerplate line one occurrence stays, that of the smallest doc_id and place, so that no
 content is lost; all others are removed.
 
-Only hashes and places are shuffled for the search. To rebuild texts, documents are joined once with
-the places of their removed lines. A null text stays null and has no lines; a null site counts as
+Only hashes and places are shuffled for the search. Of all lines few are left when the sites are
+counted; they are settled in fewer files than a shuffle has partitions (FILES), as on a local file
+system every file of a checkpoint starts two processes. To rebuild texts, documents are joined once
+with the places of their removed lines. A null text stays null and has no lines; a null site counts as
 no site; repeated rows lose the same lines (and keep the same first one); documents that lose all
 lines have an empty text. An empty table gives an empty result.
 """
@@ -26,6 +28,8 @@ MIN_CHARS = 10
 #: Estimates within this share of MIN_SITES are counted exactly; the sketches' standard error is
 #: 1.6 % (2**12 registers), and less for few sites.
 NEAR = 0.25
+#: One file of a settled table of lines for so many partitions of the shuffle before it.
+FILES = 16
 
 
 def places(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -36,12 +40,18 @@ def places(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return rows.filter(F.length("line") >= min_chars).withColumn("line", F.xxhash64("line"))
 
 
+def gathered(lines: DataFrame) -> DataFrame:
+    """Settled: the few lines that a filter has left in each partition of a shuffle."""
+    partitions = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return settled(lines.repartition(1 + partitions // FILES))
+
+
 def spread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Settled: line, and whether it is surely on `min_sites` sites; lines surely on fewer are left out."""
     sketch = F.hll_sketch_estimate(F.hll_sketch_agg("source")).alias("sites")
     sites = lines.filter("source IS NOT NULL").groupBy("line").agg(sketch)
     sites = sites.filter(F.col("sites") >= min_sites * (1 - NEAR))
-    return settled(sites.select("line", (F.col("sites") > min_sites * (1 + NEAR)).alias("sure")))
+    return gathered(sites.select("line", (F.col("sites") > min_sites * (1 + NEAR)).alias("sure")))
 
 
 def removals(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -58,7 +68,7 @@ def removals(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_C
         .filter(F.col("sure") | (F.col("sites") >= min_sites))
         .select("line", "first")
     )
-    gone = hits.join(small_side(settled(boilerplate)), "line")
+    gone = hits.join(small_side(gathered(boilerplate)), "line")
     gone = gone.filter("NOT (struct(doc_id, place) <=> first)")
     return gone.groupBy("doc_id", "key").agg(F.collect_set("place").alias("gone"))
 
